@@ -54,8 +54,8 @@ def t2_endpoints(spark, sf):
     return I.incident_endpoints(alerts(spark, sf), incidents(spark, sf), HOURS * 60)
 
 
-@register("N9_incident_evidence", ALERTS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY source_ip, window_start ORDER BY ts DESC, event_id DESC) AS n FROM alerts)
-  SELECT source_ip, window_start, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS event_ids FROM r WHERE n <= 5 GROUP BY 1, 2""")
+@register("N9_incident_evidence", ALERTS_SQL + """, newest AS (SELECT *, row_number() OVER (PARTITION BY source_ip, window_start ORDER BY ts DESC, event_id DESC) AS n FROM alerts)
+  SELECT source_ip, window_start, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS event_ids FROM newest WHERE n <= 5 GROUP BY 1, 2""")
 def n9(spark, sf):
     return I.incident_evidence(alerts(spark, sf), HOURS * 60, limit=5).select(
         "source_ip", "window_start", joined(F.transform("evidence", lambda e: e["event_id"])).alias("event_ids"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -23,50 +22,70 @@ def _quote_all(names: list[str]) -> str:
 _BARE_NAMES = _quote_all([n for n in html5 if not n.endswith(";")])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _code_point(token: Column) -> Column:
-    """Code point of a numeric reference; anything past Unicode becomes U+FFFD."""
-    body = F.regexp_replace(token, "^&#|;$", "")
-    is_hex = F.lower(F.substring(body, 1, 1)) == "x"
-    digits = F.ltrim(F.when(is_hex, F.substring(body, 2, 64)).otherwise(body), F.lit("0"))
-    value = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-    value = F.when(digits == "", F.lit(0)).when(F.length(digits) > 8, F.lit(0x110000)).otherwise(value)
-    bad = (value == 0) | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)
-    return F.when(bad, F.lit(0xFFFD)).otherwise(value)
+    """Number in a numeric reference; anything past Unicode becomes U+FFFD."""
+    hex_digits = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.regexp_extract(token, "^&#0*([0-9]*)", 1)
+    is_hex = F.lower(F.substring(token, 3, 1)) == "x"
+
+    def number(digits: Column) -> Column:
+        value = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        return F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(F.coalesce(value, F.lit(0)))
+
+    def legal(value: Column) -> Column:
+        bad = (value == 0) | (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)
+        return F.when(bad, F.lit(0xFFFD)).otherwise(value)
+
+    return _let(_let(F.when(is_hex, hex_digits).otherwise(decimal), number), legal)
 
 
-def _char(cp: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+# What the numbers 128-159 stand for on the web.
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
 def _numeric_reference(token: Column) -> Column:
-    cp = _code_point(token)
-    windows = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
-    dropped = (
-        cp.between(0x1, 0x8) | cp.between(0xE, 0x1F) | cp.isin(0xB, 0x7F)
-        | cp.between(0xFDD0, 0xFDEF) | cp.bitwiseAND(F.lit(0xFFFE)).eqNullSafe(F.lit(0xFFFE))
-    )
-    return (
-        F.when(cp.between(0x80, 0x9F), F.substring(F.lit(windows), (cp - 0x7F).cast("int"), F.lit(1)))
-        .when(dropped & (cp != 0xFFFD), F.lit(""))
-        .otherwise(_char(cp))
-    )
+    def char(cp: Column) -> Column:
+        dropped = (
+            cp.between(0x1, 0x8) | cp.between(0xE, 0x1F) | cp.isin(0xB, 0x7F)
+            | cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        )
+        return (
+            F.when(cp.between(0x80, 0x9F), F.substring(F.lit(_WINDOWS), (cp - 0x7F).cast("int"), F.lit(1)))
+            .when(dropped, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
+        )
 
+    return _let(_code_point(token), char)
 
-@lru_cache(maxsize=1)
-def _entity_json() -> str:
-    return json.dumps(html5, ensure_ascii=True)
+
+_ENTRY, _VALUE = "\u0001", "\u0002"
+# Named references as one text of (entry mark, name, value mark, characters). A text
+# constant keeps the plan small; a constant map of this size slows every planning step.
+_ENTITIES = "".join(f"{_ENTRY}{name}{_VALUE}{chars}" for name, chars in html5.items())
+
+
+def _entity(name: Column) -> Column:
+    """Characters of a reference name, NULL when unknown."""
+    after = F.call_function("substring_index", F.lit(_ENTITIES), F.concat(F.lit(_ENTRY), name, F.lit(_VALUE)), F.lit(-1))
+    return F.nullif(F.substring_index(after, _ENTRY, 1), F.lit(""))
 
 
 def _named_reference(token: Column) -> Column:
-    table = F.from_json(F.lit(_entity_json()), "map<string,string>")
-    name = F.substring(token, 2, 64)
-    bare = F.regexp_extract(name, f"^(?:{_BARE_NAMES})", 0)
-    return F.coalesce(
-        F.try_element_at(table, name),
-        F.when(bare != "", F.concat(F.try_element_at(table, bare),
-                                    F.substring(name, F.length(bare) + 1, F.lit(64)))),
-        token,
-    )
+    """Character of a named reference, or the token as it stands.
+
+    Plain query text such as ``&page=1`` must stay cheap: the table is searched only for
+    a token with a semicolon at its end or a name that needs none at its start (the
+    longest such name counts, and text may follow it).
+    """
+    open_name = F.regexp_extract(token, f"^&({_BARE_NAMES})", 1)
+    whole = F.when(token.rlike("^&[A-Za-z0-9]+;$"), _entity(F.substring(token, 2, 64)))
+    rest = F.substring(token, F.length(open_name) + 2, F.lit(64))
+    return F.coalesce(whole, F.when(open_name != "", F.concat(_entity(open_name), rest)), token)
 
 
 def html_unescape(text: Column) -> Column:
@@ -81,43 +100,40 @@ def html_unescape(text: Column) -> Column:
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
-def percent_decode(text: Column, plus: Column) -> Column:
-    """Lenient percent decoding; ``plus`` says whether ``+`` means a space."""
-    kept = F.when(plus, text).otherwise(F.replace(text, F.lit("+"), F.lit("%2B")))
+def percent_decode(text: Column) -> Column:
+    """Lenient percent decoding; ``+`` stays as it is."""
+    kept = F.replace(text, F.lit("+"), F.lit("%2B"))
     escaped = F.regexp_replace(kept, "%(?![0-9A-Fa-f]{2})", "%25")
-    needed = text.contains("%") | (plus & text.contains("+"))
-    return F.when(needed, F.coalesce(F.try_url_decode(escaped), text)).otherwise(text)
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(escaped), text)).otherwise(text)
 
 
 def decode_rounds(text: Column, rounds: int = 5, plus_first: bool = False) -> Column:
     """Repeated entity + percent decoding until the text stops changing.
 
-    Returns ``struct(text, depth, limit_reached)``. The loop is one ``aggregate``
-    expression and runs only for rows that hold a character worth decoding.
+    Returns ``struct(text, depth, limit_reached)``. With ``plus_first`` a ``+`` means a
+    space in round one. All rounds are one ``aggregate`` expression, and rows that hold
+    nothing to decode skip it. One round more than allowed tells whether the limit cut
+    decoding short.
     """
-    def once(t: Column, plus: Column) -> Column:
-        return percent_decode(html_unescape(t), plus)
-
     def step(acc: Column, i: Column) -> Column:
-        new = once(acc["text"], (i == 1) & F.lit(plus_first))
-        return F.when(acc["done"], acc).otherwise(F.struct(
-            new.alias("text"),
-            (acc["depth"] + F.when(new != acc["text"], 1).otherwise(0)).alias("depth"),
-            (new == acc["text"]).alias("done"),
-        ))
+        opened = html_unescape(acc["text"])
+        if plus_first:
+            opened = F.when(i == 1, F.replace(opened, F.lit("+"), F.lit(" "))).otherwise(opened)
+
+        def judge(new: Column) -> Column:
+            changed = new != acc["text"]
+            return F.struct(
+                F.when(i <= rounds, new).otherwise(acc["text"]).alias("text"),
+                (acc["depth"] + F.when(changed & (i <= rounds), 1).otherwise(0)).alias("depth"),
+                (changed & (i > rounds)).alias("limit_reached"), (~changed).alias("done"))
+
+        return F.when(acc["done"], acc).otherwise(_let(_let(opened, percent_decode), judge))
 
     value = F.coalesce(text, F.lit(""))
-    start = F.struct(value.alias("text"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
-    loop = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), start, step,
-        lambda a: F.struct(
-            a["text"].alias("text"), a["depth"].alias("depth"),
-            F.when(a["depth"] < rounds, F.lit(False))
-            .otherwise(once(a["text"], F.lit(False)) != a["text"]).alias("limit_reached"),
-        ),
-    )
-    plain = F.struct(value.alias("text"), F.lit(0).alias("depth"), F.lit(False).alias("limit_reached"))
-    return F.when(value.rlike("[%&+]" if plus_first else "[%&]"), loop).otherwise(plain)
+    no = F.lit(False)
+    start = F.struct(value.alias("text"), F.lit(0).alias("depth"), no.alias("limit_reached"), no.alias("done"))
+    loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds + 1)), start, step)
+    return F.when(value.rlike("[%&+]" if plus_first else "[%&]"), loop).otherwise(start)
 
 
 @lru_cache(maxsize=1)

@@ -50,7 +50,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 def query_params(query: Column) -> Column:
     """``array<struct<name,value>>`` of a query string; blanks kept, both parts decoded."""
     def decoded(t: Column) -> Column:
-        return percent_decode(t, F.lit(True))
+        return percent_decode(F.replace(t, F.lit("+"), F.lit(" ")))
 
     def one(part: Column) -> Column:
         name = F.substring_index(part, "=", 1)

@@ -185,9 +185,9 @@ def gate_incidents(alerts: DataFrame, incidents: DataFrame, gate: DataFrame, fal
     known = F.col("similarity").isNotNull()
     decision = F.when(low, "below_severity").when(quiet, "below_baseline").when(known, "false_positive").otherwise("pass")
     reason = (
-        F.when(low, F.concat(F.lit("Below severity threshold ("), F.format_number("max_risk_score", "0.0"), F.lit(f" < {threshold})")))
+        F.when(low, F.concat(F.lit("Below severity threshold ("), F.format_string("%.1f", "max_risk_score"), F.lit(f" < {threshold})")))
         .when(quiet, F.concat(F.lit("Below dynamic anomaly baseline for "), F.col("_groups").cast("string"), F.lit(" target group(s)")))
-        .when(known, F.concat(F.lit("Similarity "), F.format_number("similarity", "0.000"), F.lit(" with a known false positive ("),
+        .when(known, F.concat(F.lit("Similarity "), F.format_string("%.3f", "similarity"), F.lit(" with a known false positive ("),
                               F.coalesce("notes", F.lit("matched known false positive pattern")), F.lit(")")))
     )
     return out.withColumns({"decision": decision, "reason": reason}).drop("_above", "_groups")

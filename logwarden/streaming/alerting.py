@@ -25,12 +25,13 @@ def windowed_counts(alerts: DataFrame, window_minutes: int = 5, delay: str = "10
 
     Late rows past the watermark are dropped. State holds one small row per key.
     """
-    events = alert_events(alerts, window_minutes).drop("window_start").withWatermark("ts", delay)
+    events = alert_events(alerts, window_minutes).drop("window_start").withColumn(
+        "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return events.groupBy(
         F.window("ts", f"{window_minutes} minutes").alias("w"), "source_ip", "endpoint_group").agg(
         F.count(F.lit(1)).alias("events"), F.max("score").alias("top_score"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-    ).select(F.col("w.start").alias("window_start"), "source_ip", "endpoint_group",
+    ).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "source_ip", "endpoint_group",
              group_priority(F.col("endpoint_group")).alias("priority"), "events", "top_score", "first_seen", "last_seen")
 
 

@@ -29,8 +29,8 @@ def stream_log_lines(spark: SparkSession, folder: str, glob: str = "*.log", file
 
 
 def drop_repeats(stream: DataFrame, ts: str = "ts", key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """First row of each key within the watermark delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    """First row of each key within the watermark delay. Watermarks need an instant, not local time."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
