@@ -277,12 +277,8 @@ def t11(spark, sf):
 @register("T1_S22_stream_scored_upsert", REQ + "SELECT event_id, source_ip, uri, risk_score, final_label FROM requests")
 def t1(spark, sf):
     out = new_work_path(spark, "requests")
-
-    def to_requests(batch):
-        return request_rows(batch)
-
-    SI.upsert_stream(event_stream(spark, sf), out, out + "-ckpt", to_requests, once=True).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "source_ip", "uri", "risk_score", "final_label")
+    SI.upsert_stream(event_stream(spark, sf), out, out + "-ckpt", request_rows, once=True).awaitTermination()
+    return sinks.read_current(spark, out).select("event_id", "source_ip", "uri", "risk_score", "final_label")
 
 
 @register("T2_stream_window_counts", REQ + f""", a AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, source_ip, {GROUP_SQL} AS endpoint_group,

@@ -68,10 +68,6 @@ def s5(spark, sf):
         (F.count(F.lit(1)) > 0).alias("has_files")).select("has_files", "server_type", "run_id_start")
 
 
-PARSED_SQL = """ SELECT event_id, ts::TIMESTAMP(0) AS x, source_ip, http_method, raw_uri, status_code, response_size, referrer, user_agent, 'combined' AS format_profile,
-   concat('apache:', event_id, ':', substr(sha1(line), 1, 12)) AS record_id FROM l"""
-
-
 @register("P1_P8_parse_access_log", WEB_SQL + f""", l AS (SELECT *, {LINE_SQL} AS line FROM web)
    SELECT event_id AS line_number, concat('apache:', event_id, ':', substr(sha1(line), 1, 12)) AS event_id, strftime(ts, '%d/%b/%Y:%H:%M:%S +0000') AS timestamp,
      source_ip, http_method, raw_uri, 'HTTP/1.1' AS http_version, status_code, response_size, referrer, user_agent, 'combined' AS format_profile, 'success' AS parse_status FROM l""")

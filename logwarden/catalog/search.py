@@ -1,0 +1,375 @@
+"""Similarity search, text vectors, retrieval quality, labels and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logwarden.catalog.base import REQ, joined, register, requests, table
+from logwarden.operators import evaluate as E, labels as L, ml as M, ranks as N, vectors as V
+from logwarden.operators.features import feature_columns, numeric_matrix
+from logwarden.operators.predicates import similar_enough
+from logwarden.plans.reports import incident_detail
+
+K = 5
+# Unit vectors in double precision.
+UNIT_SQL = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+def queries_of(df):
+    """Search vectors: a sample of ten per label, which is the size of a report, not of the table."""
+    return N.stratified_sample(df, "label", "vec_id", 50)
+
+
+# Same sample in SQL: quota per label in md5 order, then the rest in md5 order.
+SAMPLE_SQL = UNIT_SQL + """, hs AS (SELECT *, md5(concat(vec_id, ':42')) AS h FROM e),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS r FROM hs),
+  qt AS (SELECT greatest(1, 50 // count(DISTINCT label)) AS quota FROM e),
+  sel AS (SELECT rk.* FROM rk, qt WHERE r <= quota),
+  rest AS (SELECT rk.* FROM rk, qt WHERE r > quota ORDER BY h, vec_id LIMIT (SELECT 50 - count(*) FROM sel)),
+  q AS (SELECT * FROM sel UNION ALL SELECT * FROM rest)"""
+KNN_SQL = SAMPLE_SQL + """, sc AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label AS ml, list_cosine_similarity(q.v, e.v) AS score
+    FROM q, e WHERE q.vec_id <> e.vec_id),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
+
+
+@register("N7_stratified_sample", SAMPLE_SQL + " SELECT vec_id, label FROM q")
+def n7(spark, sf):
+    return queries_of(vectors(spark, sf)).select("vec_id", "label")
+
+
+@register("J7_sample_remainder", SAMPLE_SQL + " SELECT vec_id FROM e WHERE vec_id NOT IN (SELECT vec_id FROM q)")
+def j7(spark, sf):
+    e = vectors(spark, sf)
+    return e.join(queries_of(e).select("vec_id"), "vec_id", "left_anti").select("vec_id")
+
+
+@register("N8_train_test_split", """WITH h AS (SELECT doc_id, quality, md5(concat(doc_id, ':42')) AS h FROM labels),
+   r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM h)
+   SELECT doc_id, quality, r <= floor(n * 0.2 + 0.5) AS is_test FROM r""")
+def n8(spark, sf):
+    return N.train_test_split(table(spark, sf, "labels"), "quality", "doc_id").select("doc_id", "quality", "is_test")
+
+
+@register("N6_top_k_per_group", """WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)
+  SELECT * FROM r WHERE rank <= 5""")
+def n6(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "value")
+    return N.top_k_per_group(e, ["user_id"], [F.desc("value"), F.col("event_id")], 5).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("V1_J5_knn_exact", KNN_SQL + f" SELECT query_id, id, rank, round(score, 6) AS score FROM rn WHERE rank <= {K}")
+def v1(spark, sf):
+    e = vectors(spark, sf)
+    return V.knn(queries_of(e), e, K, "vec_id", skip_self=True).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@register("V1_knn_filtered", SAMPLE_SQL + f""", sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS score FROM q, e WHERE e.label IN (1, 3, 5) AND q.vec_id <> e.vec_id),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+  SELECT query_id, id, rank, round(score, 6) AS score FROM rn WHERE rank <= {K}""")
+def v1_filtered(spark, sf):
+    e = vectors(spark, sf)
+    found = V.knn(queries_of(e), e.where(F.col("label").isin(1, 3, 5)), K, "vec_id", skip_self=True)
+    return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@register("V1_knn_approximate")
+def v1_lsh(spark, sf):
+    e = vectors(spark, sf)
+    return V.knn_approximate(queries_of(e), e, K, "vec_id")
+
+
+@register("V1_W9_similarity_threshold", SAMPLE_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.vec_id) <= 20""")
+def w9(spark, sf):
+    e = vectors(spark, sf)
+    found = V.knn(queries_of(e), e, 20, "vec_id", skip_self=True)
+    return found.where(similar_enough(F.col("score"), 0.4)).select("query_id", "id")
+
+
+@register("V3_pattern_matches", SAMPLE_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
+  sc AS (SELECT q.vec_id AS query_id, pt.vec_id AS id, list_cosine_similarity(q.v, pt.v) AS score FROM q, pt),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+  SELECT query_id, id::VARCHAR AS pattern_id, 'kind7' AS attack_type, concat('pattern ', id) AS name, 'No pattern description available.' AS description,
+    'unknown' AS severity, 'N/A' AS mitre, round(greatest(0.0, score), 4) AS score, concat('/p/', id) AS examples FROM rn WHERE rank <= 3""")
+def v3(spark, sf):
+    e = vectors(spark, sf)
+    patterns = e.where("label = 7").select(
+        F.col("vec_id").alias("pattern_id"), "embedding", F.concat(F.lit("pattern "), F.col("vec_id").cast("string")).alias("name"),
+        F.lit("kind7").alias("category"), F.concat(F.lit("/p/"), F.col("vec_id").cast("string")).alias("payload_example"))
+    found = V.knn(queries_of(e).select(F.col("vec_id").alias("pattern_id"), "embedding"), patterns, 3, "pattern_id")
+    return V.match_rows(found, patterns).select("query_id", "pattern_id", "attack_type", "name", "description", "severity", "mitre", "score",
+                                                joined("examples").alias("examples"))
+
+
+@register("J9_R7_incident_detail", SAMPLE_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
+  sc AS (SELECT q.vec_id AS query_id, pt.vec_id AS id, list_cosine_similarity(q.v, pt.v) AS score FROM q, pt),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+  SELECT query_id::VARCHAR AS event_id, string_agg(id, ',' ORDER BY rank) AS pattern_ids, 'Rotate keys.' AS first_step FROM rn WHERE rank <= 3 GROUP BY 1""")
+def r7(spark, sf):
+    e = vectors(spark, sf)
+    text = F.lit("").cast("string")
+    rows = queries_of(e).select(
+        F.col("vec_id").cast("string").alias("event_id"), "embedding", F.lit("sqli").alias("attack_type"), text.alias("uri"), text.alias("raw"),
+        F.array().cast("array<string>").alias("matched_rule_ids"), F.array().cast("array<string>").alias("detection_sources"),
+        F.lit(80).alias("risk_score"), F.lit(0.8).alias("prediction_score"))
+    patterns = e.where("label = 7").select(F.col("vec_id").cast("string").alias("pattern_id"), "embedding", F.lit("sqli").alias("category"),
+                                           F.lit("p").alias("name"), F.lit("Rotate keys.").alias("mitigation"))
+    # ties are broken by id text in this shape, so the pattern ids are padded away by the score order
+    d = incident_detail(rows, patterns)
+    return d.select("event_id", joined(F.transform("patterns", lambda p: p["pattern_id"])).alias("pattern_ids"), F.col("recommendations")[0].alias("first_step"))
+
+
+@register("J10_false_positive_match", UNIT_SQL + """, fp AS (SELECT * FROM e WHERE label = 2), inc AS (SELECT * FROM e WHERE label <> 2),
+  sc AS (SELECT inc.vec_id AS id, fp.vec_id AS fp, list_cosine_similarity(inc.v, fp.v) AS s FROM inc, fp),
+  b AS (SELECT id, max(s) AS s FROM sc GROUP BY 1)
+  SELECT id::VARCHAR AS correlation_id, round(s, 6) AS similarity FROM b WHERE s >= 0.25""")
+def j10(spark, sf):
+    e = vectors(spark, sf)
+    inc = e.where("label <> 2").select(F.col("vec_id").cast("string").alias("correlation_id"), "embedding")
+    known = e.where("label = 2").select(F.col("vec_id").cast("string").alias("incident_id"), "embedding", F.lit("known").alias("notes"))
+    return V.false_positive_matches(inc, known, 0.25).select("correlation_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("V2_text_to_similar_documents", r"""WITH src AS (SELECT doc_id AS doc, text FROM documents),
+  tok AS (SELECT doc, regexp_extract_all(text, '[^\s|]+') AS t FROM src),
+  g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
+  c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2),
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM src)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 2000),
+  w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
+  u AS (SELECT doc, term, w / nn AS w FROM w JOIN nr USING (doc)),
+  s AS (SELECT a.doc AS query_id, b.doc AS id, sum(a.w * b.w) AS score FROM u a JOIN u b USING (term) WHERE a.doc IN (SELECT item FROM (SELECT min(doc_id) AS item FROM documents)) AND a.doc <> b.doc GROUP BY 1, 2)
+  SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
+def v2(spark, sf):
+    d = table(spark, sf, "documents")
+    model = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 2000)
+    first = d.agg(F.min("doc_id").alias("m")).first()["m"]
+    found = V.sparse_scores(model.where(F.col("doc") == first), model, 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+TFIDF_OUT = """,
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 5000),
+  w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
+  u AS (SELECT doc, term, round(w / nn, 6) AS weight FROM w JOIN nr USING (doc))
+  SELECT doc, count(*) AS terms, round(sum(weight), 3) AS total, max(weight) AS top FROM u GROUP BY 1"""
+
+
+def tfidf_out(model):
+    return model.withColumn("weight", F.round("weight", 6)).groupBy("doc").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 3).alias("total"), F.max("weight").alias("top"))
+
+
+@register("V4_char_tfidf", r"""WITH wd AS (SELECT doc_id AS doc, unnest(string_split_regex(text, '\s+')) AS w FROM documents),
+  wc AS (SELECT doc, concat(' ', w, ' ') AS p, count(*) AS k FROM wd WHERE w <> '' GROUP BY 1, 2),
+  gr AS (SELECT doc, k, unnest(flatten([[substr(p, i, n) FOR i IN range(1, length(p) - n + 2)] FOR n IN [3, 4, 5] IF length(p) >= n])) AS term FROM wc),
+  c AS (SELECT doc, term, sum(k) AS n FROM gr GROUP BY 1, 2)""" + TFIDF_OUT)
+def v4(spark, sf):
+    return tfidf_out(V.text_model(table(spark, sf, "documents"), "doc_id", F.col("text"), "char_tfidf", 5000))
+
+
+@register("V5_word_tfidf", r"""WITH tok AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s|]+') AS t FROM documents),
+  g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
+  c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2)""" + TFIDF_OUT)
+def v5(spark, sf):
+    return tfidf_out(V.text_model(table(spark, sf, "documents"), "doc_id", F.col("text"), "word_tfidf", 5000))
+
+
+NUMERIC = ["price", "customer", "words"]
+NUMERIC_SQL = """WITH n AS (SELECT o_orderkey AS doc, o_totalprice AS price, o_custkey::DOUBLE AS customer, length(o_orderpriority)::DOUBLE AS words FROM orders),
+  st AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(customer) AS mc, stddev_pop(customer) AS sc, avg(words) AS mw, stddev_pop(words) AS sw FROM n),
+  z AS (SELECT doc, (price - mp) / sp AS price, (customer - mc) / sc AS customer, (words - mw) / sw AS words FROM n, st),
+  m AS (SELECT *, sqrt(price * price + customer * customer + words * words) AS nn FROM z)"""
+
+
+@register("V6_numeric_vectors", NUMERIC_SQL + " SELECT doc, round(price / nn, 5) AS price, round(customer / nn, 5) AS customer, round(words / nn, 5) AS words FROM m")
+def v6(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"),
+        F.length("o_orderpriority").alias("words"))
+    v = V.numeric_vectors(o, "doc", NUMERIC)
+    return v.groupBy("doc").agg(*[F.round(F.max(F.when(F.col("term") == n, F.col("weight"))), 5).alias(n) for n in NUMERIC])
+
+
+@register("V7_hybrid_vectors", r"""WITH tok AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s|]+') AS t FROM documents),
+  g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
+  c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2),
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 3000),
+  w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
+  u AS (SELECT doc, concat('t:', term) AS term, 0.75 * w / nn AS w FROM w JOIN nr USING (doc)),
+  f AS (SELECT doc_id AS doc, n_chars::DOUBLE AS a, length(lang)::DOUBLE + length(source) AS b FROM documents),
+  st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, CASE WHEN stddev_pop(b) = 0 THEN 1 ELSE stddev_pop(b) END AS sb FROM f),
+  z AS (SELECT doc, (a - ma) / sa AS a, (b - mb) / sb AS b FROM f, st), m AS (SELECT *, sqrt(a * a + b * b) AS nn FROM z),
+  h AS (SELECT * FROM u UNION ALL SELECT doc, 'n:a', 0.25 * a / CASE WHEN nn > 0 THEN nn ELSE 1 END FROM m UNION ALL SELECT doc, 'n:b', 0.25 * b / CASE WHEN nn > 0 THEN nn ELSE 1 END FROM m),
+  hn AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM h GROUP BY 1)
+  SELECT h.doc, count(*) AS terms, round(sum(round(w / nn, 6)), 3) AS total, round(max(w / nn), 5) AS top FROM h JOIN hn USING (doc) WHERE nn > 0 GROUP BY 1""")
+def v7(spark, sf):
+    d = table(spark, sf, "documents")
+    text = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 3000)
+    nums = d.select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("a"), (F.length("lang") + F.length("source")).alias("b"))
+    h = V.hybrid_vectors(text, V.numeric_vectors(nums, "doc", ["a", "b"]))
+    return h.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.round("weight", 6)), 3).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
+@register("V8_dense_vector_column", UNIT_SQL + " SELECT vec_id, round(list_cosine_similarity(v, (SELECT v FROM e ORDER BY vec_id LIMIT 1)), 6) AS score FROM e")
+def v8(spark, sf):
+    e = vectors(spark, sf)
+    first = [float(x) for x in e.orderBy("vec_id").first()["embedding"]]
+    return e.select("vec_id", F.round(V.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in first])), 6).alias("score"))
+
+
+# --- retrieval quality -----------------------------------------------------------------------
+
+def _metric_sql() -> str:
+    parts = []
+    for k in (1, 5, 10):
+        ideal = " + ".join(f"CASE WHEN tr >= {i} THEN 1.0 / log2({i + 1}) ELSE 0 END" for i in range(1, k + 1))
+        hit = f"rank <= {k} AND ml = ql"
+        parts.append(f"""count(*) FILTER ({hit}) / {k} AS precision_at_{k}, count(*) FILTER ({hit}) / any_value(tr) AS recall_at_{k},
+          CASE WHEN count(*) FILTER ({hit}) > 0 THEN 1.0 ELSE 0.0 END AS hit_at_{k}, coalesce(1.0 / min(rank) FILTER ({hit}), 0.0) AS mrr_at_{k},
+          coalesce(sum(1.0 / log2(rank + 1)) FILTER ({hit}), 0.0) / any_value({ideal}) AS ndcg_at_{k}""")
+    return ", ".join(parts)
+
+
+METRIC_NAMES = [f"{m}_at_{k}" for k in (1, 5, 10) for m in E.METRICS]
+QUALITY_SQL = KNN_SQL + f""", tr AS (SELECT label, count(*) - 1 AS tr FROM e GROUP BY 1),
+  pq AS (SELECT query_id, ql, {_metric_sql()} FROM rn JOIN tr ON tr.label = ql WHERE rank <= 10 AND tr > 0 GROUP BY 1, 2)"""
+
+
+def metrics(spark, sf):
+    e = vectors(spark, sf)
+    q = queries_of(e)
+    found = V.knn(q, e, 10, "vec_id", skip_self=True)
+    return E.query_metrics(found, e, q, id_col="vec_id")
+
+
+@register("V9_query_metrics", QUALITY_SQL + " SELECT query_id, ql AS label, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_NAMES) + " FROM pq")
+def v9(spark, sf):
+    return metrics(spark, sf).select("query_id", "label", *[F.round(m, 6).alias(m) for m in METRIC_NAMES])
+
+
+@register("V10_metric_summary", QUALITY_SQL + " SELECT coalesce(ql::VARCHAR, '*') AS label, count(*) AS queries, " + ", ".join(
+    f"round(avg({m}), 6) AS {m}" for m in METRIC_NAMES) + " FROM pq GROUP BY ROLLUP (ql)")
+def v10(spark, sf):
+    return E.summarize(metrics(spark, sf))
+
+
+@register("V11_best_method", QUALITY_SQL + """, s AS (SELECT 'a' AS method, 1 AS p, round(avg(mrr_at_10), 6) AS x FROM pq UNION ALL SELECT 'b', 2, round(avg(mrr_at_10), 6) FROM pq
+   UNION ALL SELECT 'c', 3, round(avg(mrr_at_1), 6) FROM pq) SELECT arg_max(method, {'x': x, 'p': -p}) AS method, 'mrr' AS metric, max(x) AS score FROM s""")
+def v11(spark, sf):
+    s = E.summarize(metrics(spark, sf)).where("label = '*'")
+    rows = s.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("method"), F.lit(p).alias("position"), F.col(c).alias("mrr"))
+        for n, p, c in (("a", 1, "mrr_at_10"), ("b", 2, "mrr_at_10"), ("c", 3, "mrr_at_1"))])).alias("r")).select("r.*")
+    return E.best_method(rows, "mrr")
+
+
+# --- labels and models -----------------------------------------------------------------------
+
+WIDE_SQL = """WITH w AS (SELECT event_id, (event_type = 'error')::INT AS sqli, (event_type = 'click' AND value >= 100)::INT AS xss, (value >= 300)::INT AS trav,
+    (event_type = 'signup')::INT AS scan, (event_type = 'purchase')::INT AS other FROM events)"""
+
+
+def wide_labels(spark, sf):
+    e = table(spark, sf, "events")
+    kind, value = F.col("event_type"), F.col("value")
+    columns = {
+        "000 - Normal": kind == "view", "66 - SQL Injection": kind == "error", "591 - Reflected XSS": (kind == "click") & (value >= 100),
+        "126 - Path Traversal": value >= 300, "310 - Scanning for Vulnerable Software": kind == "signup", "33 - HTTP Request Smuggling": kind == "purchase",
+    }
+    return e.select("event_id", *[c.cast("int").alias(n) for n, c in columns.items()])
+
+
+@register("V12_training_targets", WIDE_SQL + """ SELECT event_id, (sqli + xss + trav + scan + other > 0)::INT AS binary_target,
+   CASE WHEN trav > 0 THEN 'path_traversal' WHEN sqli > 0 THEN 'sqli' WHEN xss > 0 THEN 'xss' WHEN scan > 0 THEN 'scanning' ELSE 'unknown' END AS attack_type_target FROM w""")
+def v12_training(spark, sf):
+    return L.training_targets(wide_labels(spark, sf)).select("event_id", "binary_target", "attack_type_target")
+
+
+@register("V12_evaluation_targets", WIDE_SQL + """ SELECT event_id, CASE WHEN sqli + xss + trav + scan + other > 0 THEN 'attack' ELSE 'benign' END AS binary_label,
+   CASE WHEN trav > 0 THEN 'path_traversal' WHEN sqli > 0 THEN 'sqli' WHEN xss > 0 THEN 'xss' WHEN scan > 0 THEN 'scanning' WHEN other > 0 THEN 'request_smuggling' ELSE 'normal' END AS attack_type_label FROM w""")
+def v12_evaluation(spark, sf):
+    return L.evaluation_targets(wide_labels(spark, sf)).select("event_id", "binary_label", "attack_type_label")
+
+
+@register("V13_weak_targets", """WITH f AS (SELECT event_id, event_id % 7 = 0 AS t, event_id % 5 = 0 AS s, event_id % 3 = 0 AS x, event_id % 2 = 0 AS n FROM events)
+   SELECT event_id, CASE WHEN t OR s OR x OR n THEN 'attack' ELSE 'benign' END AS binary_label,
+     CASE WHEN t THEN 'path_traversal' WHEN s THEN 'sqli' WHEN x THEN 'xss' WHEN n THEN 'scanning' ELSE 'normal' END AS attack_type_label FROM f""")
+def v13(spark, sf):
+    e = F.col("event_id")
+    f = table(spark, sf, "events").select("event_id", (e % 7 == 0).cast("int").alias("feature_has_path_traversal"), (e % 5 == 0).cast("int").alias("feature_has_sql_keyword"),
+                                          (e % 3 == 0).cast("int").alias("feature_has_xss_keyword"), (e % 2 == 0).cast("int").alias("feature_is_scanner_user_agent"))
+    return L.weak_targets(f).select("event_id", "binary_label", "attack_type_label")
+
+
+@register("J6_features_by_row", "SELECT e.event_id AS row_index, e.value, n.event_type AS next_type FROM events e JOIN events n ON n.event_id = e.event_id + 1")
+def j6(spark, sf):
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("event_id").alias("m")).first()["m"]
+    features = e.where(F.col("event_id") < last).select(F.col("event_id").alias("row_index"), "value")
+    wide = e.select(F.col("event_id").alias("row_index"), F.col("event_type").alias("next_type"))
+    return L.align_by_row(features, wide, offset=1)
+
+
+@register("M1_feature_matrix", """SELECT event_id, value AS feature_uri_length, coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE event_id::VARCHAR END AS DOUBLE), 0.0) AS feature_zeta FROM events""")
+def m1(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("feature_zeta"),
+                                          F.col("value").alias("feature_uri_length"))
+    m = numeric_matrix(e)
+    return m.select("event_id", *feature_columns(m))
+
+
+@register("M4_binary_metrics", """WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality > 0 AND toxic > 0) AS tp, count(*) FILTER (quality = 0 AND toxic > 0) AS fp,
+    count(*) FILTER (quality > 0 AND toxic = 0) AS fn, count(*) FILTER (quality > 0) AS pos FROM labels),
+  m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
+  SELECT round((n - fp - fn) / n, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1,
+    n AS test_samples, pos AS positive_samples FROM m""")
+def m4(spark, sf):
+    return M.binary_metrics(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@register("M4_weighted_metrics", """WITH x AS (SELECT label AS t, (vec_id * 7 + label) % 10 AS p FROM embeddings), k AS (SELECT DISTINCT t AS c FROM x UNION SELECT DISTINCT p FROM x),
+  s AS (SELECT c, (SELECT count(*) FROM x WHERE t = c) AS sup, (SELECT count(*) FROM x WHERE p = c) AS called, (SELECT count(*) FROM x WHERE t = c AND p = c) AS ok FROM k),
+  m AS (SELECT *, CASE WHEN called > 0 THEN ok / called ELSE 0.0 END AS pr, CASE WHEN sup > 0 THEN ok / sup ELSE 0.0 END AS re FROM s)
+  SELECT round(sum(ok) / sum(sup), 6) AS accuracy, round(sum(pr * sup) / sum(sup), 6) AS precision_weighted, round(sum(re * sup) / sum(sup), 6) AS recall_weighted,
+    round(sum(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END * sup) / sum(sup), 6) AS f1_weighted, sum(sup)::BIGINT AS test_samples FROM m""")
+def m4_weighted(spark, sf):
+    x = vectors(spark, sf).select(F.col("label").alias("t"), ((F.col("vec_id") * 7 + F.col("label")) % 10).alias("p"))
+    return M.weighted_metrics(x, "t", "p")
+
+
+def model_rows(spark, sf):
+    """Sixteen vector components as features; labels 0-4 are attacks of three types."""
+    e = vectors(spark, sf)
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"feature_c{i:02d}") for i in range(16)],
+                    (F.col("label") < 5).cast("int").alias("binary_target"),
+                    F.when(F.col("label") < 2, "sqli").when(F.col("label") < 4, "xss").otherwise("scanning").alias("attack_type_target"))
+
+
+@register("M2_M3_M5_two_stage_predictions")
+def m5(spark, sf):
+    rows = N.train_test_split(model_rows(spark, sf), "binary_target", "vec_id")
+    columns = feature_columns(rows)
+    train, test = rows.where("not is_test"), rows.where("is_test")
+    binary, kind = M.fit_binary(train, columns), M.fit_attack_type(train, columns)
+    return M.predict(test, binary, kind, columns).select(
+        "vec_id", "ml_label", "ml_confidence", "ml_attack_type", "ml_attack_type_confidence", "ml_normal_probability", "ml_attack_probability", "ml_should_alert")
+
+
+@register("M6_saved_model_predictions")
+def m6(spark, sf):
+    from logwarden.session import new_work_path
+    rows = model_rows(spark, sf)
+    columns = feature_columns(rows)
+    folder = new_work_path(spark, "models")
+    M.save_models(spark, folder, M.fit_binary(rows, columns), M.fit_attack_type(rows, columns), columns, {})
+    binary, kind, meta = M.load_models(spark, folder)
+    return M.predict(rows, binary, kind, meta["feature_columns"]).groupBy("ml_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("N5_stable_sort_limit", REQ + "SELECT event_id, risk_score FROM requests ORDER BY risk_score DESC, event_id LIMIT 1000")
+def n5(spark, sf):
+    return requests(spark, sf).orderBy(F.desc("risk_score"), "event_id").limit(1000).select("event_id", "risk_score")

@@ -63,12 +63,18 @@ def _ip_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_target_count(rows: DataFrame, winners: DataFrame) -> DataFrame:
-    """Adds the exact number of distinct URIs; only the winners' rows are read for it.
+# A report of at most this many rows may be broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 10_000
 
-    ``winners`` has at most ``limit`` rows, so its side of the join is broadcast.
-    """
-    keys = F.broadcast(winners.select("ip"))
+
+def small(report: DataFrame, limit: int) -> DataFrame:
+    """Broadcast hint for a table cut to ``limit`` rows, when that bound is low enough."""
+    return F.broadcast(report) if limit <= BROADCAST_ROWS else report
+
+
+def _with_target_count(rows: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
+    """Adds the exact number of distinct URIs; only the winners' rows are shuffled for it."""
+    keys = small(winners.select("ip"), limit)
     targets = rows.join(keys, "ip", "left_semi").groupBy("ip").agg(F.count_distinct("uri").alias("target_count"))
     return winners.join(targets, "ip", "left").withColumn("target_count", F.coalesce("target_count", F.lit(0)))
 
@@ -76,7 +82,7 @@ def _with_target_count(rows: DataFrame, winners: DataFrame) -> DataFrame:
 def top_attacking_ips(df: DataFrame, limit: int = 10, start: datetime | None = None) -> DataFrame:
     rows = malicious_requests(df, start)
     winners = _ip_totals(rows).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(rows, winners).select(
+    return _with_target_count(rows, winners, limit).select(
         "ip", "total_attacks", "attack_types", "first_seen", "last_seen", "target_count"
     ).orderBy(F.desc("total_attacks"), "ip")
 
@@ -103,7 +109,7 @@ def attack_campaigns(df: DataFrame, min_attacks: int = 50, min_types: int = 3, l
     winners = totals.where(
         (F.col("total_attacks") >= max(1, min_attacks)) & (F.col("attack_type_count") >= max(1, min_types))
     ).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(rows, winners).withColumn(
+    return _with_target_count(rows, winners, limit).withColumn(
         "risk_level", campaign_risk_level(F.col("total_attacks"), F.col("attack_type_count"))
     ).orderBy(F.desc("total_attacks"), "ip")
 
@@ -135,7 +141,7 @@ def ip_threat_scores(df: DataFrame, limit: int = 10) -> DataFrame:
         F.desc("max_risk_score"), F.desc("total_alerts"), F.desc("avg_risk_score"), "source_ip").limit(limit)
     # Distinct rule-id lists of the winners; pre-reduced to one row per list.
     fired = (
-        rows.where("ids is not null").join(F.broadcast(winners.select("source_ip")), "source_ip", "left_semi")
+        rows.where("ids is not null").join(small(winners.select("source_ip"), limit), "source_ip", "left_semi")
         .select("source_ip", F.array_join("ids", ",").alias("list")).distinct()
         .groupBy("source_ip").agg(F.array_sort(F.collect_set("list")).alias("lists"))
     )

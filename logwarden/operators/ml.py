@@ -18,10 +18,10 @@ THRESHOLD = 0.5
 
 
 def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Row weight ``n / (classes * class size)``; the class table has one row per class."""
+    """Row weight ``n / (classes * class size)``."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     stats = sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    return df.join(F.broadcast(sizes), label).withColumn(weight, F.lit(float(stats["n"] or 0) / max(1, stats["k"])) / F.col("_n")).drop("_n")
+    return df.join(sizes, label).withColumn(weight, F.lit(float(stats["n"] or 0) / max(1, stats["k"])) / F.col("_n")).drop("_n")
 
 
 def _stages(columns: list[str], label: str, rows: int, family: str) -> list:

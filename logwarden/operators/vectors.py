@@ -288,7 +288,7 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool
     c = corpus.select(F.col("doc").alias("id"), "term", F.col("weight").alias("cw"),
                       F.pmod(F.xxhash64("doc"), F.lit(slices)).alias("_s"))
     q = queries.select(F.col("doc").alias("query_id"), "term", F.col("weight").alias("qw"),
-                       F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("_s"))
+                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("_s"))
     scores = q.join(c, ["term", "_s"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
     if skip_self:
         scores = scores.where("query_id <> id")

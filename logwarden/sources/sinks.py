@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logwarden.operators.nested import flat_to_nested
-from logwarden.session import new_work_path
 
 # Fixed value: most bytes in one converted part file.
 MAX_PART_BYTES = 50 * 1024 * 1024
@@ -86,22 +85,24 @@ def upsert(current: DataFrame | None, batch: DataFrame, key: str = "event_id",
     return joined.select(*[value(n).alias(n) for n in names])
 
 
-def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, key: str = "event_id") -> None:
-    """Upsert into a parquet table: the new state is written beside the old, then swapped in.
+def write_version(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Stores one batch beside the earlier ones; writing a batch again replaces it.
 
-    With a table format that supports it, ``DataFrame.mergeInto`` does the same in place.
+    The cost is that of the batch alone, and no other writer's files are touched.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = hadoop.Path(path)
-    files = target.getFileSystem(conf)
-    current = spark.read.parquet(path) if files.exists(target) else None
-    staged, old = f"{path}.new", hadoop.Path(f"{path}.old")
-    upsert(current, batch, key).write.mode("overwrite").parquet(staged)
-    if current is not None:
-        files.delete(old, True)
-        files.rename(target, old)
-    files.rename(hadoop.Path(staged), target)
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_current(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
+    """Last version of every key in a table written batch by batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    order = F.struct("batch", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "batch"]))
+    return latest_per_key(rows, key, order).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, key: str = "event_id") -> None:
+    """One-version copy of a batch-wise table. A table format with MERGE does this in place."""
+    read_current(spark, path, key).write.mode("errorifexists").parquet(f"{target}/batch=0")
 
 
 def merge_parts(parts: list[DataFrame]) -> DataFrame:
@@ -142,5 +143,5 @@ def migration_count(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["write_jsonl", "csv_ready", "write_csv", "write_line_parts", "latest_per_key", "upsert",
-           "upsert_parquet", "merge_parts", "merge_summaries", "migrate", "migration_count",
-           "new_work_path"]
+           "write_version", "read_current", "compact", "merge_parts", "merge_summaries", "migrate",
+           "migration_count"]

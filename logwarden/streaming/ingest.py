@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.plans.flow import analyze_lines
 from logwarden.sources.lines import server_type_of_path
-from logwarden.sources.sinks import upsert_parquet
+from logwarden.sources.sinks import write_version
 
 
 def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -34,11 +34,13 @@ def drop_repeats(stream: DataFrame, ts: str = "ts", key: str = "event_id", delay
 
 
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-                  key: str = "event_id", once: bool = False) -> StreamingQuery:
-    """Micro-batches through ``transform`` into a keyed table; a replayed batch changes nothing."""
-    def write(batch: DataFrame, _: int) -> None:
-        rows = transform(batch) if transform else batch
-        upsert_parquet(batch.sparkSession, rows, table, key)
+                  once: bool = False) -> StreamingQuery:
+    """Micro-batches through ``transform`` into a keyed table; a replayed batch changes nothing.
+
+    ``read_current`` gives the table's state.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_version(transform(batch) if transform else batch, table, batch_id)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")
