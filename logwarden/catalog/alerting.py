@@ -10,7 +10,7 @@ from logwarden.catalog.base import GROUP_SQL, REQ, joined, latest, register, req
 from logwarden.operators import incidents as I, lifecycle as L
 from logwarden.operators.baselines import above_baseline, attack_baselines, endpoint_min_floors, with_baseline
 from logwarden.functions.text import endpoint_group, hour_of_week
-from logwarden.session import new_work_path
+from logwarden.session import materialize, new_work_path
 from logwarden.sources import sinks
 from logwarden.streaming import alerting as SA, ingest as SI
 
@@ -98,7 +98,7 @@ GATE_SQL = INCIDENT_SQL + BASE_SQL + """, batch AS (SELECT grp, count(*) AS n FR
 
 
 def gated(spark, sf):
-    r, a, i = requests(spark, sf), alerts(spark, sf), incidents(spark, sf)
+    r, a, i = requests(spark, sf), alerts(spark, sf), materialize(incidents(spark, sf), "incidents")
     gate = I.baseline_gate(a, i, None, None, attack_baselines(r), endpoint_min_floors(r), HOURS * 60, sigma=600.0)
     return I.gate_incidents(a, i, gate)
 
@@ -146,7 +146,7 @@ def recursive(sql: str) -> str:
 
 def lifecycle(spark, sf, **options):
     a = requests(spark, sf).where("should_alert")
-    i = I.correlate(a, 60)
+    i = materialize(I.correlate(a, 60), "incidents")
     return i, L.process_incidents(i, I.incident_evidence(a, 60), cooldown_minutes=120, **options)
 
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logwarden.functions.scales import label_of, risk_level
+from logwarden.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts are costly to process, dealt out over all cores."""
+    t = table(spark, sf, name)
+    return spread(t, t.columns[0])
+
+
 # The request log: events read as web requests. The same text runs in both engines.
 REQUESTS_SQL = """
 WITH b AS (SELECT event_id, ts, user_id, event_type, value,
@@ -128,7 +135,7 @@ web AS (SELECT event_id, ts, k, value,
 
 def web_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Access-log fields of the event table, some with encoded attack payloads."""
-    e = table(spark, sf, "events")
+    e = text_table(spark, sf, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     kind, value, s = F.col("event_type"), F.col("value"), k.cast("string")
     click = F.when(value >= 100, F.concat(F.lit("/api/items/"), s, F.lit("?q=%3Cscript%3Ealert(1)%3C/script%3E&p="), s)).otherwise(

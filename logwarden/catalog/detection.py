@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logwarden.catalog.base import REQ, WEB_SQL, joined, register, requests, table, web_requests
+from logwarden.catalog.base import REQ, WEB_SQL, joined, register, requests, table, text_table, web_requests
 from logwarden.functions.text import split_uri, valid_ip
 from logwarden.operators.features import (
     SCANNER_AGENTS, SPECIAL_CHARS, SQL_KEYWORDS, TRAVERSAL_KEYWORDS, XSS_KEYWORDS, count_chars, entropy,
@@ -46,7 +46,7 @@ def p11(spark, sf):
   SELECT page_id, coalesce(nullif(regexp_replace(w, '^[a-z]+://[^/]*', ''), ''), w) AS uri, query_string, nullif(fragment, '') AS fragment FROM c""")
 def p11_pages(spark, sf):
     parts = split_uri(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in parts.items()])
+    return text_table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @register("P13_decode_rounds", DECODED_SQL + " SELECT event_id, u2 AS decoded_uri, q1 AS decoded_query_string, depth::INT AS decode_depth, depth > 0 AS decode_changed FROM req")
@@ -64,7 +64,7 @@ def p16(spark, sf):
   SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfkc), '[\p{Cc}\p{Cf}]', '', 'g'), '[ \x{1680}\x{2028}\x{2029}]+', ' ', 'g'), ' ') AS t FROM (
     SELECT doc_id, CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) ELSE text END AS nfkc FROM documents))""")
 def p14(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("&"), F.lit("&")).alias("user_agent"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("&"), F.lit("&")).alias("user_agent"))
     from logwarden.functions.decode import clean_unicode, drop_controls
     t = drop_controls(clean_unicode(F.substring("user_agent", 1, 200_000)))
     return d.select("doc_id", F.length(t).cast("bigint").alias("n_clean"), F.md5(t).alias("digest"))
@@ -72,7 +72,7 @@ def p14(spark, sf):
 
 @register("P15_length_guard", "SELECT doc_id, least(length(text), 500) AS kept, length(text) > 500 AS truncated FROM documents")
 def p15(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("user_agent"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("user_agent"))
     p = preprocess(d, max_length=500)
     return d.join(p.select("doc_id", F.array_contains("preprocess_errors", "user_agent_truncated").alias("truncated")), "doc_id").select(
         "doc_id", F.length(F.substring("user_agent", 1, 500)).cast("bigint").alias("kept"), "truncated")
@@ -106,7 +106,7 @@ DOC_COUNTS = [("special", SPECIAL_CHARS), ("slash", "/"), ("dot", "."), ("quote"
 @register("F3_document_char_counts", "SELECT doc_id, " + ", ".join(f"{_chars('text', c)}::INT AS {n}_count" for n, c in DOC_COUNTS)
           + r", length(regexp_replace(text, '[^\p{Nd}]', '', 'g'))::INT AS digit_count, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::INT AS alpha_count FROM documents")
 def f3(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", *[count_chars(F.col("text"), c).alias(f"{n}_count") for n, c in DOC_COUNTS],
                     F.regexp_count("text", F.lit(r"\p{Nd}")).alias("digit_count"), F.regexp_count("text", F.lit(r"\p{L}")).alias("alpha_count"))
 
@@ -119,12 +119,12 @@ def entropy_sql(source: str, key: str, text: str) -> str:
 
 @register("F4_document_entropy", entropy_sql("documents", "doc_id", "text"))
 def f4(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", entropy(F.col("text")).alias("entropy"))
+    return text_table(spark, sf, "documents").select("doc_id", entropy(F.col("text")).alias("entropy"))
 
 
 @register("F4_page_entropy", entropy_sql("pages", "page_id", "html"))
 def f4_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", entropy(F.col("html")).alias("entropy"))
+    return text_table(spark, sf, "pages").select("page_id", entropy(F.col("html")).alias("entropy"))
 
 
 @register("F2_query_params", DECODED_SQL + """, p AS (SELECT event_id, unnest(string_split(nq, '&')) AS part FROM req WHERE nq <> ''),
@@ -143,7 +143,7 @@ def f2(spark, sf):
   SELECT page_id, split_part(part, '=', 1) AS name, url_decode(substr(part, length(split_part(part, '=', 1)) + 2)) AS val FROM p WHERE part <> ''""")
 def f2_pages(spark, sf):
     query = split_uri(F.col("url"))["query_string"]
-    p = table(spark, sf, "pages").select("page_id", F.explode(query_params(query)).alias("p"))
+    p = text_table(spark, sf, "pages").select("page_id", F.explode(query_params(query)).alias("p"))
     return p.select("page_id", F.col("p.name").alias("name"), F.col("p.value").alias("val"))
 
 
@@ -172,7 +172,7 @@ def f1(spark, sf):
 @register("F7_document_keyword_flags", f"""SELECT doc_id, {_has('lower(text)', SQL_KEYWORDS)} AS sql_words, {_has('lower(text)', XSS_KEYWORDS)} AS xss_words,
    {_has('lower(text)', TRAVERSAL_KEYWORDS)} AS traversal_words FROM documents""")
 def f7(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_request"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_request"))
     f = extract_features(d)
     return f.select("doc_id", F.col("feature_has_sql_keyword").alias("sql_words"), F.col("feature_has_xss_keyword").alias("xss_words"),
                     F.col("feature_has_path_traversal").alias("traversal_words"))
@@ -249,20 +249,20 @@ def d2_broad(spark, sf):
 
 @register("D2_page_rule_verdicts", "WITH x AS (SELECT page_id, html AS request FROM pages)" + verdict_sql(BROAD_RULES, "x", "page_id", {"request": "request"}))
 def d2_pages(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.col("html").alias("normalized_request"))
+    p = text_table(spark, sf, "pages").select("page_id", F.col("html").alias("normalized_request"))
     return verdict(detect(p, BROAD_RULES), "page_id")
 
 
 @register("J1_document_rule_matches", "WITH h AS (SELECT doc_id, " + hits_sql(BROAD_RULES, {"request": "text"}) + " FROM documents) " + " UNION ALL ".join(
     f"SELECT doc_id, '{r['id']}' AS id, '{r['category']}' AS category, {r['score']} AS score FROM h WHERE {r['id']}" for r in BROAD_RULES))
 def j1(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_request"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_request"))
     return match_rows(detect(d, BROAD_RULES), "doc_id").select("doc_id", "id", "category", "score")
 
 
 @register("D9_detector_errors", "SELECT 'error' AS detector_status, 15::INT AS n_errors, count(*) AS n_rows FROM documents")
 def d9(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_user_agent"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_user_agent"))
     missing_only = F.size(F.filter("detector_errors", lambda e: e.startswith("field_missing:")))
     return detect(d).groupBy("detector_status", (missing_only + 2).alias("n_errors")).agg(F.count(F.lit(1)).alias("n_rows"))
 

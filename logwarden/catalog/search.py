@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logwarden.catalog.base import REQ, joined, register, requests, table
+from logwarden.catalog.base import REQ, joined, register, requests, table, text_table
 from logwarden.operators import evaluate as E, labels as L, ml as M, ranks as N, vectors as V
 from logwarden.operators.features import feature_columns, numeric_matrix
 from logwarden.operators.predicates import similar_enough
@@ -144,7 +144,7 @@ def j10(spark, sf):
   s AS (SELECT a.doc AS query_id, b.doc AS id, sum(a.w * b.w) AS score FROM u a JOIN u b USING (term) WHERE a.doc IN (SELECT item FROM (SELECT min(doc_id) AS item FROM documents)) AND a.doc <> b.doc GROUP BY 1, 2)
   SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
 def v2(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     model = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 2000)
     first = d.agg(F.min("doc_id").alias("m")).first()["m"]
     found = V.sparse_scores(model.where(F.col("doc") == first), model, 10)
@@ -154,13 +154,13 @@ def v2(spark, sf):
 TFIDF_OUT = """,
   vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 5000),
   w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
-  u AS (SELECT doc, term, round(w / nn, 6) AS weight FROM w JOIN nr USING (doc))
-  SELECT doc, count(*) AS terms, round(sum(weight), 3) AS total, max(weight) AS top FROM u GROUP BY 1"""
+  u AS (SELECT doc, term, w / nn AS weight FROM w JOIN nr USING (doc))
+  SELECT doc, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 5) AS top FROM u GROUP BY 1"""
 
 
 def tfidf_out(model):
-    return model.withColumn("weight", F.round("weight", 6)).groupBy("doc").agg(
-        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 3).alias("total"), F.max("weight").alias("top"))
+    return model.groupBy("doc").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
 
 
 @register("V4_char_tfidf", r"""WITH wd AS (SELECT doc_id AS doc, unnest(string_split_regex(text, '\s+')) AS w FROM documents),
@@ -168,14 +168,14 @@ def tfidf_out(model):
   gr AS (SELECT doc, k, unnest(flatten([[substr(p, i, n) FOR i IN range(1, length(p) - n + 2)] FOR n IN [3, 4, 5] IF length(p) >= n])) AS term FROM wc),
   c AS (SELECT doc, term, sum(k) AS n FROM gr GROUP BY 1, 2)""" + TFIDF_OUT)
 def v4(spark, sf):
-    return tfidf_out(V.text_model(table(spark, sf, "documents"), "doc_id", F.col("text"), "char_tfidf", 5000))
+    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "char_tfidf", 5000))
 
 
 @register("V5_word_tfidf", r"""WITH tok AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s|]+') AS t FROM documents),
   g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
   c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2)""" + TFIDF_OUT)
 def v5(spark, sf):
-    return tfidf_out(V.text_model(table(spark, sf, "documents"), "doc_id", F.col("text"), "word_tfidf", 5000))
+    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "word_tfidf", 5000))
 
 
 NUMERIC = ["price", "customer", "words"]
@@ -205,13 +205,13 @@ def v6(spark, sf):
   z AS (SELECT doc, (a - ma) / sa AS a, (b - mb) / sb AS b FROM f, st), m AS (SELECT *, sqrt(a * a + b * b) AS nn FROM z),
   h AS (SELECT * FROM u UNION ALL SELECT doc, 'n:a', 0.25 * a / CASE WHEN nn > 0 THEN nn ELSE 1 END FROM m UNION ALL SELECT doc, 'n:b', 0.25 * b / CASE WHEN nn > 0 THEN nn ELSE 1 END FROM m),
   hn AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM h GROUP BY 1)
-  SELECT h.doc, count(*) AS terms, round(sum(round(w / nn, 6)), 3) AS total, round(max(w / nn), 5) AS top FROM h JOIN hn USING (doc) WHERE nn > 0 GROUP BY 1""")
+  SELECT h.doc, count(*) AS terms, round(sum(w / nn), 5) AS total, round(max(w / nn), 5) AS top FROM h JOIN hn USING (doc) WHERE nn > 0 GROUP BY 1""")
 def v7(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     text = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 3000)
     nums = d.select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("a"), (F.length("lang") + F.length("source")).alias("b"))
     h = V.hybrid_vectors(text, V.numeric_vectors(nums, "doc", ["a", "b"]))
-    return h.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum(F.round("weight", 6)), 3).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+    return h.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
 
 
 @register("V8_dense_vector_column", UNIT_SQL + " SELECT vec_id, round(list_cosine_similarity(v, (SELECT v FROM e ORDER BY vec_id LIMIT 1)), 6) AS score FROM e")

@@ -23,8 +23,11 @@ UNION_SELECT = r"\bunion(?:\s|/\*.*?\*/)+select\b"
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many characters of ``text`` are in ``chars``; one or two are counted by byte search."""
+    if len(chars) > 2:
+        return F.length(text) - F.length(F.translate(text, chars, ""))
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars]
+    return counts[0] if len(counts) == 1 else counts[0] + counts[1]
 
 
 def entropy(text: Column) -> Column:

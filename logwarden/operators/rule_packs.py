@@ -13,6 +13,30 @@ def _rule(category: str, rule_id: str, field: str, kind: str, pattern: str,
             "score": score, "severity": severity, "description": description}
 
 
+# Texts of which a match holds at least one, in lower case. They let the scan skip a
+# slow pattern (look-aheads are tried at every position) for most requests.
+NEEDED_TEXT = {
+    "sqli_union_select": ["union"],
+    "sqli_stacked_query": [";"],
+    "sqli_comment_with_context": ["--", "#", "/*"],
+    "xss_html_event_handler": ["<"],
+    "xss_javascript_uri": ["javascript"],
+    "traversal_dotdot": [".."],
+    "traversal_encoded_dotdot_raw": ["%2", "%25"],
+    "scanner_sqlmap_ua": ["sqlmap"],
+    "scanner_nikto_ua": ["nikto"],
+    "scanner_nmap_ua": ["nmap"],
+    "sensitive_admin_path": ["admin", "manager", "console"],
+    "sensitive_admin_success_or_forbidden": ["admin", "manager", "console"],
+    "sqli_or_true": ["="],
+    "sqli_time_based": ["sleep", "benchmark", "waitfor"],
+    "sqli_comment": ["--", "#", "/*"],
+    "xss_event_handler": ["="],
+    "traversal_encoded_dotdot": ["%2"],
+    "traversal_windows_files": [".ini"],
+    "sensitive_env_file": [".env"],
+}
+
 DEFAULT_RULES = [
     _rule("sqli", "sqli_boolean_or", "query_string", "regex",
           r"(?:'|\b)(?:\s|/\*.*?\*/)*(?:or|and)(?:\s|/\*.*?\*/)+\d+\s*=\s*\d+",
@@ -104,3 +128,7 @@ BROAD_RULES = [
     _rule("sensitive_paths", "sensitive_admin_path", "uri", "regex", r"(/admin|/wp-admin|/phpmyadmin)",
           15, "low", "Administration path"),
 ]
+
+for _r in DEFAULT_RULES + BROAD_RULES:
+    if _r["id"] in NEEDED_TEXT:
+        _r["needs"] = NEEDED_TEXT[_r["id"]]

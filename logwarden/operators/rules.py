@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,6 +61,8 @@ def _problem(rule: dict, seen: set[str]) -> str | None:
 def load_rules(rules: Iterable[dict] | DataFrame, strict: bool = True) -> tuple[list[dict], list[str]]:
     """Validated rules and load errors.
 
+    A rule may carry ``needs``: lower-case texts of which every match holds at least one.
+
     ``strict`` raises on the first bad rule; otherwise bad rules are left out and
     reported. A rules table is read to the driver only up to ``MAX_RULES`` rows.
     """
@@ -85,6 +88,7 @@ def load_rules(rules: Iterable[dict] | DataFrame, strict: bool = True) -> tuple[
             "description": rule.get("description") or "", "score": int(rule["score"]),
             "severity": str(rule["severity"]).strip().lower(), "field": str(rule["field"]).strip(),
             "pattern": str(rule["pattern"]), "type": str(rule["type"]).strip().lower(),
+            "needs": [str(t).lower() for t in rule.get("needs") or []],
         }
         seen.add(ready["id"])
         if ready["type"] == "regex":
@@ -108,17 +112,16 @@ def rules_version(rules: list[dict]) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
-def _target(df: DataFrame, rule: dict, limit: int) -> tuple[str, Column | None]:
-    name = FIELD_COLUMNS.get(rule["field"], rule["field"])
-    if name not in df.columns:
-        return name, None
-    return name, F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")), 1, limit)
+def rule_column(rule: dict) -> str:
+    return FIELD_COLUMNS.get(rule["field"], rule["field"])
 
 
-def _hit(rule: dict, target: Column) -> Column:
+def _hit(rule: dict, target: Column, lowered: Column) -> Column:
     if rule["type"] == "contains":
-        return F.lower(target).contains(rule["pattern"].lower())
-    return target.rlike(f"(?i){rule['pattern']}")
+        return lowered.contains(rule["pattern"].lower())
+    found = target.rlike(f"(?i){rule['pattern']}")
+    texts = rule.get("needs")
+    return reduce(lambda a, b: a | b, [lowered.contains(t) for t in texts]) & found if texts else found
 
 
 def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None = None,
@@ -127,14 +130,19 @@ def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None =
     rules = DEFAULT_RULES if rules is None else rules
     version = version or rules_version(rules)
     hits, matches, errors = {}, [], []
+    used = [c for c in dict.fromkeys(rule_column(r) for r in rules) if c in df.columns]
+    # Target texts, cut and lower-cased once for all rules.
+    texts = df.withColumns({f"_text_{c}": F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, max_target) for c in used})
+    texts = texts.withColumns({f"_lower_{c}": F.lower(f"_text_{c}") for c in used}) if used else texts
     for i, rule in enumerate(rules):
-        name, target = _target(df, rule, max_target)
+        name = rule_column(rule)
         h = f"_hit_{i}"
-        if target is None:
+        if name not in used:
             hits[h] = F.lit(False)
             errors.append(F.lit(f"field_missing:{rule['id']}:{name}"))
             continue
-        hits[h] = (target != "") & _hit(rule, target)
+        target = F.col(f"_text_{name}")
+        hits[h] = (target != "") & _hit(rule, target, F.col(f"_lower_{name}"))
         errors.append(F.when(F.length(F.col(name).cast("string")) > max_target,
                              f"target_truncated:{rule['id']}:{name}"))
         found = F.lit(rule["pattern"]) if rule["type"] == "contains" else F.substring(
@@ -143,7 +151,7 @@ def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None =
             F.lit(rule["id"]), F.lit(rule["category"]), F.lit(rule["description"]), F.lit(rule["score"]),
             F.lit(rule["severity"]), F.lit(rule["field"]), F.lit(name), F.lit(rule["pattern"]),
             F.lit(rule["type"]), found).cast(MATCH_TYPE)))
-    base = df.withColumns(hits)
+    base = texts.withColumns(hits)
 
     categories = sorted({r["category"] for r in rules})
     per_category = {}

@@ -202,8 +202,12 @@ def false_positive_matches(incidents: DataFrame, known: DataFrame, threshold: fl
 # --- text vectors in long form: one row per (document, term) ---------------------------------
 
 def _word_counts(df: DataFrame, id_col: str, words: Column) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc"), F.explode(words).alias("w")).groupBy("doc", "w").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Word counts per document. The texts are partitioned by document first: they are far
+    smaller than their terms, and every later grouping by document then needs no shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("doc", F.col(id_col)).repartition(parts, "doc").select("doc", F.explode(words).alias("w")).groupBy(
+        "doc", "w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def char_ngram_counts(df: DataFrame, id_col: str, text: Column, low: int = 3, high: int = 5) -> DataFrame:
@@ -247,8 +251,13 @@ def tfidf(counts: DataFrame, documents: int, max_terms: int = MAX_TERMS) -> Data
         "term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     side = F.broadcast(vocab) if max_terms <= BROADCAST_TERMS else vocab
     weighted = counts.join(side, "term").select("doc", "term", (F.col("n") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return _unit_length(weighted)
+
+
+def _unit_length(weighted: DataFrame) -> DataFrame:
+    """Weights divided by their document's length; one shuffle, a document is one window."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))
+    return weighted.withColumn("norm", norm).where("norm > 0").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def text_model(df: DataFrame, id_col: str, text: Column, method: str = "char_tfidf", max_terms: int = MAX_TERMS) -> DataFrame:
@@ -275,8 +284,7 @@ def hybrid_vectors(text: DataFrame, numeric: DataFrame, text_weight: float = 0.7
     """Weighted text and numeric vectors side by side, L2-normalized again."""
     both = text.select("doc", F.concat(F.lit("t:"), "term").alias("term"), (F.col("weight") * text_weight).alias("w")).unionByName(
         numeric.select("doc", F.concat(F.lit("n:"), "term").alias("term"), (F.col("weight") * numeric_weight).alias("w")))
-    norms = both.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return both.join(norms.where("norm > 0"), "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return _unit_length(both)
 
 
 def sparse_scores(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = True, slices: int = 32) -> DataFrame:

@@ -25,6 +25,17 @@ def build_session(app_name: str = "logwarden", master: str | None = None,
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals the rows of a few large input splits out over all cores.
+
+    For text work that costs far more than moving the rows. Inputs that already come in
+    at least as many splits as there are cores are left alone, so a large scan has no
+    extra shuffle. Hash partitioning by ``key`` gives the same rows again on a retry.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for written tables and stream checkpoints.
 
