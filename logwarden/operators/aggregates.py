@@ -28,6 +28,12 @@ def attack_type_of(df: DataFrame) -> Column:
     return F.coalesce(field(df, "attack_type", "string"), field(df, "ml_attack_type", "string"), F.lit("Unknown"))
 
 
+def of_addresses(df: DataFrame, ips: list[str]) -> DataFrame:
+    """Rows of the given addresses, as a literal list that the scan can push down."""
+    ip = field(df, "source_ip", "string")
+    return df.where(ip.isin(ips) | ip.isNull() if "Unknown" in ips else ip.isin(ips))
+
+
 def malicious_requests(df: DataFrame, start: datetime | None = None) -> DataFrame:
     """Malicious rows since ``start`` with the columns the aggregates need."""
     ts = timestamp_field(df)
@@ -63,26 +69,31 @@ def _ip_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-# A report of at most this many rows may be broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 10_000
-
+# Up to this many rows of a top-k report are fetched and sent back as literals; a longer
+# report is joined by shuffle.
+LITERAL_ROWS = 1_000
 
-def small(report: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint for a table cut to ``limit`` rows, when that bound is low enough."""
-    return F.broadcast(report) if limit <= BROADCAST_ROWS else report
 
+def _with_target_count(df: DataFrame, start: datetime | None, winners: DataFrame, limit: int) -> DataFrame:
+    """Adds the exact number of distinct URIs of the ``limit`` addresses in ``winners``.
 
-def _with_target_count(rows: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
-    """Adds the exact number of distinct URIs; only the winners' rows are shuffled for it."""
-    keys = small(winners.select("ip"), limit)
-    targets = rows.join(keys, "ip", "left_semi").groupBy("ip").agg(F.count_distinct("uri").alias("target_count"))
+    A short report is computed first (one job), so the second pass over the requests
+    reads the winners' rows only and the first pass is not repeated inside it.
+    """
+    if limit <= LITERAL_ROWS:
+        found = winners.collect()
+        winners = df.sparkSession.createDataFrame(found, winners.schema)
+        rows = malicious_requests(of_addresses(df, [r["ip"] for r in found]), start)
+    else:
+        rows = malicious_requests(df, start).join(winners.select("ip"), "ip", "left_semi")
+    targets = rows.groupBy("ip").agg(F.count_distinct("uri").alias("target_count"))
     return winners.join(targets, "ip", "left").withColumn("target_count", F.coalesce("target_count", F.lit(0)))
 
 
 def top_attacking_ips(df: DataFrame, limit: int = 10, start: datetime | None = None) -> DataFrame:
     rows = malicious_requests(df, start)
     winners = _ip_totals(rows).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(rows, winners, limit).select(
+    return _with_target_count(df, start, winners, limit).select(
         "ip", "total_attacks", "attack_types", "first_seen", "last_seen", "target_count"
     ).orderBy(F.desc("total_attacks"), "ip")
 
@@ -109,7 +120,7 @@ def attack_campaigns(df: DataFrame, min_attacks: int = 50, min_types: int = 3, l
     winners = totals.where(
         (F.col("total_attacks") >= max(1, min_attacks)) & (F.col("attack_type_count") >= max(1, min_types))
     ).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(rows, winners, limit).withColumn(
+    return _with_target_count(df, start, winners, limit).withColumn(
         "risk_level", campaign_risk_level(F.col("total_attacks"), F.col("attack_type_count"))
     ).orderBy(F.desc("total_attacks"), "ip")
 
@@ -139,9 +150,15 @@ def ip_threat_scores(df: DataFrame, limit: int = 10) -> DataFrame:
     )
     winners = totals.orderBy(
         F.desc("max_risk_score"), F.desc("total_alerts"), F.desc("avg_risk_score"), "source_ip").limit(limit)
+    if limit <= LITERAL_ROWS:
+        found = winners.collect()
+        winners = df.sparkSession.createDataFrame(found, winners.schema)
+        mine = rows.where(F.col("source_ip").isin([r["source_ip"] for r in found]))
+    else:
+        mine = rows.join(winners.select("source_ip"), "source_ip", "left_semi")
     # Distinct rule-id lists of the winners; pre-reduced to one row per list.
     fired = (
-        rows.where("ids is not null").join(small(winners.select("source_ip"), limit), "source_ip", "left_semi")
+        mine.where("ids is not null")
         .select("source_ip", F.array_join("ids", ",").alias("list")).distinct()
         .groupBy("source_ip").agg(F.array_sort(F.collect_set("list")).alias("lists"))
     )

@@ -16,6 +16,7 @@ from logwarden.functions.text import any_timestamp, endpoint_group, hour_of_week
 from logwarden.operators.aggregates import alerting_group_counts, group_counts
 from logwarden.operators.baselines import above_baseline, with_baseline
 from logwarden.operators.ranks import top_k_per_group
+from logwarden.session import materialize
 
 # Behaviour thresholds and the evidence limit of a stored incident.
 RECON_ENDPOINTS, BRUTE_FORCE_EVENTS, MULTI_VECTOR_TYPES = 5, 15, 2
@@ -62,7 +63,7 @@ def alert_events(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
 
 def correlate(alerts: DataFrame, window_minutes: int = 5, recon: int = RECON_ENDPOINTS,
               brute_force: int = BRUTE_FORCE_EVENTS, multi_vector: int = MULTI_VECTOR_TYPES) -> DataFrame:
-    """One incident per address and time window.
+    """One incident per address and time window. Runs one job to count the events.
 
     Events are first counted per (address, window, group, URI, type): a flood from one
     address shrinks before it is shuffled, and the distinct URI count is split by URI.
@@ -72,6 +73,8 @@ def correlate(alerts: DataFrame, window_minutes: int = 5, recon: int = RECON_END
     named = (F.col("attack_type") != "") & ~F.lower("attack_type").isin("normal", "benign")
     base = events.groupBy(*key, "endpoint_group", "uri", F.when(named, F.col("attack_type")).alias("attack_type")).agg(
         F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min(F.struct("ts", "event_id")).alias("first"))
+    # Three aggregates follow; written once so the alerts are read once.
+    base = materialize(base, "correlation")
 
     facts = base.groupBy(*key).agg(
         F.sum("n").alias("evidence_count"),

@@ -10,6 +10,7 @@ from logwarden.functions.text import strip, to_int, valid_ip
 from logwarden.operators.ordered import fill_forward, running_count
 from logwarden.operators.ranks import top_k_per_group
 from logwarden.schema import HTTP_METHODS, PARSED_FIELDS
+from logwarden.session import materialize
 
 # Access-log grammar. A quoted field without quotes inside is tried
 # first, then a request that may hold quotes; each form may carry trailing text.
@@ -226,7 +227,8 @@ def parse_iis_log(lines: DataFrame, namespace: str | None = None) -> DataFrame:
         F.lit("w3c").alias("format_profile"), F.lit(None).cast("string").alias("extra_tail"),
         error.alias("error_message"),
     )
-    counted = running_count(out, ["file"], "line_number", F.col("error_message").isNull(), "data_line_number")
+    # Counting reads its input twice; the lines should be parsed once.
+    counted = running_count(materialize(out, "w3c"), ["file"], "line_number", F.col("error_message").isNull(), "data_line_number")
     return _finish(counted, "iis", namespace)
 
 

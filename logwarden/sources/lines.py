@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logwarden.functions.text import TRIM_CHARS, strip
 from logwarden.operators.ordered import number_rows, running_count
+from logwarden.session import materialize
 
 # Input suffixes and record flags.
 INPUT_SUFFIXES = [".log", ".txt", ".csv", ".json", ".jsonl"]
@@ -149,6 +150,8 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
         )).alias("flags"),
         F.array("_first", "_last").alias("physical_line_range"),
     )
+    # Numbering reads its input twice; the merge should run once.
+    records = materialize(records, "records")
     blocks = records.withColumn("_at", F.col("physical_line_range")[0]).withColumn(
         "_blk", F.floor(F.col("_at") / (1 << 20)))
     return number_rows(blocks, ["file"], "_blk", "_at", "line_number").select(
@@ -156,8 +159,13 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
 
 
 def read_log_records(spark: SparkSession, root: str, glob: str = _GLOB) -> DataFrame:
-    """Logical records of all text logs below ``root``."""
-    return merge_continuations(read_physical_lines(spark, root, glob)).withColumn(
+    """Logical records of all text logs below ``root``.
+
+    The numbered lines and the merged records are staged in the shared folder, so the raw
+    text is scanned twice (sizes, lines) however many steps follow.
+    """
+    lines = materialize(read_physical_lines(spark, root, glob), "lines")
+    return merge_continuations(lines).withColumn(
         "server_type", server_type_of_path(F.col("file")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logwarden.functions.text import strip
 from logwarden.operators.ordered import fill_forward, running_count
 from logwarden.schema import HTTP_METHODS
+from logwarden.session import materialize
 
 # Accepted column names of each request field, first match wins.
 FIELD_ALIASES = {
@@ -133,8 +134,10 @@ def http_blocks(lines: DataFrame) -> DataFrame:
         .when(text == "", F.lit("closed"))
         .when(~text.contains(":"), F.lit("closed"))
     )
-    marked = fill_forward(lines.withColumn("_text", text), ["file"], "physical_line", state, "_state")
-    numbered = running_count(marked, ["file"], "physical_line", F.col("_text").rlike(REQUEST_LINE), "_block_no")
+    # Each step reads its input more than once, so the steps are staged.
+    marked = materialize(fill_forward(lines.withColumn("_text", text), ["file"], "physical_line", state, "_state"), "marked")
+    numbered = materialize(running_count(
+        marked, ["file"], "physical_line", F.col("_text").rlike(REQUEST_LINE), "_block_no"), "blocks")
     in_block = F.col("_state") == "open"
 
     key = F.lower(strip(F.substring_index("_text", ":", 1)))
