@@ -98,6 +98,7 @@ GATE_SQL = INCIDENT_SQL + BASE_SQL + """, batch AS (SELECT grp, count(*) AS n FR
 
 
 def gated(spark, sf):
+    """All alerts of the table are one batch here, so counts are high: a wide band keeps both outcomes."""
     r, a, i = requests(spark, sf), alerts(spark, sf), materialize(incidents(spark, sf), "incidents")
     gate = I.baseline_gate(a, i, None, None, attack_baselines(r), endpoint_min_floors(r), HOURS * 60, sigma=600.0)
     return I.gate_incidents(a, i, gate)

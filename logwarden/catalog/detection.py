@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logwarden.catalog.base import REQ, WEB_SQL, joined, register, requests, table, text_table, web_requests
+from logwarden.functions.decode import clean_unicode, drop_controls
 from logwarden.functions.text import split_uri, valid_ip
 from logwarden.operators.features import (
     SCANNER_AGENTS, SPECIAL_CHARS, SQL_KEYWORDS, TRAVERSAL_KEYWORDS, XSS_KEYWORDS, count_chars, entropy,
     extract_features, query_params,
 )
 from logwarden.operators.analyst import embedding_text, stored_embedding_text
-from logwarden.operators.preprocess import preprocess
+from logwarden.operators.preprocess import MAX_LENGTH, preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rule_packs import BROAD_RULES, DEFAULT_RULES
 from logwarden.operators.rules import detect, load_rules, match_rows
-from logwarden.functions.scales import risk_level
 
 
 def web_rows(spark, sf):
@@ -64,18 +64,17 @@ def p16(spark, sf):
   SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfkc), '[\p{Cc}\p{Cf}]', '', 'g'), '[ \x{1680}\x{2028}\x{2029}]+', ' ', 'g'), ' ') AS t FROM (
     SELECT doc_id, CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) ELSE text END AS nfkc FROM documents))""")
 def p14(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("&"), F.lit("&")).alias("user_agent"))
-    from logwarden.functions.decode import clean_unicode, drop_controls
-    t = drop_controls(clean_unicode(F.substring("user_agent", 1, 200_000)))
+    d = text_table(spark, sf, "documents")
+    t = drop_controls(clean_unicode(F.substring("text", 1, MAX_LENGTH)))
     return d.select("doc_id", F.length(t).cast("bigint").alias("n_clean"), F.md5(t).alias("digest"))
 
 
-@register("P15_length_guard", "SELECT doc_id, least(length(text), 500) AS kept, length(text) > 500 AS truncated FROM documents")
+@register("P15_length_guard", "SELECT doc_id, length(text) > 200000 AS truncated, CASE WHEN length(text) > 200000 THEN 'error' ELSE 'success' END AS guard_status FROM documents")
 def p15(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("user_agent"))
-    p = preprocess(d, max_length=500)
-    return d.join(p.select("doc_id", F.array_contains("preprocess_errors", "user_agent_truncated").alias("truncated")), "doc_id").select(
-        "doc_id", F.length(F.substring("user_agent", 1, 500)).cast("bigint").alias("kept"), "truncated")
+    d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("http_method"))
+    p = preprocess(d)
+    cut = F.array_contains("preprocess_errors", "http_method_truncated")
+    return p.select("doc_id", cut.alias("truncated"), F.when(cut, "error").otherwise("success").alias("guard_status"))
 
 
 @register("P3_ip_validation", WEB_SQL + """ SELECT event_id, CASE WHEN k % 4 = 0 THEN source_ip WHEN k % 4 = 1 THEN concat('2001:db8::', k) END AS ip FROM web""")
@@ -96,10 +95,6 @@ def _chars(expr: str, chars: str) -> str:
     return f"(length({expr}) - length(regexp_replace({expr}, '[{inner}]', '', 'g')))"
 
 
-def _entropy(expr: str) -> str:
-    return f"""coalesce(round(list_sum([-(c::DOUBLE / length({expr})) * log2(c::DOUBLE / length({expr})) FOR c IN map_values(histogram_of({expr}))]), 4), 0.0)"""
-
-
 DOC_COUNTS = [("special", SPECIAL_CHARS), ("slash", "/"), ("dot", "."), ("quote", "'\""), ("percent", "%"), ("equals", "="), ("hyphen", "-")]
 
 
@@ -260,11 +255,11 @@ def j1(spark, sf):
     return match_rows(detect(d, BROAD_RULES), "doc_id").select("doc_id", "id", "category", "score")
 
 
-@register("D9_detector_errors", "SELECT 'error' AS detector_status, 15::INT AS n_errors, count(*) AS n_rows FROM documents")
+@register("D9_detector_errors", "SELECT 'error' AS detector_status, 13::INT AS missing_fields, count(*) AS n_rows FROM documents")
 def d9(spark, sf):
     d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("normalized_user_agent"))
-    missing_only = F.size(F.filter("detector_errors", lambda e: e.startswith("field_missing:")))
-    return detect(d).groupBy("detector_status", (missing_only + 2).alias("n_errors")).agg(F.count(F.lit(1)).alias("n_rows"))
+    missing = F.size(F.filter("detector_errors", lambda e: e.startswith("field_missing:")))
+    return detect(d).groupBy("detector_status", missing.alias("missing_fields")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # --- risk ------------------------------------------------------------------------------------
@@ -321,5 +316,3 @@ def p24(spark, sf):
     r = requests(spark, sf)
     return r.select("event_id", stored_embedding_text(r).alias("embedding_text"))
 
-
-__all__ = ["web_rows", "DECODED_SQL", "FLAGS_SQL", "WEB_TARGETS", "risk_level"]

@@ -140,8 +140,3 @@ def migrate(df: DataFrame) -> DataFrame:
 def migration_count(df: DataFrame) -> DataFrame:
     """Dry run: how many rows a migration would rewrite."""
     return df.where(needs_migration(df)).agg(F.count(F.lit(1)).alias("rows_to_migrate"))
-
-
-__all__ = ["write_jsonl", "csv_ready", "write_csv", "write_line_parts", "latest_per_key", "upsert",
-           "write_version", "read_current", "compact", "merge_parts", "merge_summaries", "migrate",
-           "migration_count"]

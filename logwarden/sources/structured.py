@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logwarden.functions.text import strip
 from logwarden.operators.ordered import fill_forward, running_count
-from logwarden.schema import HTTP_METHODS
 from logwarden.session import materialize
 
 # Accepted column names of each request field, first match wins.
@@ -182,8 +181,3 @@ def structured_to_lines(df: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows of any CSV or JSON request table as access-log lines."""
     rows = resolve_request_fields(df)
     return rows.select(render_log_line(rows, now).alias("line"))
-
-
-__all__ = ["FIELD_ALIASES", "HTTP_METHODS", "read_csv", "read_json", "normalize_keys",
-           "resolve_request_fields", "line_time", "render_log_line", "http_blocks",
-           "http_block_lines", "structured_to_lines"]

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from logwarden.functions.text import endpoint_group
 from logwarden.operators.incidents import alert_events, correlate, group_priority, incident_evidence
 from logwarden.operators.lifecycle import (
     COOLDOWN_MINUTES, OUTPUT, OpenIncident, advance, evidence_tuples, output_row,
@@ -102,6 +101,3 @@ def lifecycle_stream(incidents: DataFrame, cooldown_minutes: int = COOLDOWN_MINU
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-__all__ = ["windowed_counts", "correlated_batch", "correlate_stream", "lifecycle_stream",
-           "IncidentProcessor", "endpoint_group", "ROCKSDB"]
