@@ -63,3 +63,13 @@ def field(df: DataFrame, name: str, cast: str | None = None) -> Column:
     """A request field by flat name, read from the flat or the nested layout."""
     c = pick(df, name, nested_path(name))
     return c.cast(cast) if cast else c
+
+
+def pinned(c: Column) -> Column:
+    """``c`` itself, computed where it is written.
+
+    The optimizer pushes a filter below a projection by copying the filtered column's whole
+    expression into it, which explodes for columns built from other built columns. It does
+    not do so for expressions that depend on the partition.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logwarden.functions.columns import pinned
 from logwarden.functions.text import strip, to_int, valid_ip
 from logwarden.operators.ordered import fill_forward, running_count
 from logwarden.operators.ranks import top_k_per_group
@@ -129,7 +130,7 @@ def _finish(df: DataFrame, server_type: str, namespace: str | None) -> DataFrame
 
 def parse_access_log(lines: DataFrame, server_type: str = "apache", namespace: str | None = None) -> DataFrame:
     """Apache or Nginx lines (``line``, ``line_number``) to parsed records."""
-    base = lines.withColumn("_l", access_line(F.col("line")))
+    base = lines.withColumn("_l", pinned(access_line(F.col("line"))))
     req = _request_parts(F.col("_l.request"))
     fields = base.withColumns({
         "_method": req["method"], "_uri": req["uri"], "_version": req["version"], "_req_error": req["error"],

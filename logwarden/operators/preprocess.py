@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logwarden.functions.columns import pinned
 from logwarden.functions.decode import clean_unicode, decode_rounds, drop_controls, SPACES
 from logwarden.schema import PREPROCESS_FIELDS
 
@@ -34,9 +35,9 @@ def preprocess(df: DataFrame, max_rounds: int = MAX_ROUNDS, separator: str = " |
     cut = {f"_cut_{n}": F.length(given(s)) > max_length for n, s in _FIELDS}
     step1 = df.drop(*clash).withColumns({**text, **cut}) if not clash else df.withColumns({**text, **cut})
     step2 = step1.withColumns({
-        "_d_uri": decode_rounds(F.col("_in_uri"), max_rounds),
-        "_d_query_string": decode_rounds(F.col("_in_query_string"), max_rounds, plus_first=True),
-        "_d_user_agent": decode_rounds(F.col("_in_user_agent"), max_rounds),
+        "_d_uri": pinned(decode_rounds(F.col("_in_uri"), max_rounds)),
+        "_d_query_string": pinned(decode_rounds(F.col("_in_query_string"), max_rounds, plus_first=True)),
+        "_d_user_agent": pinned(decode_rounds(F.col("_in_user_agent"), max_rounds)),
     })
     step3 = step2.withColumns({
         "_f_uri": clean_unicode(F.col("_d_uri.text"), full_nfkc),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logwarden.functions.columns import pinned
 from logwarden.functions.scales import clean_attack_type, label_of, risk_level
 
 # Bonus points per feature signal.
@@ -57,7 +58,7 @@ def score_risk(df: DataFrame, suspicious: int = 25, malicious: int = 70) -> Data
     })
     step = step.withColumns({
         "_base": F.greatest("_rule", "_ml"),
-        "_score": F.least(F.lit(100), F.greatest("_rule", "_ml") + F.col("_bonus")),
+        "_score": pinned(F.least(F.lit(100), F.greatest("_rule", "_ml") + F.col("_bonus"))),
         "_types": F.array_distinct(F.array_compact(F.concat(
             F.transform(F.coalesce(types, F.array().cast("array<string>")), clean_attack_type),
             F.array("_rt", "_mt")))),

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logwarden.functions.columns import pinned
 from logwarden.functions.scales import SEVERITY_RANK, label_of, severity_name
 from logwarden.operators.rule_packs import DEFAULT_RULES
 
@@ -168,7 +169,7 @@ def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None =
     summary = F.array_compact(F.array(*[
         F.when(v["score"].isNotNull(), v) for v in per_category.values()]))
     out = base.withColumns({
-        "_cats": summary,
+        "_cats": pinned(summary),
         "_matches": F.array_compact(F.array(*matches)) if matches else F.array().cast(f"array<{MATCH_TYPE}>"),
         "_errors": F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>"),
     })

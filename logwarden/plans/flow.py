@@ -11,6 +11,7 @@ from logwarden.operators.parse import parse_by_server, parse_log
 from logwarden.operators.preprocess import preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rules import detect
+from logwarden.session import materialize
 
 
 def analyze_normalized(normalized: DataFrame, rules: list[dict] | None = None, models: tuple | None = None,
@@ -25,8 +26,18 @@ def analyze_normalized(normalized: DataFrame, rules: list[dict] | None = None, m
 
 def analyze_lines(lines: DataFrame, server_type: str | None = None, rules: list[dict] | None = None,
                   models: tuple | None = None, namespace: str | None = None) -> DataFrame:
-    """Log lines (``line``, ``line_number``, ``file``) to scored requests."""
-    parsed = parse_log(lines, server_type, namespace=namespace) if server_type else parse_by_server(lines, namespace=namespace)
+    """Log lines (``line``, ``line_number``, ``file``) to scored requests.
+
+    Apache and Nginx lines stay one lazy plan. W3C lines need joins to carry their headers,
+    so such parsed records are staged first: the optimizer derives conditions from joins
+    through every later projection, which a plan this wide cannot afford.
+    """
+    if server_type and server_type.lower() != "iis":
+        parsed = parse_log(lines, server_type, namespace=namespace)
+    elif server_type:
+        parsed = materialize(parse_log(lines, server_type, namespace=namespace), "parsed")
+    else:
+        parsed = materialize(parse_by_server(lines, namespace=namespace), "parsed")
     return analyze_normalized(normalize(parsed), rules, models)
 
 
