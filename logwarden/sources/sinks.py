@@ -58,6 +58,12 @@ def latest_per_key(df: DataFrame, key: str, version: Column) -> DataFrame:
     ).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in columns]).select(*df.columns)
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """Hash of a row without its map columns, which have no hash."""
+    names = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
+
+
 def upsert(current: DataFrame | None, batch: DataFrame, key: str = "event_id",
            order: Column | None = None) -> DataFrame:
     """Table state after upserting ``batch``: a batch row replaces the stored row.
@@ -65,7 +71,7 @@ def upsert(current: DataFrame | None, batch: DataFrame, key: str = "event_id",
     Fields absent from the batch keep their stored value (a field-wise ``set``).
     Applying the same batch twice gives the same table.
     """
-    tie = order if order is not None else F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns])
+    tie = order if order is not None else _row_hash(batch)
     new = latest_per_key(batch, key, tie)
     if current is None:
         return new
@@ -96,7 +102,7 @@ def write_version(batch: DataFrame, path: str, batch_id: int) -> None:
 def read_current(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
     """Last version of every key in a table written batch by batch."""
     rows = spark.read.option("basePath", path).parquet(path)
-    order = F.struct("batch", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "batch"]))
+    order = F.struct("batch", _row_hash(rows))
     return latest_per_key(rows, key, order).drop("batch")
 
 
