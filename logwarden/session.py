@@ -1,9 +1,11 @@
-"""Session defaults and the shared work folder."""
+"""Session defaults, the shared work folder and shipping of this package to the workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,30 @@ def build_session(app_name: str = "logwarden", master: str | None = None,
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Workers import functions by module name; without this they find the package only
+    when it is installed on every machine or the job was started from its folder.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "logwarden.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deals the rows of a few large input splits out over all cores.
 
@@ -39,11 +65,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for written tables and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and recorded there.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine
+    (``local``) may go without: a temporary folder is made and recorded there. Anywhere
+    else a missing setting is an error, because executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -63,3 +93,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files behind a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    folder = work_folder(spark).rstrip("/")
+    jvm = spark._jvm
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        if name.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
