@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,50 @@ def by_bytes(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def _write(folder: str, tokenizer_path: str, end_id: int | None, bits: int, block: int,
+           batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    shard = TaskContext.get().partitionId()
+    system, path = open_folder(folder)
+    coder = encoder(tokenizer_path, end_id)
+    name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
+    out, offset = None, HEADER.size
+    offsets, doc_ids, sizes = [], [], []
+    rest = np.zeros(0, np.uint32)
+    for batch in batches:
+        texts, keys = batch.column(1).to_pylist(), batch.column(0)
+        if not texts:
+            continue
+        if out is None:
+            out = system.open_output_stream(f"{path}/{name}")
+            out.write(HEADER.pack(MAGIC, 1, bits, block))
+        doc_ids.append(keys)
+        for part in by_bytes(texts):
+            ids, n = coder.encode(texts[part])
+            sizes.append(n)
+            rest = np.concatenate([rest, ids])
+            while len(rest) >= block:
+                offsets.append(offset)
+                offset += out.write(pack(rest[:block], bits))
+                rest = rest[block:]
+    if out is None:
+        return
+    if len(rest):
+        offsets.append(offset)
+        offset += out.write(pack(rest, bits))
+    keys, n = pa.chunked_array(doc_ids, pa.int64()), np.concatenate(sizes)
+    out.write(np.array([*offsets, offset], "<u8").tobytes())
+    out.write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
+    out.write(keys.is_null().to_numpy().astype("u1").tobytes())
+    out.write(n.astype("<u8").tobytes())
+    out.write(TRAILER.pack(len(offsets), len(n), int(n.sum()), offset, MAGIC))
+    out.close()
+    yield pa.RecordBatch.from_pydict({
+        "shard": pa.array([shard], pa.int32()), "file": [name], "bits": pa.array([bits], pa.int32()), "n_docs": [len(n)],
+        "n_tokens": [int(n.sum())], "first_doc": pa.array([keys[0].as_py()], pa.int64())})
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary_size: int, end_id: int | None = 0,
                  id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """Writes the ids of all texts in ascending document id; returns one manifest row per shard.
@@ -229,52 +274,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary_s
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        system, path = open_folder(folder)
-        coder = encoder(tokenizer_path, end_id)
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        out, offset = None, HEADER.size
-        offsets, doc_ids, sizes = [], [], []
-        rest = np.zeros(0, np.uint32)
-        for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            if not texts:
-                continue
-            if out is None:
-                out = system.open_output_stream(f"{path}/{name}")
-                out.write(HEADER.pack(MAGIC, 1, bits, block))
-            doc_ids.append(keys)
-            for part in by_bytes(texts):
-                ids, n = coder.encode(texts[part])
-                sizes.append(n)
-                rest = np.concatenate([rest, ids])
-                while len(rest) >= block:
-                    offsets.append(offset)
-                    offset += out.write(pack(rest[:block], bits))
-                    rest = rest[block:]
-        if out is None:
-            return
-        if len(rest):
-            offsets.append(offset)
-            offset += out.write(pack(rest, bits))
-        keys, n = pa.chunked_array(doc_ids, pa.int64()), np.concatenate(sizes)
-        out.write(np.array([*offsets, offset], "<u8").tobytes())
-        out.write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
-        out.write(keys.is_null().to_numpy().astype("u1").tobytes())
-        out.write(n.astype("<u8").tobytes())
-        out.write(TRAILER.pack(len(offsets), len(n), int(n.sum()), offset, MAGIC))
-        out.close()
-        yield pa.RecordBatch.from_pydict({
-            "shard": pa.array([shard], pa.int32()), "file": [name], "bits": pa.array([bits], pa.int32()), "n_docs": [len(n)],
-            "n_tokens": [int(n.sum())], "first_doc": pa.array([keys[0].as_py()], pa.int64())})
-
     path = f"{folder.rstrip('/')}/_manifest"
     system, local = open_folder(folder)
     system.create_dir(local, recursive=True)
-    ordered.mapInArrow(write, MANIFEST).write.parquet(path)
+    ordered.mapInArrow(partial(_write, folder, tokenizer_path, end_id, bits, block), MANIFEST).write.parquet(path)
     return read_manifest(docs.sparkSession, folder)
 
 
@@ -323,24 +326,25 @@ class Shard:
             begin = end
 
 
+def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    system, path = open_folder(folder)
+    for batch in batches:
+        for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+            with system.open_input_file(f"{path}/{name}") as source:
+                shard = Shard(source)
+                sums = np.zeros(shard.n_docs, np.int64)
+                for k, ids in shard.documents():
+                    sums[k] = zlib.crc32(ids.astype("<u4").tobytes())
+            for at in range(0, shard.n_docs, 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(shard.doc_ids[part], mask=shard.null[part]), pa.array(start + shard.starts[part]),
+                    pa.array(shard.sizes[part]), pa.array(sums[part])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens and
     ids_crc32 (checksum of its ids as 32-bit integers)."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = open_folder(folder)
-        for batch in batches:
-            for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
-                with system.open_input_file(f"{path}/{name}") as source:
-                    shard = Shard(source)
-                    sums = np.zeros(shard.n_docs, np.int64)
-                    for k, ids in shard.documents():
-                        sums[k] = zlib.crc32(ids.astype("<u4").tobytes())
-                for at in range(0, shard.n_docs, 100_000):
-                    part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(shard.doc_ids[part], mask=shard.null[part]), pa.array(start + shard.starts[part]),
-                        pa.array(shard.sizes[part]), pa.array(sums[part])], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
     shards = read_manifest(spark, folder).select("shard", "file", "start")
-    return shards.repartition(partitions(spark), "shard").mapInArrow(read, DIGEST)
+    return shards.repartition(partitions(spark), "shard").mapInArrow(partial(_read, folder), DIGEST)
