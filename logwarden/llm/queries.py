@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack
+from logwarden.llm import bitpack, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -18,3 +18,8 @@ def token_id_output(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_work_path(spark, "tokens")
     bitpack.write_shards(table(spark, sf, "documents"), folder, vocabulary_path(BYTE_BPE), VOCABULARY, end_id=0)
     return bitpack.read_digest(spark, folder)
+
+
+@register("op9_toxicity")
+def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
