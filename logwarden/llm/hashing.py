@@ -98,8 +98,9 @@ def sequences(hashes: np.ndarray, bounds: np.ndarray, n: int, short: bool = True
     doc = np.repeat(np.arange(len(size)), size)
     total = len(hashes)
     out = np.full(total, n, np.uint64)
+    factors = _ROOT * (2 * np.arange(n, dtype=np.uint64) + np.uint64(3)) | np.uint64(1)
     for k in range(min(n, total)):
-        out[:total - k] += (hashes[k:] + np.uint64(k)) * (_ROOT * np.uint64(2 * k + 3) | np.uint64(1))
+        out[:total - k] += (hashes[k:] + np.uint64(k)) * factors[k]
     place = np.arange(total) - np.repeat(bounds[:-1], size)
     whole = place + n <= np.repeat(size, size)
     at = np.flatnonzero(whole)
@@ -110,7 +111,7 @@ def sequences(hashes: np.ndarray, bounds: np.ndarray, n: int, short: bool = True
         for i, d in enumerate(small):
             h = hashes[bounds[d]:bounds[d + 1]]
             k = np.arange(len(h), dtype=np.uint64)
-            extra[i] = np.uint64(len(h)) + ((h + k) * (_ROOT * (np.uint64(2) * k + np.uint64(3)) | np.uint64(1))).sum(dtype=np.uint64)
+            extra[i] = ((h + k) * factors[:len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))
         runs, docs = np.concatenate([runs, mix(extra)]), np.concatenate([docs, small])
         at = np.concatenate([at, bounds[small]])
         order = np.argsort(docs, kind="stable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, toxicity
+from logwarden.llm import bitpack, quality, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -23,3 +23,8 @@ def token_id_output(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_toxicity")
 def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op6_quality")
+def document_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
