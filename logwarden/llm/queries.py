@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, quality, toxicity
+from logwarden.llm import bitpack, jaccard_join, quality, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -28,3 +28,8 @@ def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
 @register("op6_quality")
 def document_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf, "documents"))
