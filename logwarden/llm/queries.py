@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, jaccard_join, quality, toxicity
+from logwarden.llm import bitpack, decontaminate, jaccard_join, quality, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -33,3 +33,8 @@ def document_quality(spark: SparkSession, sf: str) -> DataFrame:
 @register("op3_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf, "documents"))
+
+
+@register("op7_decontamination")
+def contaminated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
