@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, quality, toxicity
+from logwarden.llm import bitpack, decontaminate, jaccard_join, language, quality, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -38,3 +38,8 @@ def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @register("op7_decontamination")
 def contaminated_documents(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op5_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.digest(table(spark, sf, "documents"))
