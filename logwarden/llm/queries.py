@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, language, quality, toxicity
+from logwarden.llm import bitpack, decontaminate, jaccard_join, language, permutation_index, quality, toxicity
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -43,3 +43,9 @@ def contaminated_documents(spark: SparkSession, sf: str) -> DataFrame:
 @register("op5_language_id")
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.digest(table(spark, sf, "documents"))
+
+
+@register("op10_permutation_index")
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
