@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, language, permutation_index, quality, toxicity
+from logwarden.llm import bitpack, decontaminate, jaccard_join, language, permutation_index, quality, toxicity, url_trust
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -49,3 +49,8 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return permutation_index.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@register("op8_url_trust", url_trust.judge_sql())
+def judged_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf, "pages"))
