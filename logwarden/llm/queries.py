@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, language, permutation_index, quality, toxicity, url_trust
+from logwarden.llm import bitpack, decontaminate, jaccard_join, language, mixing, permutation_index, quality, toxicity, url_trust
 from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -54,3 +54,8 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @register("op8_url_trust", url_trust.judge_sql())
 def judged_pages(spark: SparkSession, sf: str) -> DataFrame:
     return url_trust.judge(table(spark, sf, "pages"))
+
+
+@register("op4_mixing", mixing.mix_sql())
+def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "embeddings"))
