@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, language, mixing, permutation_index, quality, toxicity, url_trust
-from logwarden.llm.tables import BYTE_BPE, ORACLES, QUERIES, register, table, vocabulary_path
+from logwarden.llm import bitpack, decontaminate, jaccard_join, language, mixing, permutation_index, quality, toxicity, unigram_count, url_trust
+from logwarden.llm.tables import BYTE_BPE, ORACLES, PIECES, QUERIES, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -13,6 +13,11 @@ __all__ = ["QUERIES", "ORACLES"]
 VOCABULARY = 50_257
 
 
+@register("op1_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return unigram_count.count_tokens(table(spark, sf, "documents"), vocabulary_path(PIECES))
+
+
 @register("op2_token_id_output")
 def token_id_output(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_work_path(spark, "tokens")
