@@ -169,14 +169,13 @@ def _search(shared, least_score: float, batches: Iterator[pa.RecordBatch]) -> It
             [*keep.schema.names, "item_id", "score", "start_word", "n_words", "start_byte", "n_bytes"])
 
 
-def _drop(shared, least_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in whose text no item of the block is found; the last column is a copy of the text."""
+def _drop(shared, least_score: float, text: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in whose text no item of the block is found."""
     for batch in batches:
         place = pa.array(range(len(batch)), pa.int64())
-        searched = pa.RecordBatch.from_arrays([place, batch.column(batch.num_columns - 1)], ["place", "text"])
+        searched = pa.RecordBatch.from_arrays([place, batch.column(text)], ["place", "text"])
         bad = {p for found in _search(shared, least_score, iter([searched])) for p in found.column(0).to_pylist()}
-        kept = batch.select(list(range(batch.num_columns - 1)))
-        yield kept.filter(pa.array([p not in bad for p in range(len(batch))], pa.bool_()))
+        yield batch.filter(pa.array([p not in bad for p in range(len(batch))], pa.bool_()))
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, least: int) -> Iterator:
@@ -218,5 +217,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.
     out = docs
     schema = docs.schema
     for seeds in _blocks(docs, benchmark, share, least):
-        out = out.withColumn("__text", F.col("text")).mapInArrow(partial(_drop, seeds, least_score), schema)
+        out = out.mapInArrow(partial(_drop, seeds, least_score, docs.columns.index("text")), schema)
     return out

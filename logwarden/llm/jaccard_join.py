@@ -68,7 +68,8 @@ def _node_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _taken(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Different sets in lots of about TAKE tokens: node, size, tokens, their node's place; and rows (id, node, size)."""
+    """Different sets in lots of about TAKE tokens: node, size, tokens, their node's place; and per slice its other columns,
+    first row, nodes and sizes."""
     nodes, sizes, tokens, rows, seen, held = [], [], [], [], set(), 0
 
     def lot():
@@ -77,10 +78,9 @@ def _taken(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarr
                 np.repeat(np.arange(len(size)), size), rows)
 
     for batch in batches:
-        ids = batch.column(0)
-        for begin, values, bounds in _sets(batch.column(1), n):
+        for begin, values, bounds in _sets(batch.column(batch.num_columns - 1), n):
             names = _node_ids(values, bounds)
-            rows.append((ids.slice(begin, len(names)), names, np.diff(bounds)))
+            rows.append((batch.columns[:-1], begin, names, np.diff(bounds)))
             for d, name in enumerate(names.tolist()):
                 if name and name not in seen:
                     seen.add(name)
@@ -96,21 +96,22 @@ def _taken(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarr
         yield lot()
 
 
-SURVEYED = "doc_id long, node long, n int, token long, sets long"
+SURVEYED = "doc_id long, tie long, node long, n int, token long, sets long"
 
 
 def _survey(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with its node, and the tokens that are frequent in a lot."""
-    names = ["doc_id", "node", "n", "token", "sets"]
+    names = ["doc_id", "tie", "node", "n", "token", "sets"]
     for nodes, sizes, tokens, _, rows in _taken(batches, n):
-        for ids, node, size in rows:
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(node.view(np.int64)), pa.array(size, pa.int32()), none, none], names)
+        for (ids, ties), begin, node, size in rows:
+            none = pa.nulls(len(node), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.slice(begin, len(node)), ties.slice(begin, len(node)), pa.array(node.view(np.int64)),
+                                              pa.array(size, pa.int32()), none, none], names)
         values, counts = np.unique(tokens, return_counts=True)
         often = counts >= max(2, len(tokens) / FREQUENT)
         k = int(often.sum())
         none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.int32()), pa.array(values[often].view(np.int64)), pa.array(counts[often])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(k, pa.int32()), pa.array(values[often].view(np.int64)), pa.array(counts[often])], names)
 
 
 DEALT = "bucket long, nodes binary, counts binary, tokens binary, high binary, sizes binary"
@@ -335,40 +336,67 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
         postings, links, pivots_each = left, then, 2 * pivots_each
 
 
-def components(docs: DataFrame, words_each: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable by links), n_copies (rows with the same set).
-
-    Links join sets with 100 * intersection >= percent * union. Words are runs of characters
-    other than white space with A-Z lower-cased. A text of fewer than ``words_each`` words is one
-    token; a text that is null, empty or without words has no token, is its own component and
-    counts no copies. Rows that repeat an id stay rows, each with its own text. Where a
-    component has rows without id, the least of the others stands for all; if there are none, null.
-    """
+def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """Per row: doc_id, tie (hash of its text), node, n, and part (the node that stands for all linked with it)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     surveyed = materialize(texts.mapInArrow(partial(_survey, words_each), SURVEYED), "survey")
-    rows = surveyed.where("n is not null").select("doc_id", "node", "n")
+    rows = surveyed.where("n is not null").select("doc_id", "tie", "node", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
     often = (surveyed.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets"))
              .where(F.col("sets") >= max(10, total / FREQUENT)).orderBy(F.desc("sets"), "token").limit(FREQUENT))
     # Sorted by value for the search; a frequent token is known by its place in the list.
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64)))
     n_buckets = max(2 * partitions(spark), -(-total // BUCKET))
-    nodes = (texts.mapInArrow(partial(_deal, words_each, n_buckets, common), DEALT)
+    nodes = (texts.select("text").mapInArrow(partial(_deal, words_each, n_buckets, common), DEALT)
              .groupBy("bucket").applyInArrow(_task(_count, n_buckets), ANSWERED)
              .groupBy("part").applyInArrow(_task(_gather, percent), NODES))
-    nodes = materialize(nodes, "nodes")
-    links = _connect(nodes, percent)
-    labels = links if links is not None else rows.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    labelled = rows.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("part", F.coalesce("v", "node"))
-    least = labelled.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    links = _connect(materialize(nodes, "nodes"), percent)
+    if links is None:
+        return rows.withColumn("part", F.col("node"))
+    return rows.join(links.withColumnRenamed("u", "node"), "node", "left").withColumn("part", F.coalesce("v", "node")).drop("v")
+
+
+def components(docs: DataFrame, words_each: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least id reachable by links), n_copies (rows with the same set).
+
+    Links join sets with 100 * intersection >= percent * union. Words are runs of characters
+    other than white space with A-Z lower-cased. A text of fewer than ``words_each`` words is one
+    token; a text that is null, empty or without words has no token, is its own component and
+    counts no copies. Rows that repeat an id stay rows, each with its own text. Where a
+    component has rows without id, the least of the others stands for all; if there are none, null.
+    """
+    rows = _classes(docs, words_each, percent, id_column, text_column)
+    least = rows.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     copies = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"))
-    return (labelled.join(least, "part", "left").join(copies, "node", "left").select(
+    return (rows.join(least, "part", "left").join(copies, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(0).cast("long")).alias("n_copies")))
 
 
+def deduplicate(docs: DataFrame, words_each: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each component, the one of the least id, with all its columns; see ``components``.
+
+    Texts without words stay. Of rows that are equal in id and text one stays; ids that are null
+    come last.
+    """
+    rows = _classes(docs, words_each, percent, id_column, text_column)
+    first = rows.where("n > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s"))
+    kept = materialize(first.select("s.doc_id", "s.tie").union(rows.where("n = 0").select("doc_id", "tie").distinct()), "kept")
+    same = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["tie"] == b["tie"])
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc_id"),
+                        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("tie"))
+    out = whole.join(kept, same(whole, kept), "left_semi")
+    again = rows.where("n > 0").groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie")
+    again = materialize(again.join(kept, same(again, kept), "left_semi"), "again")
+    if not again.isEmpty():
+        out = out.join(again, same(out, again), "left_anti").unionByName(
+            out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id", "tie"]))
+    return out.select("row.*")
+
+
 def _task(step, *parameters):
     """A function of one group's rows, without annotations that Spark would read as another kind."""
     def task(rows):

@@ -219,6 +219,21 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = 0.5, id_colum
     return rows.mapInArrow(partial(_score, shared, threshold), f"{schema}, {SCORED}")
 
 
+def _reject(shared, threshold: float, text: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = Model(shared.value)
+    for batch in batches:
+        score = np.concatenate([s for s, _, _ in model.score(batch.column(text), threshold)] or [np.zeros(0)])
+        yield batch.filter(pa.array(score < threshold))
+
+
+def reject(docs: DataFrame, model: bytes | None, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns; all, without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_reject, shared, threshold, docs.columns.index(text_column)), docs.schema)
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: held_out, score, predicted, and how many sentences offend and where the worst is."""
     worst = F.expr("array_max(transform(sentences, s -> struct(s.score as score, -s.start as back, s.bytes as bytes)))")
