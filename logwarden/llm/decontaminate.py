@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of a test item are ranked by how many documents hold them; the rarer half are its
-seeds. Where a document holds several seeds of an item at about the right distance, that stretch
+The word n-grams of a test item are ranked by how many documents hold them; its seeds are the rarer
+three quarters, and all that few documents hold. Where a document holds several seeds of an item at about the right distance, that stretch
 is aligned with the item word by word, so copies with words changed, added or left out are found.
 
 Test items are taken in blocks of bounded size, each sent to every task; the documents are never
@@ -48,14 +48,14 @@ class Items:
         grams, gram = np.unique(runs, return_inverse=True)
         return cls(np.array([i for i, _ in rows], np.int64), hashes, bounds, grams, gram, item, at - bounds[item])
 
-    def seeds(self, documents: np.ndarray, share: float, least: int) -> "Items":
-        """With the rarer ``share`` of each item's n-grams, ``least`` at least."""
+    def seeds(self, documents: np.ndarray, share: float, few: int) -> "Items":
+        """With the rarer ``share`` of each item's n-grams, and all that ``few`` documents hold at most."""
         order = np.lexsort((self.offset, documents[self.gram], self.item))
         item = self.item[order]
         begin = np.searchsorted(item, np.arange(len(self.ids) + 1))
         rank = np.arange(len(item)) - begin[item]
         size = np.diff(begin)[item]
-        kept = np.sort(order[rank < np.maximum(np.ceil(size * share), least)])
+        kept = np.sort(order[(rank < np.ceil(size * share)) | (documents[self.gram[order]] <= few)])
         grams, gram = np.unique(self.grams[self.gram[kept]], return_inverse=True)
         return Items(self.ids, self.words, self.bounds, grams, gram, self.item[kept], self.offset[kept])
 
@@ -178,7 +178,7 @@ def _drop(shared, least_score: float, text: int, batches: Iterator[pa.RecordBatc
         yield batch.filter(pa.array([p not in bad for p in range(len(batch))], pa.bool_()))
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, least: int) -> Iterator:
+def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, few: int) -> Iterator:
     """Seeds of each block of items, as a broadcast; needs one pass over the documents for each."""
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long"), "text").distinct()
     n_blocks = -(-items.count() // ITEMS)
@@ -193,10 +193,10 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, least: int) ->
         documents = np.zeros(len(known.grams), np.int64)
         for gram, n in counted.groupBy("gram").agg(F.sum("documents")).collect():
             documents[gram] = n
-        yield context.broadcast(known.seeds(documents, share, least))
+        yield context.broadcast(known.seeds(documents, share, few))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.5, least: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.75, few: int = 20) -> DataFrame:
     """(doc_id, item_id, score, start_word, n_words, start_byte, n_bytes) of each test item found in a document.
 
     ``score`` is the best alignment over the item's words: 1 for a whole copy, 0.55 if three
@@ -207,15 +207,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
     out = docs.sparkSession.createDataFrame([], f"doc_id long, {FOUND}")
-    for seeds in _blocks(docs, benchmark, share, least):
+    for seeds in _blocks(docs, benchmark, share, few):
         out = out.union(rows.mapInArrow(partial(_search, seeds, least_score), f"doc_id long, {FOUND}"))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.5, least: int = 8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.75, few: int = 20) -> DataFrame:
     """The documents in which no test item is found, with all their columns; see ``contaminated``."""
     out = docs
     schema = docs.schema
-    for seeds in _blocks(docs, benchmark, share, least):
+    for seeds in _blocks(docs, benchmark, share, few):
         out = out.mapInArrow(partial(_drop, seeds, least_score, docs.columns.index("text")), schema)
     return out
