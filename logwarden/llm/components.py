@@ -15,7 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour instead."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,15 +31,14 @@ def stars(edges: DataFrame) -> DataFrame:
     Takes undirected edges (u, v), in any direction and number; loops are dropped. No node's
     neighbours are ever gathered in a row: both steps are a minimum by node and a join, which
     can be split where a node has many. The table shrinks to stars in a logarithmic number of
-    rounds; each round is written, so a lost executor costs one round.
+    rounds, when no least node is tied to another; each round is written, so a lost executor
+    costs one round.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    now, old = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
     while True:
-        then = materialize(_small_star(_large_star(now)), "stars")
-        discard(now)
-        now = then
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
+        now = materialize(_small_star(_large_star(now)), "stars")
+        if old is not None:
+            discard(old)
+        old = now
+        if now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             return now
-        mark = seen

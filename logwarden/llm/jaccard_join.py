@@ -17,7 +17,7 @@ Sets that are equal are one *node*, known by a hash of the set. Nodes without a
 out early, because most of their tokens occur nowhere else. Groups that share a key are not
 expanded into pairs: in each round a few pivots of each group are compared with the others, nodes
 known to be connected aren't compared again, and pivots leave the group. The number of pivots
-doubles from round to round, so the rounds are few; what is compared in the end is every pair of
+grows from round to round, so the rounds are few; what is compared in the end is every pair of
 candidates that isn't connected otherwise.
 """
 
@@ -36,10 +36,15 @@ from logwarden.llm.hashing import buffers, distinct, mix, sequences, slices, wor
 from logwarden.llm.tables import partitions
 from logwarden.session import discard, materialize
 
-#: At most this many tokens are frequent, so that their list may be broadcast.
-FREQUENT = 200_000
+#: Frequent tokens are in this many sets at least, and in so many that no more than so many can be:
+#: that bounds the list of them, which is broadcast.
+OFTEN, FREQUENT = 2_000, 200_000
+#: Bins of the token counts that bound an overlap before sets are compared.
+BINS = 64
 #: Tokens that a task takes together, and that a bucket holds on average at most.
 TAKE, BUCKET = 1_500_000, 2_000_000
+#: Pivots of a group in the first round, and how their number grows; 4 rounds hold at most 1024.
+PIVOTS, GROWTH = 2, 8
 LOW = np.uint64((1 << 40) - 1)
 
 
@@ -203,7 +208,7 @@ def _count(n_parts: int, rows):
     return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
 
 
-NODES = "node long, n int, need int, n_rare int, central double, tokens array<long>"
+NODES = "node long, n int, need int, n_rare int, central double, tokens array<long>, bins array<int>"
 
 
 def _gather(percent: int, rows):
@@ -239,10 +244,13 @@ def _gather(percent: int, rows):
         central.append((np.log2(sets[cuts[i]:cuts[i + 1]]).sum() + 20.0 * len(often)) / size[i])
     values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    bin_of = mix(values.view(np.uint64)) % np.uint64(BINS) + np.repeat(np.arange(len(lists), dtype=np.uint64) * np.uint64(BINS), np.diff(offsets))
+    bins = np.bincount(bin_of.astype(np.int64), minlength=BINS * len(lists))
     return pa.table({
         "node": node[kept].view(np.int64), "n": pa.array(size[kept], pa.int32()), "need": pa.array(need[kept], pa.int32()),
         "n_rare": pa.array(n_rare[kept], pa.int32()), "central": pa.array(central, pa.float64()),
-        "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
+        "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+        "bins": pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * BINS, pa.int32()), pa.array(bins, pa.int32()))})
 
 
 KEYS = "key long, node long, n int, central double"
@@ -294,11 +302,21 @@ def _keys(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough; all tokens that two sets share are in both lists."""
-    sets = nodes.select("node", "n", "tokens")
-    one, two = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab"]
-    both = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+    """Pairs (a, b) whose sets are similar enough; all tokens that two sets share are in both lists.
+
+    First a bound: two sets share no more than, bin by bin, the smaller of their counts. Only
+    pairs within it move whole sets.
+    """
+    def enough(common):
+        return common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    bound = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    near = pairs.join(side("a", "n", "bins"), "a").join(side("b", "n", "bins"), "b").where(enough(bound)).select("a", "b")
+    both = near.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
+    return both.where(enough(F.size(F.array_intersect("tokens_a", "tokens_b")))).select("a", "b")
 
 
 def _connect(nodes: DataFrame, percent: int) -> DataFrame:
@@ -311,29 +329,29 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
     postings = materialize(keys.join(chosen, "key").distinct().withColumn("part", F.col("node")), "postings")
     discard(keys)
     links = None
-    pivots_each = 1
+    pivots_each = PIVOTS
     while True:
-        live = postings.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = (postings.join(live, "key").groupBy("key", salt.alias("salt"))
-                  .agg(F.max(F.struct("central", "node", "n", "part")).alias("pivot")))
-        pivots = materialize(pivots.select("key", "pivot.node", "pivot.n", "pivot.part"), "pivots")
-        if pivots.isEmpty():
-            discard(pivots)
+        pivots = postings.groupBy("key", salt.alias("salt")).agg(
+            F.max(F.struct("central", "node", "n", "part")).alias("pivot"), F.min("part").alias("p"), F.max("part").alias("q"))
+        live = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.min("p").alias("p"), F.max("q").alias("q"))
+        grouped = materialize(postings.join(live.where("p <> q").select("key", "pivots"), "key"), "grouped")
+        if grouped.isEmpty():
+            discard(grouped)
             return links
-        other = pivots.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "part")])
-        near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-        pairs = (postings.join(other, "key").where(near & (F.col("part") != F.col("p_part")))
-                 .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct())
+        to_try = F.filter("pivots", lambda p: (p["part"] != F.col("part")) & (
+            F.least("n", p["n"]) * 100 >= F.greatest("n", p["n"]) * percent))
+        pairs = grouped.select("node", F.explode(to_try).alias("pivot")).select(
+            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         found = _similar(pairs, nodes, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
         then = stars(found if links is None else links.union(found))
         # Pivots have been compared with all the rest of their groups.
-        rest = postings.join(pivots.select("key", "node"), ["key", "node"], "left_anti").join(live, "key", "left_semi").drop("part")
+        rest = grouped.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("key", "node", "n", "central")
         left = rest.join(then.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left")
-        left = materialize(left.select("key", "node", "n", "central", F.coalesce("part", "node").alias("part")), "postings")
-        for old in (postings, pivots, *([links] if links is not None else [])):
+        left = materialize(left.withColumn("part", F.coalesce("part", "node")), "postings")
+        for old in (postings, grouped, *([links] if links is not None else [])):
             discard(old)
-        postings, links, pivots_each = left, then, 2 * pivots_each
+        postings, links, pivots_each = left, then, GROWTH * pivots_each
 
 
 def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, text_column: str) -> DataFrame:
@@ -345,7 +363,7 @@ def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, tex
     rows = surveyed.where("n is not null").select("doc_id", "tie", "node", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
     often = (surveyed.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets"))
-             .where(F.col("sets") >= max(10, total / FREQUENT)).orderBy(F.desc("sets"), "token").limit(FREQUENT))
+             .where(F.col("sets") >= max(OFTEN, total / FREQUENT)).orderBy(F.desc("sets"), "token").limit(FREQUENT))
     # Sorted by value for the search; a frequent token is known by its place in the list.
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64)))
     n_buckets = max(2 * partitions(spark), -(-total // BUCKET))
