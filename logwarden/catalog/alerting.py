@@ -184,13 +184,13 @@ def r5(spark, sf):
     return managed_incident_list(m, 20).select(F.col("source_ips")[0].alias("source_ip"), "created_at")
 
 
-@register("J4_active_overlap", INCIDENT_SQL + """, act AS (SELECT correlation_id AS incident_id, source_ip, window_start + INTERVAL 12 HOUR AS until FROM inc WHERE severity = 'critical'),
-  m AS (SELECT i.correlation_id, a.incident_id FROM inc i JOIN act a ON a.source_ip = i.source_ip AND a.until > i.window_start)
-  SELECT correlation_id, min(incident_id) AS incident_id FROM m GROUP BY 1""")
+@register("J4_active_overlap", INCIDENT_SQL + """, act AS (SELECT correlation_id AS incident_id, source_ip, window_start AS created, window_start + INTERVAL 12 HOUR AS until FROM inc WHERE severity = 'critical'),
+  m AS (SELECT i.correlation_id, a.incident_id, a.created FROM inc i JOIN act a ON a.source_ip = i.source_ip AND a.created <= i.window_start AND a.until > i.window_start)
+  SELECT correlation_id, first(incident_id ORDER BY created DESC, incident_id) AS incident_id FROM m GROUP BY 1""")
 def j4(spark, sf):
     i = incidents(spark, sf).withColumn("source_ips", F.array("source_ip"))
     active = i.where("severity = 'critical'").select(
-        F.col("correlation_id").alias("incident_id"), "source_ips", F.lit("cooldown").alias("status"),
+        F.col("correlation_id").alias("incident_id"), "source_ips", F.lit("cooldown").alias("status"), F.col("window_start").alias("created_at"),
         (F.col("window_start") + F.expr("INTERVAL 12 HOUR")).alias("cooldown_until"))
     return I.overlapping_active(i, active)
 

@@ -131,8 +131,7 @@ def a3(spark, sf):
         {"attack_types": joined("attack_types"), "attack_type_count": F.col("attack_type_count").cast("bigint")})
 
 
-@register("A4_campaigns_any_threshold", campaign_sql("total_attacks >= 10 OR attack_type_count >= 3 OR target_count > 1",
-                                                     "ORDER BY total_attacks DESC, ip LIMIT 200"))
+@register("A4_campaigns_any_threshold", campaign_sql("total_attacks >= 10 OR attack_type_count >= 3 OR target_count > 1"))
 def a4(spark, sf):
     return A.attack_campaigns_any(requests(spark, sf)).withColumns(
         {"attack_types": joined("attack_types"), "attack_type_count": F.col("attack_type_count").cast("bigint")})
@@ -178,14 +177,14 @@ def a7(spark, sf):
 
 
 @register("A8_attack_timeline_bins", REQ + f"""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS timestamp, coalesce(attack_type, 'Unknown') AS attack_type,
-  count(*) AS count FROM requests WHERE {MALICIOUS} GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 100""")
+  count(*) AS count FROM requests WHERE {MALICIOUS} GROUP BY 1, 2""")
 def a8(spark, sf):
     return A.attack_timeline(requests(spark, sf), size=6, unit="hour").withColumn("timestamp", ntz("timestamp"))
 
 
 @register("A8_attack_timeline_since", REQ + f"""SELECT date_trunc('day', ts)::TIMESTAMP AS timestamp, coalesce(attack_type, 'Unknown') AS attack_type,
   count(*) AS count FROM requests WHERE {MALICIOUS} AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
-  GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 100""")
+  GROUP BY 1, 2""")
 def a8_since(spark, sf):
     r = requests(spark, sf)
     now = latest(table(spark, sf, "events"))
@@ -324,10 +323,10 @@ def a2_orders(spark, sf):
 
 
 @register("A8_shipping_timeline", """SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS timestamp, l_returnflag AS attack_type, count(*) AS count
-  FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000""")
+  FROM lineitem GROUP BY 1, 2""")
 def a8_lineitem(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("attack_type"), F.col("l_shipdate").alias("ts"))
-    return A.attack_timeline(li, unit="month", limit=1000).withColumn("timestamp", ntz("timestamp"))
+    return A.attack_timeline(li, unit="month").withColumn("timestamp", ntz("timestamp"))
 
 
 @register("A3_supplier_campaigns", """WITH g AS (SELECT l_suppkey::VARCHAR AS ip, count(*) AS total_attacks,
@@ -353,7 +352,7 @@ def p21(spark, sf):
         "event_id", "ip", "uri", "attack_type", "risk_score", "prediction_score", "severity", "verdict")
 
 
-@register("P25_explanation", REQ + """SELECT event_id::VARCHAR AS event_id, concat('This request was flagged by the hybrid risk engine because it was ',
+@register("P25_explanation", REQ + """SELECT event_id::VARCHAR AS event_id, concat('Flagged because: ',
     CASE WHEN attack_type IS NOT NULL THEN concat('classified as ', attack_type, '; matched rules: ', attack_type, '_a, ', attack_type, '_b; hybrid sources: rules; ') ELSE '' END,
     'risk score ', risk_score, '; prediction confidence ', risk_score, '.0%.') AS explanation FROM requests""")
 def p25(spark, sf):
@@ -362,8 +361,8 @@ def p25(spark, sf):
 
 
 @register("P26_recommendations", REQ + """SELECT coalesce(attack_type, 'Unknown') AS attack_type,
-    CASE WHEN attack_type = 'sqli' THEN 'Validate and sanitize query parameters.' WHEN attack_type = 'xss' THEN 'Encode output before rendering in browsers.'
-         WHEN attack_type = 'traversal' THEN 'Normalize and validate file paths server-side.' ELSE 'Review the raw request payload manually.' END AS first_step,
+    CASE WHEN attack_type = 'sqli' THEN 'Bind every query value as a parameter.' WHEN attack_type = 'xss' THEN 'Escape user input wherever a page shows it.'
+         WHEN attack_type = 'traversal' THEN 'Resolve the path and check that it stays below the served folder.' ELSE 'Read the whole request by hand.' END AS first_step,
     count(*) AS rows FROM requests GROUP BY ALL""")
 def p26(spark, sf):
     rows = requests(spark, sf).withColumn("attack_type", F.coalesce("attack_type", F.lit("Unknown")))

@@ -54,48 +54,27 @@ def attack_type_distribution(df: DataFrame, start: datetime | None = None, limit
 
 
 def _ip_totals(rows: DataFrame) -> DataFrame:
-    """Per address: attacks, types, first and last time.
+    """Per address: attacks, types, distinct URIs, first and last time, in one pass.
 
-    Counting per (address, type) first spreads a busy address over the map side and
-    leaves one row per pair, so the second step is small.
+    Counting per (address, URI) first spreads a busy address over tasks; the second step
+    sums one row per pair. The sets of types are few, whatever the number of requests.
     """
-    pairs = rows.groupBy("ip", "rule_attack_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    pairs = rows.groupBy("ip", "uri").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("rule_attack_type")).alias("types"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"))
     return pairs.groupBy("ip").agg(
         F.sum("n").alias("total_attacks"),
-        F.array_sort(F.collect_set("rule_attack_type")).alias("attack_types"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("attack_types"),
         F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
+        F.count("uri").alias("target_count"),
     )
 
 
-# Up to this many rows of a top-k report are fetched and sent back as literals; a longer
-# report is joined by shuffle.
-LITERAL_ROWS = 1_000
-
-
-def _with_target_count(df: DataFrame, start: datetime | None, winners: DataFrame, limit: int) -> DataFrame:
-    """Adds the exact number of distinct URIs of the ``limit`` addresses in ``winners``.
-
-    A short report is computed first (one job), so the second pass over the requests
-    reads the winners' rows only and the first pass is not repeated inside it.
-    """
-    if limit <= LITERAL_ROWS:
-        found = winners.collect()
-        winners = df.sparkSession.createDataFrame(found, winners.schema)
-        rows = malicious_requests(of_addresses(df, [r["ip"] for r in found]), start)
-    else:
-        rows = malicious_requests(df, start).join(winners.select("ip"), "ip", "left_semi")
-    targets = rows.groupBy("ip").agg(F.count_distinct("uri").alias("target_count"))
-    return winners.join(targets, "ip", "left").withColumn("target_count", F.coalesce("target_count", F.lit(0)))
-
-
-def top_attacking_ips(df: DataFrame, limit: int = 10, start: datetime | None = None) -> DataFrame:
+def top_attacking_ips(df: DataFrame, limit: int | None = 10, start: datetime | None = None) -> DataFrame:
     rows = malicious_requests(df, start)
-    winners = _ip_totals(rows).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(df, start, winners, limit).select(
-        "ip", "total_attacks", "attack_types", "first_seen", "last_seen", "target_count"
-    ).orderBy(F.desc("total_attacks"), "ip")
+    ranked = _ip_totals(rows).orderBy(F.desc("total_attacks"), "ip")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def attack_targets(df: DataFrame, ips: DataFrame, start: datetime | None = None) -> DataFrame:
@@ -120,14 +99,12 @@ def attack_campaigns(df: DataFrame, min_attacks: int = 50, min_types: int = 3, l
     winners = totals.where(
         (F.col("total_attacks") >= max(1, min_attacks)) & (F.col("attack_type_count") >= max(1, min_types))
     ).orderBy(F.desc("total_attacks"), "ip").limit(limit)
-    return _with_target_count(df, start, winners, limit).withColumn(
-        "risk_level", campaign_risk_level(F.col("total_attacks"), F.col("attack_type_count"))
-    ).orderBy(F.desc("total_attacks"), "ip")
+    return winners.withColumn("risk_level", campaign_risk_level(F.col("total_attacks"), F.col("attack_type_count")))
 
 
-def attack_campaigns_any(df: DataFrame, min_attacks: int = 10, min_types: int = 3, top: int = 200,
+def attack_campaigns_any(df: DataFrame, min_attacks: int = 10, min_types: int = 3, top: int | None = None,
                          start: datetime | None = None) -> DataFrame:
-    """Among the busiest ``top`` addresses: any threshold met, or more than one target."""
+    """Addresses with any threshold met or more than one target; of the busiest ``top`` only if asked for."""
     rows = top_attacking_ips(df, top, start).withColumn("attack_type_count", F.size("attack_types"))
     return rows.where(
         (F.col("total_attacks") >= min_attacks) | (F.col("attack_type_count") >= min_types) | (F.col("target_count") > 1)
@@ -148,21 +125,13 @@ def ip_threat_scores(df: DataFrame, limit: int = 10) -> DataFrame:
         F.max("risk").alias("max_risk_score"),
         F.avg("risk").alias("avg_risk_score"),
     )
-    winners = totals.orderBy(
+    worst = totals.orderBy(
         F.desc("max_risk_score"), F.desc("total_alerts"), F.desc("avg_risk_score"), "source_ip").limit(limit)
-    if limit <= LITERAL_ROWS:
-        found = winners.collect()
-        winners = df.sparkSession.createDataFrame(found, winners.schema)
-        mine = rows.where(F.col("source_ip").isin([r["source_ip"] for r in found]))
-    else:
-        mine = rows.join(winners.select("source_ip"), "source_ip", "left_semi")
-    # Distinct rule-id lists of the winners; pre-reduced to one row per list.
-    fired = (
-        mine.where("ids is not null")
-        .select("source_ip", F.array_join("ids", ",").alias("list")).distinct()
-        .groupBy("source_ip").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    )
-    return winners.join(fired, "source_ip", "left").select(
+    # Distinct rule-id lists of the reported addresses; pre-reduced to one row per list.
+    mine = rows.where("ids is not null").join(worst.select("source_ip"), "source_ip", "left_semi")
+    fired = (mine.select("source_ip", F.array_join("ids", ",").alias("list")).distinct()
+             .groupBy("source_ip").agg(F.array_sort(F.collect_set("list")).alias("lists")))
+    return worst.join(fired, "source_ip", "left").select(
         "*", F.transform(F.coalesce("lists", F.array().cast("array<string>")),
                          lambda t: F.filter(F.split(t, ","), lambda x: x != "")).alias("triggered_rules")
     ).drop("lists")
@@ -193,14 +162,16 @@ def bin_start(ts: Column, size: int, unit: str) -> Column:
 
 
 def attack_timeline(df: DataFrame, ip: str | None = None, size: int = 1, unit: str = "hour",
-                    limit: int = 100, start: datetime | None = None) -> DataFrame:
+                    limit: int | None = None, start: datetime | None = None) -> DataFrame:
+    """Attacks per time bin and type; all bins unless ``limit`` asks for the first ones."""
     rows = malicious_requests(df, start).where("ts is not null")
     if ip:
         rows = rows.where(F.col("ip") == ip)
-    return (
+    bins = (
         rows.groupBy(bin_start(F.col("ts"), max(1, size), unit).alias("timestamp"), "attack_type")
-        .agg(F.count(F.lit(1)).alias("count")).orderBy("timestamp", "attack_type").limit(limit)
+        .agg(F.count(F.lit(1)).alias("count")).orderBy("timestamp", "attack_type")
     )
+    return bins.limit(limit) if limit else bins
 
 
 def threat_timeline(df: DataFrame, interval: str = "hour") -> DataFrame:

@@ -204,15 +204,18 @@ def suppressed_incidents(gated: DataFrame) -> DataFrame:
 
 
 def overlapping_active(incidents: DataFrame, active: DataFrame, now: str = "window_start") -> DataFrame:
-    """Incidents with the active stored incidents that share an address and still cool down.
+    """Each incident with the active stored one that shares an address, had begun by then and still cools down.
 
-    Address lists are exploded, so the overlap is an equi-join and not a pairwise test.
+    Of several the latest begun (``created_at``) is taken, then the smallest id. Address lists are
+    exploded, so the overlap is an equi-join and not a pairwise test.
     """
     left = incidents.select("correlation_id", F.col(now).alias("_now"), F.explode("source_ips").alias("ip"))
     right = active.where(F.col("status").isin("open", "cooldown")).select(
-        "incident_id", "cooldown_until", F.explode("source_ips").alias("ip"))
-    return left.join(right, "ip").where("cooldown_until > _now").groupBy("correlation_id").agg(
-        F.min("incident_id").alias("incident_id"))
+        "incident_id", "created_at", "cooldown_until", F.explode("source_ips").alias("ip"))
+    begun = left.join(right, "ip").where("created_at <= _now and cooldown_until > _now")
+    latest = begun.groupBy("correlation_id", "incident_id").agg(F.max("created_at").alias("created_at"))
+    return latest.groupBy("correlation_id").agg(
+        F.min_by("incident_id", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "incident_id")).alias("incident_id"))
 
 
 def action_counts(actions: DataFrame) -> DataFrame:

@@ -56,26 +56,27 @@ def read_physical_lines(spark: SparkSession, root: str, glob: str = _GLOB) -> Da
     The text source cuts lines at LF, CRLF and CR and hands the raw bytes on, so bad
     UTF-8 is seen here. Splits of a file are put in order by their byte offset.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_seq"),
-            "value",
-        )
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value")
+    boms = _files_with_bom(spark, root, glob)
+    return (
+        number_lines(raw).join(boms, "file", "left")
+        .withColumn("bom", F.coalesce(F.col("bom"), F.lit(False)) & (F.col("physical_line") == 1))
     )
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """Physical lines of whole files (``file, _start, value``) with their number; bytes that are no UTF-8 are read as Latin-1.
+
+    ``_start`` is the offset of the split that a line comes from; within one, rows come in file order.
+    """
     utf8 = F.is_valid_utf8("value")
-    lines = number_rows(raw, ["file"], "_start", "_seq", "physical_line").select(
+    rows = raw.withColumn("_seq", F.monotonically_increasing_id())
+    return number_rows(rows, ["file"], "_start", "_seq", "physical_line").select(
         "file", "physical_line",
         F.when(utf8, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("line"),
         (~utf8).alias("latin1"),
     )
-    boms = _files_with_bom(spark, root, glob)
-    return (
-        lines.join(boms, "file", "left")
-        .withColumn("bom", F.coalesce(F.col("bom"), F.lit(False)) & (F.col("physical_line") == 1))
-    )
 
 
 def _files_with_bom(spark: SparkSession, root: str, glob: str) -> DataFrame:

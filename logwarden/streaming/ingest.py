@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.plans.flow import analyze_lines
-from logwarden.sources.lines import server_type_of_path
+from logwarden.sources.lines import merge_continuations, number_lines, server_type_of_path
+from logwarden.session import materialize
 from logwarden.sources.sinks import write_version
 
 
@@ -19,12 +20,11 @@ def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*.parque
 
 
 def stream_log_lines(spark: SparkSession, folder: str, glob: str = "*.log", files_per_batch: int = 100) -> DataFrame:
-    """New text logs as a stream of ``file, server_type, line``."""
+    """New text logs as a stream of ``file, _start, value``; a file is never split over micro-batches."""
     return (
         spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch).text(folder)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-        .withColumn("server_type", server_type_of_path(F.col("file")))
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value")
     )
 
 
@@ -48,9 +48,12 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, transform: Cal
 
 
 def score_batch(batch: DataFrame) -> DataFrame:
-    """Scored requests of one micro-batch of log lines.
+    """Scored requests of one micro-batch of whole log files, as the batch reader scores them.
 
-    Lines are identified by their text within the batch's file, so a replay gives the same ids.
+    Lines are numbered within their file and ids name both, so equal lines stay apart and a replay
+    gives the same ids; indented lines join their record, W3C headers hold to the next one, and bad UTF-8 is
+    read as Latin-1. Only the byte-order-mark flag is missing: the stream reader drops the mark.
     """
-    numbered = batch.where(F.trim("line") != "").withColumn("line_number", F.abs(F.xxhash64("file", "line")))
-    return analyze_lines(numbered)
+    lines = materialize(number_lines(batch).withColumn("bom", F.lit(False)), "lines")
+    records = merge_continuations(lines)
+    return analyze_lines(records.withColumn("server_type", server_type_of_path(F.col("file"))), namespace="file")

@@ -44,6 +44,25 @@ def test_scored_upsert_stream_replays_cleanly(spark, tmp_path):
     assert rows.count() == 3 and rows.where("final_label = 'malicious'").count() == 1
 
 
+def test_stream_scores_equal_batch_scores(spark, tmp_path):
+    """Repeated lines, continuation lines, a W3C file with a header change and bad UTF-8, in several micro-batches."""
+    root = tmp_path / "in"
+    write_logs(root)
+    same = GOOD.format(7, 3, ATTACK, "sqlmap/1.7")
+    (root / "apache" / "more.log").write_bytes("\n".join([same] * 20).encode() + b"\n\tcarried on\n" + GOOD.format(8, 4, "/caf", "x").encode() + b" \xe9\n\n")
+    (root / "iis" / "v.log").write_text("#Fields: date time c-ip cs-method cs-uri-stem sc-status\n2026-05-31 12:00:00 10.0.0.9 GET /admin/ 200\n"
+                                        "#Fields: date time cs-method cs-uri-stem c-ip sc-status\n2026-05-31 12:00:01 GET /a 10.0.0.9 200\n" * 2)
+    kept = ["server_type", "line_number", "source_ip", "uri", "raw_log", "final_label", "risk_score", "parse_status"]
+    batch = analyze_lines(read_log_records(spark, str(root))).select(*kept)
+    table = str(tmp_path / "table")
+    for checkpoint in ("a", "a", "b"):
+        stream = SI.stream_log_lines(spark, str(root), files_per_batch=1)
+        SI.upsert_stream(stream, table, str(tmp_path / checkpoint), SI.score_batch, once=True).awaitTermination()
+    got = read_current(spark, table).select(*kept)
+    want = sorted(map(str, batch.collect()))
+    assert sorted(map(str, got.collect())) == want and len(want) == 29
+
+
 def test_lifecycle_state_carries_over_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SA.ROCKSDB)
     rows = [(str(i), f"10.0.0.{i % 2}", f"2026-05-31T12:{i * 4:02d}:00Z", "/api/db" if i % 3 else "/x", "xss", 45.0 + 7 * (i % 8)) for i in range(14)]
