@@ -12,7 +12,7 @@ from logwarden.operators.features import (
     extract_features, query_params,
 )
 from logwarden.operators.analyst import embedding_text, stored_embedding_text
-from logwarden.operators.preprocess import MAX_LENGTH, preprocess
+from logwarden.operators.preprocess import preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rule_packs import BROAD_RULES, DEFAULT_RULES
 from logwarden.operators.rules import detect, load_rules, match_rows
@@ -62,17 +62,17 @@ def p16(spark, sf):
 
 @register("P14_document_cleanup", r"""SELECT doc_id, length(t) AS n_clean, md5(t) AS digest FROM (
   SELECT doc_id, trim(regexp_replace(regexp_replace(lower(nfkc), '[\p{Cc}\p{Cf}]', '', 'g'), '[ \x{1680}\x{2028}\x{2029}]+', ' ', 'g'), ' ') AS t FROM (
-    SELECT doc_id, CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) ELSE text END AS nfkc FROM documents))""")
+    SELECT doc_id, text AS nfkc FROM documents))""")
 def p14(spark, sf):
     d = text_table(spark, sf, "documents")
-    t = drop_controls(clean_unicode(F.substring("text", 1, MAX_LENGTH)))
+    t = drop_controls(clean_unicode(F.col("text")))
     return d.select("doc_id", F.length(t).cast("bigint").alias("n_clean"), F.md5(t).alias("digest"))
 
 
-@register("P15_length_guard", "SELECT doc_id, length(text) > 200000 AS truncated, CASE WHEN length(text) > 200000 THEN 'error' ELSE 'success' END AS guard_status FROM documents")
+@register("P15_length_guard", "SELECT doc_id, length(text) > 2000 AS truncated, CASE WHEN length(text) > 2000 THEN 'error' ELSE 'success' END AS guard_status FROM documents")
 def p15(spark, sf):
     d = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("http_method"))
-    p = preprocess(d)
+    p = preprocess(d, max_length=2_000)
     cut = F.array_contains("preprocess_errors", "http_method_truncated")
     return p.select("doc_id", cut.alias("truncated"), F.when(cut, "error").otherwise("success").alias("guard_status"))
 

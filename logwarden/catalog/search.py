@@ -82,11 +82,10 @@ def v1_lsh(spark, sf):
     return V.knn_approximate(queries_of(e), e, K, "vec_id")
 
 
-@register("V1_W9_similarity_threshold", SAMPLE_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4
-  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.vec_id) <= 20""")
+@register("V1_W9_similarity_threshold", SAMPLE_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4""")
 def w9(spark, sf):
     e = vectors(spark, sf)
-    found = V.knn(queries_of(e), e, 20, "vec_id", skip_self=True)
+    found = V.within(queries_of(e), e, 0.4, "vec_id", skip_self=True)
     return found.where(similar_enough(F.col("score"), 0.4)).select("query_id", "id")
 
 
@@ -138,21 +137,21 @@ def j10(spark, sf):
   tok AS (SELECT doc, regexp_extract_all(text, '[^\s|]+') AS t FROM src),
   g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
   c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2),
-  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM src)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 2000),
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM src)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1),
   w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
   u AS (SELECT doc, term, w / nn AS w FROM w JOIN nr USING (doc)),
   s AS (SELECT a.doc AS query_id, b.doc AS id, sum(a.w * b.w) AS score FROM u a JOIN u b USING (term) WHERE a.doc IN (SELECT item FROM (SELECT min(doc_id) AS item FROM documents)) AND a.doc <> b.doc GROUP BY 1, 2)
   SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
 def v2(spark, sf):
     d = text_table(spark, sf, "documents")
-    model = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 2000)
+    model = V.text_model(d, "doc_id", F.col("text"), "word_tfidf")
     first = d.agg(F.min("doc_id").alias("m")).first()["m"]
     found = V.sparse_scores(model.where(F.col("doc") == first), model, 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 TFIDF_OUT = """,
-  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 5000),
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1),
   w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
   u AS (SELECT doc, term, w / nn AS weight FROM w JOIN nr USING (doc))
   SELECT doc, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 5) AS top FROM u GROUP BY 1"""
@@ -168,14 +167,14 @@ def tfidf_out(model):
   gr AS (SELECT doc, k, unnest(flatten([[substr(p, i, n) FOR i IN range(1, length(p) - n + 2)] FOR n IN [3, 4, 5] IF length(p) >= n])) AS term FROM wc),
   c AS (SELECT doc, term, sum(k) AS n FROM gr GROUP BY 1, 2)""" + TFIDF_OUT)
 def v4(spark, sf):
-    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "char_tfidf", 5000))
+    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "char_tfidf"))
 
 
 @register("V5_word_tfidf", r"""WITH tok AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s|]+') AS t FROM documents),
   g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
   c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2)""" + TFIDF_OUT)
 def v5(spark, sf):
-    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "word_tfidf", 5000))
+    return tfidf_out(V.text_model(text_table(spark, sf, "documents"), "doc_id", F.col("text"), "word_tfidf"))
 
 
 NUMERIC = ["price", "customer", "words"]
@@ -194,10 +193,11 @@ def v6(spark, sf):
     return v.groupBy("doc").agg(*[F.round(F.max(F.when(F.col("term") == n, F.col("weight"))), 5).alias(n) for n in NUMERIC])
 
 
-@register("V7_hybrid_vectors", r"""WITH tok AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\s|]+') AS t FROM documents),
-  g AS (SELECT doc, unnest(list_concat(t, [concat(t[i], ' ', t[i + 1]) FOR i IN range(1, len(t))])) AS term FROM tok),
-  c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2),
-  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 3000),
+@register("V7_hybrid_vectors", r"""WITH wd AS (SELECT doc_id AS doc, unnest(string_split_regex(text, '\s+')) AS w FROM documents),
+  wc AS (SELECT doc, concat(' ', w, ' ') AS p, count(*) AS k FROM wd WHERE w <> '' GROUP BY 1, 2),
+  gr AS (SELECT doc, k, unnest(flatten([[substr(p, i, n) FOR i IN range(1, length(p) - n + 2)] FOR n IN [3, 4, 5] IF length(p) >= n])) AS term FROM wc),
+  c AS (SELECT doc, term, sum(k) AS n FROM gr GROUP BY 1, 2),
+  vb AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY 1),
   w AS (SELECT doc, term, n * idf AS w FROM c JOIN vb USING (term)), nr AS (SELECT doc, sqrt(sum(w * w)) AS nn FROM w GROUP BY 1),
   u AS (SELECT doc, concat('t:', term) AS term, 0.75 * w / nn AS w FROM w JOIN nr USING (doc)),
   f AS (SELECT doc_id AS doc, n_chars::DOUBLE AS a, length(lang)::DOUBLE + length(source) AS b FROM documents),
@@ -208,7 +208,7 @@ def v6(spark, sf):
   SELECT h.doc, count(*) AS terms, round(sum(w / nn), 5) AS total, round(max(w / nn), 5) AS top FROM h JOIN hn USING (doc) WHERE nn > 0 GROUP BY 1""")
 def v7(spark, sf):
     d = text_table(spark, sf, "documents")
-    text = V.text_model(d, "doc_id", F.col("text"), "word_tfidf", 3000)
+    text = V.text_model(d, "doc_id", F.col("text"), "char_tfidf")
     nums = d.select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("a"), (F.length("lang") + F.length("source")).alias("b"))
     h = V.hybrid_vectors(text, V.numeric_vectors(nums, "doc", ["a", "b"]))
     return h.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))

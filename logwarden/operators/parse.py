@@ -256,26 +256,29 @@ def parse_by_server(lines: DataFrame, **options) -> DataFrame:
     return out
 
 
-def detect_server_type(lines: DataFrame, sample_size: int = 200) -> DataFrame:
-    """Server type per file: W3C header, else the better parser on the first lines; tie apache.
+def detect_server_type(lines: DataFrame, sample_size: int | None = None) -> DataFrame:
+    """Server type per file: W3C header, else the better parser; tie apache.
+
+    All lines count, in one aggregate; with ``sample_size`` only the first of each file.
 
     Apache and Nginx share one grammar, so their counts are equal and apache wins.
     """
     text = strip(F.col("line"))
-    sample = top_k_per_group(lines.where(text != ""), ["file"], [F.col("line_number")], sample_size)
+    sample = lines.where(text != "")
+    if sample_size:
+        sample = top_k_per_group(sample, ["file"], [F.col("line_number")], sample_size)
     req = _request_parts(F.col("_l.request"))
     parsed = sample.withColumn("_l", access_line(F.col("line")))
     ok = F.col("_l").isNotNull() & _checked(
         req["error"], valid_ip(F.col("_l.source_ip")), to_int(F.col("_l.status")), _size(F.col("_l.size"))).isNull()
-    # A header counts only within the sample, as the scan stops there.
     return parsed.groupBy("file").agg(
         F.bool_or(text.startswith("#Fields:") | text.startswith("#Software:")).alias("_iis"),
         F.count_if(ok).alias("parsed_lines"),
     ).select("file", "parsed_lines", F.when(F.col("_iis"), "iis").otherwise("apache").alias("server_type"))
 
 
-def detect_server_type_by_keyword(lines: DataFrame, head: int = 20) -> DataFrame:
-    """Server type per file from words in its first physical lines; first hit wins."""
+def detect_server_type_by_keyword(lines: DataFrame, head: int | None = None) -> DataFrame:
+    """Server type per file from words in its lines (the first ``head``, if given); first hit wins."""
     text = F.lower(strip(F.col("line")))
     hit = (
         F.when(text.startswith("#fields:") | text.contains("cs-method") | text.contains("w3c"), "iis")
@@ -283,7 +286,7 @@ def detect_server_type_by_keyword(lines: DataFrame, head: int = 20) -> DataFrame
         .when(text.contains("apache"), "apache")
     )
     return (
-        lines.where(F.col("physical_line") <= head)
+        (lines.where(F.col("physical_line") <= head) if head else lines)
         .groupBy("file")
         .agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("physical_line"))).alias("_hit"))
         .select("file", F.coalesce("_hit", F.lit("apache")).alias("server_type"))

@@ -8,9 +8,8 @@ from logwarden.functions.columns import pinned
 from logwarden.functions.decode import clean_unicode, decode_rounds, drop_controls, SPACES
 from logwarden.schema import PREPROCESS_FIELDS
 
-# Decode rounds and longest field text.
+# Fixed value: decode rounds.
 MAX_ROUNDS = 5
-MAX_LENGTH = 200_000
 # Upstream may already hold these two.
 _REUSABLE = {"decoded_uri", "decoded_query_string"}
 _FIELDS = [("uri", "uri"), ("query_string", "query_string"), ("user_agent", "user_agent"),
@@ -18,9 +17,10 @@ _FIELDS = [("uri", "uri"), ("query_string", "query_string"), ("user_agent", "use
 
 
 def preprocess(df: DataFrame, max_rounds: int = MAX_ROUNDS, separator: str = " | ",
-               max_length: int = MAX_LENGTH, overwrite: bool = True, full_nfkc: bool = False) -> DataFrame:
+               max_length: int | None = None, overwrite: bool = True, full_nfkc: bool = False) -> DataFrame:
     """Adds the decoded and normalized text columns with their metadata.
 
+    Texts are taken whole; with ``max_length`` longer ones are cut there and marked truncated.
     ``overwrite=False`` refuses a table that already holds them; otherwise the rows
     are marked ``preprocess_fields_overwritten``.
     """
@@ -31,8 +31,8 @@ def preprocess(df: DataFrame, max_rounds: int = MAX_ROUNDS, separator: str = " |
     def given(source: str) -> Column:
         return F.coalesce(F.col(source).cast("string"), F.lit("")) if source in df.columns else F.lit("")
 
-    text = {f"_in_{n}": F.substring(given(s), 1, max_length) for n, s in _FIELDS}
-    cut = {f"_cut_{n}": F.length(given(s)) > max_length for n, s in _FIELDS}
+    text = {f"_in_{n}": (F.substring(given(s), 1, max_length) if max_length else given(s)) for n, s in _FIELDS}
+    cut = {f"_cut_{n}": (F.length(given(s)) > max_length if max_length else F.lit(False)) for n, s in _FIELDS}
     step1 = df.drop(*clash).withColumns({**text, **cut}) if not clash else df.withColumns({**text, **cut})
     step2 = step1.withColumns({
         "_d_uri": pinned(decode_rounds(F.col("_in_uri"), max_rounds)),

@@ -27,7 +27,6 @@ FIELD_COLUMNS = {
 }
 RULE_KEYS = ["id", "field", "type", "pattern", "score", "severity"]
 RULE_TYPES = ["contains", "regex"]
-MAX_TARGET = 200_000
 MAX_RULES = 2_000
 MATCH_TYPE = ("struct<id:string,category:string,description:string,score:int,severity:string,"
               "field:string,actual_field:string,pattern:string,type:string,matched_text:string>")
@@ -126,14 +125,21 @@ def _hit(rule: dict, target: Column, lowered: Column) -> Column:
 
 
 def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None = None,
-           max_target: int = MAX_TARGET) -> DataFrame:
-    """Adds the rule result columns to preprocessed requests."""
+           max_target: int | None = None, max_evidence: int | None = None) -> DataFrame:
+    """Adds the rule result columns to preprocessed requests.
+
+    Whole texts are searched and whole matches kept, unless ``max_target`` or ``max_evidence`` bound them.
+    """
     rules = DEFAULT_RULES if rules is None else rules
     version = version or rules_version(rules)
     hits, matches, errors = {}, [], []
+
+    def bounded(text: Column, most: int | None) -> Column:
+        return F.substring(text, 1, most) if most else text
+
     used = [c for c in dict.fromkeys(rule_column(r) for r in rules) if c in df.columns]
     # Target texts, cut and lower-cased once for all rules.
-    texts = df.withColumns({f"_text_{c}": F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, max_target) for c in used})
+    texts = df.withColumns({f"_text_{c}": bounded(F.coalesce(F.col(c).cast("string"), F.lit("")), max_target) for c in used})
     texts = texts.withColumns({f"_lower_{c}": F.lower(f"_text_{c}") for c in used}) if used else texts
     for i, rule in enumerate(rules):
         name = rule_column(rule)
@@ -144,10 +150,11 @@ def detect(df: DataFrame, rules: list[dict] | None = None, version: str | None =
             continue
         target = F.col(f"_text_{name}")
         hits[h] = (target != "") & _hit(rule, target, F.col(f"_lower_{name}"))
-        errors.append(F.when(F.length(F.col(name).cast("string")) > max_target,
-                             f"target_truncated:{rule['id']}:{name}"))
-        found = F.lit(rule["pattern"]) if rule["type"] == "contains" else F.substring(
-            F.regexp_extract(target, f"(?i){rule['pattern']}", 0), 1, 200)
+        if max_target:
+            errors.append(F.when(F.length(F.col(name).cast("string")) > max_target,
+                                 f"target_truncated:{rule['id']}:{name}"))
+        found = F.lit(rule["pattern"]) if rule["type"] == "contains" else bounded(
+            F.regexp_extract(target, f"(?i){rule['pattern']}", 0), max_evidence)
         matches.append(F.when(F.col(h), F.struct(
             F.lit(rule["id"]), F.lit(rule["category"]), F.lit(rule["description"]), F.lit(rule["score"]),
             F.lit(rule["severity"]), F.lit(rule["field"]), F.lit(name), F.lit(rule["pattern"]),

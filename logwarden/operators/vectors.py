@@ -13,9 +13,6 @@ from logwarden.session import materialize
 
 # Largest query batch sent to every task: 4096 vectors of 384 doubles are 12 MB.
 QUERY_BLOCK = 4096
-# Terms kept by a text model, and the most that may be broadcast (about 2 MB of text).
-MAX_TERMS = 50_000
-BROADCAST_TERMS = 100_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -63,14 +60,8 @@ def _scan(query_ids: list, queries: np.ndarray, k: int, skip_self: bool):
     return run
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "embedding",
-        skip_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact ``k`` nearest corpus rows of every query by cosine: query_id, id, score, rank.
-
-    Every task compares its corpus rows with a bounded block of queries and keeps only
-    its own best ``k``, so at most ``tasks * queries * k`` rows are shuffled. More queries
-    than one block are handled block after block, each block one pass over the corpus.
-    """
+def _by_blocks(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, query_block: int, scan) -> DataFrame:
+    """Runs ``scan`` of each block of queries over the corpus; blocks are bounded, one pass each."""
     id_type = corpus.schema[id_col].dataType.simpleString()
     usable = F.col(vector).isNotNull() & (F.size(vector) > 0)
     q = queries.where(usable).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -84,17 +75,52 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vecto
         if rows.empty:
             continue
         matrix = _unit(np.stack(rows["vector"].to_numpy()).astype(float))
-        parts.append(c.mapInPandas(_scan(rows["id"].tolist(), matrix, k, skip_self),
-                                   f"query_id {id_type}, id {id_type}, score double"))
+        parts.append(c.mapInPandas(scan(rows["id"].tolist(), matrix), f"query_id {id_type}, id {id_type}, score double"))
     if not parts:
-        return c.sparkSession.createDataFrame([], f"query_id {id_type}, id {id_type}, score double, rank int")
+        return c.sparkSession.createDataFrame([], f"query_id {id_type}, id {id_type}, score double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "embedding",
+        skip_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact ``k`` nearest corpus rows of every query by cosine: query_id, id, score, rank.
+
+    Every task compares its corpus rows with a bounded block of queries and keeps only
+    its own best ``k``, so at most ``tasks * queries * k`` rows are shuffled. More queries
+    than one block are handled block after block, each block one pass over the corpus.
+    """
+    out = _by_blocks(queries, corpus, id_col, vector, query_block, lambda ids, matrix: _scan(ids, matrix, k, skip_self))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scan_within(query_ids: list, queries: np.ndarray, least: float, skip_self: bool):
+    """All corpus rows of one task that are at least ``least`` similar to a query."""
+    def run(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            ids = batch["id"].to_numpy(dtype=object)
+            scores = queries @ _unit(np.stack(batch["vector"].to_numpy()).astype(float)).T
+            for i, row in enumerate(scores):
+                hit = row >= least
+                if skip_self:
+                    hit &= ids != query_ids[i]
+                if hit.any():
+                    yield pd.DataFrame({"query_id": [query_ids[i]] * int(hit.sum()), "id": list(ids[hit]), "score": row[hit]})
+
+    return run
+
+
+def within(queries: DataFrame, corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding",
+           skip_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """All corpus rows at least ``least`` similar to a query, however many: query_id, id, score."""
+    return _by_blocks(queries, corpus, id_col, vector, query_block, lambda ids, matrix: _scan_within(ids, matrix, least, skip_self))
+
+
 def knn_approximate(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "embedding",
                     bucket_length: float = 0.5, tables: int = 8, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
     """Approximate neighbours through locality-sensitive hashing of unit vectors.
@@ -183,7 +209,8 @@ def false_positive_matches(incidents: DataFrame, known: DataFrame, threshold: fl
 
     found = None
     for b in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("incident_id"), F.lit(blocks)) == b)).orderBy("incident_id").toPandas()
+        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("incident_id"), F.lit(blocks)) == b)).orderBy(
+            F.col("incident_id").cast("string")).toPandas()
         if part.empty:
             continue
         matrix = _unit(np.stack(part["v"].to_numpy()).astype(float))
@@ -193,8 +220,9 @@ def false_positive_matches(incidents: DataFrame, known: DataFrame, threshold: fl
     if found is None:
         return todo.select("correlation_id", F.lit(None).cast("string").alias("incident_id"),
                            F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("notes")).limit(0)
-    best = found.groupBy("correlation_id").agg(F.max_by(
-        F.struct("incident_id", "similarity"), F.struct("similarity")).alias("m")).select("correlation_id", "m.*")
+    # One order within blocks and across them: similarity to nine digits, then the smaller id.
+    best = found.groupBy("correlation_id").agg(F.min_by(
+        F.struct("incident_id", "similarity"), F.struct((-F.round("similarity", 9)).alias("s"), "incident_id")).alias("m")).select("correlation_id", "m.*")
     notes = known.select(F.col("incident_id").cast("string").alias("incident_id"), "notes")
     return best.where(F.col("similarity") >= threshold).join(notes, "incident_id", "left")
 
@@ -238,19 +266,18 @@ def word_ngram_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
         "doc", F.col("w").alias("term"), "n")
 
 
-def tfidf(counts: DataFrame, documents: int, max_terms: int = MAX_TERMS) -> DataFrame:
+def tfidf(counts: DataFrame, documents: int, max_terms: int | None = None) -> DataFrame:
     """L2-normalized tf-idf weights as doc, term, weight.
 
-    Vocabulary: the ``max_terms`` terms of the highest total count (ties by term).
-    ``idf = ln((1 + n) / (1 + df)) + 1``. ``counts`` is read twice; pass a written table
-    when it is costly. The vocabulary has at most ``max_terms`` rows and is broadcast
-    only while that bound is small.
+    All terms count, unless ``max_terms`` asks for those of the highest total count (ties by
+    term). ``idf = ln((1 + n) / (1 + df)) + 1``. ``counts`` is read twice; pass a written table
+    when it is costly. Which side of the join by term is sent is left to the optimizer.
     """
     stats = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.desc("total"), "term").limit(max_terms).select(
+    kept = stats.orderBy(F.desc("total"), "term").limit(max_terms) if max_terms else stats
+    vocab = kept.select(
         "term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    side = F.broadcast(vocab) if max_terms <= BROADCAST_TERMS else vocab
-    weighted = counts.join(side, "term").select("doc", "term", (F.col("n") * F.col("idf")).alias("w"))
+    weighted = counts.join(vocab, "term").select("doc", "term", (F.col("n") * F.col("idf")).alias("w"))
     return _unit_length(weighted)
 
 
@@ -260,7 +287,7 @@ def _unit_length(weighted: DataFrame) -> DataFrame:
     return weighted.withColumn("norm", norm).where("norm > 0").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def text_model(df: DataFrame, id_col: str, text: Column, method: str = "char_tfidf", max_terms: int = MAX_TERMS) -> DataFrame:
+def text_model(df: DataFrame, id_col: str, text: Column, method: str = "char_tfidf", max_terms: int | None = None) -> DataFrame:
     """Long-form tf-idf of a text column; n-gram counts are written once and reused."""
     counts = char_ngram_counts(df, id_col, text) if method == "char_tfidf" else word_ngram_counts(df, id_col, text)
     return tfidf(materialize(counts, "terms"), df.count(), max_terms)
