@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logwarden.llm.components import stars
 from logwarden.llm.hashing import buffers, distinct, mix, sequences, slices, words
-from logwarden.llm.tables import partitions
+from logwarden.llm.tables import partitions, small_batches
 from logwarden.session import discard, materialize
 
 #: Frequent tokens are in this many sets at least, and in so many that no more than so many can be:
@@ -42,7 +42,7 @@ OFTEN, FREQUENT = 2_000, 200_000
 #: Bins of the token counts that bound an overlap before sets are compared.
 BINS = 64
 #: Tokens that a task takes together, and that a bucket holds on average at most.
-TAKE, BUCKET = 1_500_000, 2_000_000
+TAKE, BUCKET = 750_000, 1_000_000
 #: Pivots of a group in the first round, and how their number grows; 4 rounds hold at most 1024.
 PIVOTS, GROWTH = 2, 8
 LOW = np.uint64((1 << 40) - 1)
@@ -357,6 +357,7 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
 def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, text_column: str) -> DataFrame:
     """Per row: doc_id, tie (hash of its text), node, n, and part (the node that stands for all linked with it)."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_column), F.lit(""))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     surveyed = materialize(texts.mapInArrow(partial(_survey, words_each), SURVEYED), "survey")

@@ -44,5 +44,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts reach Python in batches of 16 MB, so that a worker's memory doesn't follow their length.
+
+    One longer text is still a batch of its own. A setting of the session that gives the same rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
