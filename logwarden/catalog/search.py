@@ -76,10 +76,36 @@ def v1_filtered(spark, sf):
     return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@register("V1_knn_approximate")
-def v1_lsh(spark, sf):
+BANDS, BITS = 16, 6
+# The same signatures in SQL: a checksum's parity gives each sign, a dot product each bit.
+BANDS_SQL = SAMPLE_SQL + f""", pl AS (SELECT b, j, list_transform(range(64), lambda d:
+      CASE WHEN ('0x' || substr(md5(concat(b, ':', j, ':', d)), 1, 2))::INTEGER % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS r
+    FROM range({BANDS}) x(b), range({BITS}) y(j)),
+  sg AS (SELECT vec_id, b, sum(CASE WHEN list_dot_product(v, r) > 0 THEN 1 << j ELSE 0 END) AS s FROM e, pl GROUP BY 1, 2),
+  cd AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id FROM sg a JOIN q ON q.vec_id = a.vec_id JOIN sg c ON a.b = c.b AND a.s = c.s WHERE a.vec_id <> c.vec_id),
+  ap AS (SELECT query_id, id, list_cosine_similarity(x.v, y.v) AS score, row_number() OVER (PARTITION BY query_id
+      ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, id) AS rank FROM cd JOIN e x ON x.vec_id = query_id JOIN e y ON y.vec_id = id)"""
+
+
+@register("V1_knn_approximate", BANDS_SQL + f" SELECT query_id, id, rank, round(score, 6) AS score FROM ap WHERE rank <= {K}")
+def v1_bands(spark, sf):
     e = vectors(spark, sf)
-    return V.knn_approximate(queries_of(e), e, K, "vec_id")
+    return V.knn_approximate(queries_of(e), e, K, "vec_id", bands=BANDS, bits=BITS, skip_self=True).select(
+        "query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@register("V1_approximate_recall", BANDS_SQL + f""", ex AS (SELECT x.vec_id AS query_id, y.vec_id AS id, row_number() OVER (PARTITION BY x.vec_id
+      ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, y.vec_id) AS rank FROM q x JOIN e y ON x.vec_id <> y.vec_id)
+  SELECT (SELECT round(avg(CASE WHEN a.id IS NULL THEN 0 ELSE 1 END), 6) FROM (SELECT * FROM ex WHERE rank <= {K}) x
+      LEFT JOIN (SELECT * FROM ap WHERE rank <= {K}) a USING (query_id, id)) AS recall,
+    (SELECT count(*) FROM cd) AS candidates""")
+def v1_recall(spark, sf):
+    e = vectors(spark, sf)
+    q = queries_of(e)
+    near = V.knn_approximate(q, e, K, "vec_id", bands=BANDS, bits=BITS, skip_self=True)
+    recall = V.search_recall(near, V.knn(q, e, K, "vec_id", skip_self=True)).select(F.round("recall", 6).alias("recall"))
+    tried = V.approximate_candidates(q, e, "vec_id", bands=BANDS, bits=BITS, skip_self=True).agg(F.count(F.lit(1)).alias("candidates"))
+    return recall.crossJoin(tried)
 
 
 @register("V1_W9_similarity_threshold", SAMPLE_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4""")

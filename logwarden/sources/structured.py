@@ -34,10 +34,13 @@ LINE_TIME_OUTPUT = "dd/MMM/yyyy:HH:mm:ss Z"
 REQUEST_LINE = r"^([A-Z]{2,16})\s+(\S.*?)(?:\s+(HTTP/\d(?:\.\d)?))?$"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; every column is text. A byte-order mark is dropped."""
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; every column is text. A byte-order mark is dropped.
+
+    ``multi_line`` reads quoted fields with line breaks, at the price of one task per file.
+    """
     return (spark.read.option("header", "true").option("recursiveFileLookup", "true")
-            .option("escape", '"').option("multiLine", "true").csv(path))
+            .option("escape", '"').option("multiLine", str(multi_line).lower()).csv(path))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
