@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Attack types that mean none.
 BENIGN_WORDS = ["unknown", "none", "normal", "benign"]
 
 # Order of severities.

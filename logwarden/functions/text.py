@@ -76,6 +76,7 @@ def split_uri(raw_uri: Column) -> dict[str, Column]:
     }
 
 
+# Words of sensitive endpoints.
 SENSITIVE_WORDS = ["backup", "db", "admin", "config", "settings"]
 
 
@@ -93,6 +94,7 @@ def endpoint_group(uri: Column) -> Column:
     )
 
 
+# Accepted time formats.
 TIMESTAMP_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy/MM/dd HH:mm:ss",

@@ -17,8 +17,7 @@ SCANNER_AGENTS = ["sqlmap", "nikto", "acunetix", "nessus", "openvas",
                   "nmap", "gobuster", "ffuf", "dirbuster"]
 SPECIAL_CHARS = "'\"<>;(){}[]./\\=%-&|"
 # SQL evasion patterns, matched without regard to case.
-SQLI_EVASION = (r"(?:'|\b)(?:\s|/\*.*?\*/|%0a|%0d|%09)*(?:or|and)"
-                r"(?:\s|/\*.*?\*/|%0a|%0d|%09)+\d+\s*=\s*\d+")
+SQLI_EVASION = r"(?:'|\b)(?:\s|/\*.*?\*/|%0a|%0d|%09)*(?:or|and)(?:\s|/\*.*?\*/|%0a|%0d|%09)+\d+\s*=\s*\d+"
 UNION_SELECT = r"\bunion(?:\s|/\*.*?\*/)+select\b"
 
 

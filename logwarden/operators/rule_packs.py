@@ -53,8 +53,7 @@ DEFAULT_RULES = [
     _rule("xss", "xss_script_tag", "request", "contains", "<script",
           70, "high", "Script tag"),
     _rule("xss", "xss_html_event_handler", "request", "regex",
-          r"<(?:svg|img|iframe|object|embed|form|input|details|body|meta|a)\b[^>]*"
-          r"(?:onload|onerror|ontoggle|onclick|onmouseover|srcdoc|javascript:)",
+          r"<(?:svg|img|iframe|object|embed|form|input|details|body|meta|a)\b[^>]*(?:onload|onerror|ontoggle|onclick|onmouseover|srcdoc|javascript:)",
           70, "high", "Tag with an event handler"),
     _rule("xss", "xss_javascript_uri", "request", "regex", r"\bjavascript\s*:",
           60, "high", "javascript: address"),
@@ -73,8 +72,7 @@ DEFAULT_RULES = [
           r"(?:^|/)(?:admin|administrator|wp-admin|phpmyadmin|manager|console)(?:/|$)",
           20, "low", "Administration path"),
     _rule("sensitive_path", "sensitive_admin_success_or_forbidden", "request", "regex",
-          r"(?=.*(?:^|/)(?:admin|administrator|wp-admin|phpmyadmin|manager|console)(?:/|$))"
-          r"(?=.*\b(?:status=)?(?:200|401|403)\b)",
+          r"(?=.*(?:^|/)(?:admin|administrator|wp-admin|phpmyadmin|manager|console)(?:/|$))(?=.*\b(?:status=)?(?:200|401|403)\b)",
           35, "medium", "Administration path with a telling status"),
     _rule("evasion", "evasion_multi_decode", "decode_depth", "regex", r"^[2-9][0-9]*$",
           20, "medium", "Several layers of encoding"),

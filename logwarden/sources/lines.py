@@ -82,7 +82,7 @@ def number_lines(raw: DataFrame) -> DataFrame:
 def _files_with_bom(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Files that start with a UTF-8 byte-order mark (the line reader drops it silently).
 
-    Three bytes per file are read, inside tasks.
+    Three bytes per file are read, inside tasks, with the credentials that the workers have.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -90,6 +90,7 @@ def _files_with_bom(spark: SparkSession, root: str, glob: str) -> DataFrame:
     )
 
     def probe(batches):
+        import re
         from urllib.parse import unquote, urlparse
 
         from pyarrow import fs
@@ -98,7 +99,7 @@ def _files_with_bom(spark: SparkSession, root: str, glob: str) -> DataFrame:
             marks = []
             for uri in batch["file"]:
                 local = urlparse(uri).scheme in ("", "file")
-                system, path = (fs.LocalFileSystem(), unquote(urlparse(uri).path)) if local else fs.FileSystem.from_uri(uri)
+                system, path = (fs.LocalFileSystem(), unquote(urlparse(uri).path)) if local else fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
                 with system.open_input_stream(path, compression=None) as stream:
                     marks.append(stream.read(3) == b"\xef\xbb\xbf")
             yield pd.DataFrame({"file": batch["file"], "bom": marks})
