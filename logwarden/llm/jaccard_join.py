@@ -29,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logwarden.llm.components import stars
 from logwarden.llm.hashing import buffers, distinct, mix, sequences, slices, words
@@ -301,22 +301,23 @@ def _keys(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 ["key", "node", "n", "central"])
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough; all tokens that two sets share are in both lists.
+def _enough(common, n_a, n_b, percent: int):
+    return common * 100 >= (n_a + n_b - common) * percent
 
-    First a bound: two sets share no more than, bin by bin, the smaller of their counts. Only
-    pairs within it move whole sets.
-    """
-    def enough(common):
-        return common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
 
-    def side(x: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+def _bound(a: str, b: str):
+    """No more tokens can two sets share than, bin by bin, the smaller of their counts."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough; all tokens that two sets share are in both lists."""
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens")])
 
-    bound = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    near = pairs.join(side("a", "n", "bins"), "a").join(side("b", "n", "bins"), "b").where(enough(bound)).select("a", "b")
-    both = near.join(side("b", "n", "tokens"), "b").join(side("a", "n", "tokens"), "a")
-    return both.where(enough(F.size(F.array_intersect("tokens_a", "tokens_b")))).select("a", "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return both.where(_enough(common, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _connect(nodes: DataFrame, percent: int) -> DataFrame:
@@ -326,30 +327,34 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
     groups = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     chosen = groups.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    postings = materialize(keys.join(chosen, "key").distinct().withColumn("part", F.col("node")), "postings")
+    rows = keys.join(chosen, "key").distinct().join(nodes.select("node", "bins"), "node")
+    postings = materialize(rows.withColumn("part", F.col("node")), "postings")
     discard(keys)
     links = None
     pivots_each = PIVOTS
     while True:
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = postings.groupBy("key", salt.alias("salt")).agg(
-            F.max(F.struct("central", "node", "n", "part")).alias("pivot"), F.min("part").alias("p"), F.max("part").alias("q"))
-        live = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.min("p").alias("p"), F.max("q").alias("q"))
-        grouped = materialize(postings.join(live.where("p <> q").select("key", "pivots"), "key"), "grouped")
-        if grouped.isEmpty():
-            discard(grouped)
+        best = postings.groupBy("key", salt.alias("salt")).agg(
+            F.max(F.struct("central", "node", "n", "part", "bins")).alias("pivot"), F.min("part").alias("p"), F.max("part").alias("q"))
+        of_key = Window.partitionBy("key")
+        live = best.withColumns({"p": F.min("p").over(of_key), "q": F.max("q").over(of_key)}).where("p <> q")
+        pivots = materialize(live.select("key", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("node", "n", "part", "bins")]), "pivots")
+        if pivots.isEmpty():
+            discard(pivots)
             return links
-        to_try = F.filter("pivots", lambda p: (p["part"] != F.col("part")) & (
-            F.least("n", p["n"]) * 100 >= F.greatest("n", p["n"]) * percent))
-        pairs = grouped.select("node", F.explode(to_try).alias("pivot")).select(
-            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        # What can't be similar by size or bins isn't made a pair of, so groups aren't multiplied out.
+        meet = ((F.col("part") != F.col("p_part")) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+                & _enough(_bound("bins", "p_bins"), F.col("n"), F.col("p_n"), percent))
+        pairs = postings.join(pivots, (postings["key"] == pivots["key"]) & meet).select(
+            F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
         found = _similar(pairs, nodes, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
         then = stars(found if links is None else links.union(found))
         # Pivots have been compared with all the rest of their groups.
-        rest = grouped.where(~F.exists("pivots", lambda p: p["node"] == F.col("node"))).select("key", "node", "n", "central")
+        spent = pivots.groupBy("key").agg(F.collect_set("p_node").alias("spent"))
+        rest = postings.join(spent, "key").where(~F.array_contains("spent", F.col("node"))).drop("spent", "part")
         left = rest.join(then.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left")
         left = materialize(left.withColumn("part", F.coalesce("part", "node")), "postings")
-        for old in (postings, grouped, *([links] if links is not None else [])):
+        for old in (postings, pivots, *([links] if links is not None else [])):
             discard(old)
         postings, links, pivots_each = left, then, GROWTH * pivots_each
 
