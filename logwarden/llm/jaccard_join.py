@@ -333,9 +333,10 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
     links = None
     pivots_each = PIVOTS
     while True:
+        # Nodes that aren't linked yet go first: once they have been compared, a group is one part and done.
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
         best = postings.groupBy("key", salt.alias("salt")).agg(
-            F.max(F.struct("central", "node", "n", "part", "bins")).alias("pivot"), F.min("part").alias("p"), F.max("part").alias("q"))
+            F.max(F.struct((F.col("part") == F.col("node")).alias("alone"), "central", "node", "n", "part", "bins")).alias("pivot"), F.min("part").alias("p"), F.max("part").alias("q"))
         of_key = Window.partitionBy("key")
         live = best.withColumns({"p": F.min("p").over(of_key), "q": F.max("q").over(of_key)}).where("p <> q")
         pivots = materialize(live.select("key", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("node", "n", "part", "bins")]), "pivots")
