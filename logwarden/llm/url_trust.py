@@ -98,6 +98,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping:
     an empty host and path, fit no rule and are allowed. Repeated pages are judged alike and
     each counts; without links or seeds nothing spreads.
     """
+    pages = pages.select("page_id", "url", "html")  # other columns may be named like the results
     ruled = with_rules(pages, rules)
     edges = materialize(host_edges(pages), "links")
     by_host = materialize(ruled.where("host <> '' and ruled is not null").groupBy("host", "ruled").count(), "ruled")
