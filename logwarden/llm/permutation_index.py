@@ -74,7 +74,7 @@ def _search_file(k: int, share: float, least: int, rows):
         if taken < len(file):
             near = np.argpartition(np.abs(file_seen - seen[q]).sum(1, dtype=np.int32), taken - 1)[:taken]
         near = np.sort(near[file_ids[near] != ids[q]])
-        score = file_unit[near] @ unit[q]
+        score = (file_unit[near] * unit[q]).sum(1)  # of equal vectors equal to the last bit, wherever they are
         order = np.lexsort((file_ids[near], -score))
         best = order[np.sort(np.unique(file_ids[near][order], return_index=True)[1])[:k]]  # equal ids count once
         out += [(int(ids[q]), int(file_ids[near[b]]), float(score[b])) for b in best]

@@ -201,7 +201,7 @@ def test_awkward_vectors(spark):
 def test_split_files_find_the_same(spark, monkeypatch):
     vectors = table(spark, SF, "embeddings")
     ask = vectors.where("vec_id % 50 = 0")
-    monkeypatch.setattr(permutation_index, "SHARE", 1.0)
+    # The files of this table hold fewer vectors than are compared exactly at least, so parts find the same.
     want = sorted(map(tuple, permutation_index.nearest(vectors, ask).collect()))
     monkeypatch.setattr(permutation_index, "HOLD", 7)
     assert sorted(map(tuple, permutation_index.nearest(vectors, ask).collect())) == want
