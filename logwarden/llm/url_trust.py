@@ -3,7 +3,8 @@
 Hosts are nodes, links between pages of different hosts are edges. Personalised PageRank from the
 hosts of allowed pages gives trust, along the links; the same from the hosts of blocked pages,
 against the links, gives distrust: who links to a blocked host is suspect. A host whose spread
-distrust exceeds its spread trust by more than a threshold is blocked where no rule decides.
+distrust exceeds its spread trust by more than a threshold is blocked where no rule decides. Both
+are measured in seed pages, so that seeds elsewhere in the graph don't change the verdict.
 All of it is joins and sums by host; the page table is read once for the edges.
 """
 
@@ -14,7 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logwarden.session import discard, materialize
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: The threshold is in seed pages. ``ROUNDS`` are those of the SQL twin; ``judge`` spreads until it has converged.
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 1e-4
+#: What all further rounds together may still move, in seed pages and as a share of all seeds.
+TOLERANCE, SHARE_TOLERANCE = 1e-6, 1e-10
 
 
 def host_of(url: Column) -> Column:
@@ -64,37 +68,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts.join(out, "src").select("src", "dst", (F.col("count") / F.col("all")).alias("weight"), F.col("count").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, mass): what reaches each host from the seeds (host, mass) by PageRank, beyond its own start.
 
-    ``edges`` (src, dst, weight) hand on a share of what the source has. Stops early when nothing
-    moves any more. Each round is written, so that a lost executor costs one round.
+    ``edges`` (src, dst, weight) hand on a share of what the source has. Each round hands on what
+    the one before has moved, which shrinks by ``damping`` at least, until all further rounds together
+    would move less than ``tolerance``. Each round is written, so that a lost executor costs one round.
     """
-    edge_table, start = materialize(edges, "edges"), materialize(seeds, "seeds")
-    now, before = start, None
-    for _ in range(rounds):
-        moved = now.join(edge_table, now["host"] == edge_table["src"]).groupBy("dst").agg(F.sum(F.col("mass") * F.col("weight")).alias("got"))
-        then = start.select("host", (F.col("mass") * (1 - damping)).alias("mass")).unionByName(
-            moved.select(F.col("dst").alias("host"), (F.col("got") * damping).alias("mass")))
-        then = materialize(then.groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
-        mark = then.agg(F.count(F.lit(1)), F.sum("mass")).first()
-        if now is not start:
-            discard(now)
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and less than 1")
+    edge_table = materialize(edges, "edges")
+    now = materialize(seeds.select("host", F.lit(0.0).alias("mass"), (F.col("mass") * (1 - damping)).alias("moved")), "mass")
+    while True:
+        got = now.where("moved > 0").join(edge_table, F.col("host") == edge_table["src"]).groupBy("dst").agg(
+            (F.sum(F.col("moved") * F.col("weight")) * damping).alias("moved"))
+        both = now.select("host", "mass", F.lit(0.0).alias("moved")).unionByName(got.select(F.col("dst").alias("host"), F.col("moved").alias("mass"), "moved"))
+        then = materialize(both.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("moved").alias("moved")), "mass")
+        discard(now)
         now = then
-        if mark == before:
-            break
-        before = mark
-    own = start.select("host", (F.col("mass") * (damping - 1)).alias("mass"))
-    return now.unionByName(own).groupBy("host").agg(F.sum("mass").alias("mass"))
+        if (now.agg(F.sum("moved")).first()[0] or 0.0) * damping / (1 - damping) <= tolerance:
+            return now.select("host", "mass")
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS,
-          threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING,
+          threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page.
 
     Where no rule fits, a page is blocked if its host's spread distrust exceeds its spread trust
-    by more than ``threshold``, else allowed. Masses add up to 1 over all seeds: each host starts with
-    its share of the allowed and of the blocked pages. Urls that are null or without ``://`` have
+    by more than ``threshold``, else allowed. Each host starts with its allowed and its blocked pages,
+    and ``threshold`` is in such pages; ``trust`` and ``distrust`` are returned as shares of all
+    allowed and all blocked pages. Urls that are null or without ``://`` have
     an empty host and path, fit no rule and are allowed. Repeated pages are judged alike and
     each counts; without links or seeds nothing spreads.
     """
@@ -103,25 +106,30 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping:
     edges = materialize(host_edges(pages), "links")
     by_host = materialize(ruled.where("host <> '' and ruled is not null").groupBy("host", "ruled").count(), "ruled")
 
-    def seeds(verdict: str) -> DataFrame:
-        own = by_host.where(F.col("ruled") == verdict)
-        total = own.agg(F.sum("count")).first()[0] or 1
-        return own.select("host", (F.col("count") / total).alias("mass"))
+    total = {r[0]: float(r[1]) for r in by_host.groupBy("ruled").agg(F.sum("count")).collect()}
+
+    def spread_from(verdict: str, links: DataFrame) -> DataFrame:
+        own = by_host.where(F.col("ruled") == verdict).select("host", F.col("count").cast("double").alias("mass"))
+        return spread(links, own, damping, min(tolerance, SHARE_TOLERANCE * total.get(verdict, 1.0)))
 
     incoming = edges.groupBy("dst").agg(F.sum("n").alias("all"))
     against = edges.join(incoming, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("weight"))
-    trust = spread(edges.select("src", "dst", "weight"), seeds("allow"), damping, rounds)
-    distrust = spread(against, seeds("block"), damping, rounds)
+    trust = spread_from("allow", edges.select("src", "dst", "weight"))
+    distrust = spread_from("block", against)
     masses = trust.select("host", F.col("mass").alias("trust")).join(distrust.select("host", F.col("mass").alias("distrust")), "host", "full")
     zero = F.lit(0.0)
     rows = ruled.join(masses, "host", "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
     learned = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"),
-                       (F.round("trust", 9) + 0.0).alias("trust"), (F.round("distrust", 9) + 0.0).alias("distrust"))
+                       *[(F.round(F.col(kind) / total.get(verdict, 1.0), 9) + 0.0).alias(kind) for kind, verdict in (("trust", "allow"), ("distrust", "block"))])
 
 
 def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
-    """The same as one DuckDB statement over ``pages``, the rounds written out."""
+    """The same as one DuckDB statement over ``pages``, the rounds written out.
+
+    Equal to ``judge`` while no host is more than ``rounds`` links from a seed. It compares shares of
+    1, so its threshold means the same only with one allowed and one blocked page.
+    """
     order = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
 
     def fits(rule: str) -> str:

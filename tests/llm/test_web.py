@@ -121,6 +121,30 @@ def test_the_sql_spreads_alike(spark):
     assert sorted(map(tuple, url_trust.judge(pages(spark, linked())).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("hosts", [10, 2_000, 20_000])
+def test_verdicts_do_not_depend_on_the_number_of_blocked_hosts(spark, hosts):
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [(k, f"http://b{k}.com/de/", None) for k in range(hosts)] + [(hosts + k, "http://hot.com/de/", None) for k in range(hosts // 2)]
+    rows += [(-1, "http://suspect.net/", link("b0.com")), (-2, "http://good.org/", link("friend.net")), (-3, "http://friend.net/", "")]
+    got = {r.host: r for r in url_trust.judge(pages(spark, rows)).where("page_id < 0").collect()}
+    assert got["suspect.net"].verdict == "block" and got["friend.net"].verdict == "allow"
+    assert abs(got["suspect.net"].distrust - 0.1275 / len(rows[:-3])) < 1e-9
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    rows = [(0, "http://bad.com/de/", None), *[(k, f"http://h{k}.net/", f'<a href="http://{"bad.com" if k == 1 else f"h{k - 1}.net"}/">x</a>') for k in range(1, 31)]]
+    got = {r.page_id: r for r in url_trust.judge(pages(spark, rows)).collect()}
+    for k in range(1, 31):
+        assert got[k].verdict == "block" and abs(got[k].distrust - 0.15 * 0.85 ** k) < 1e-9
+
+
+def test_masses_converge_on_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = {r.host: r.mass for r in url_trust.spread(edges, spark.createDataFrame([("a", 1.0)], "host string, mass double"), 0.85, 0.01).collect()}
+    want = 0.15 * 0.85 / (1 - 0.85 ** 2)
+    assert want - 0.01 <= got["b"] <= want and 0.85 * want - 0.01 <= got["a"] <= 0.85 * want
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
