@@ -72,7 +72,8 @@ def _search_file(k: int, share: float, least: int, rows):
     for q in np.flatnonzero(asks) if len(file) else []:
         near = np.arange(len(file))
         if taken < len(file):
-            near = np.argpartition(np.abs(file_seen - seen[q]).sum(1, dtype=np.int32), taken - 1)[:taken]
+            footrule = np.abs(file_seen - seen[q]).sum(1, dtype=np.int64)
+            near = np.argpartition(footrule * len(file) + near, taken - 1)[:taken]  # the file is sorted by id, so equal orders go by id
         near = np.sort(near[file_ids[near] != ids[q]])
         score = (file_unit[near] * unit[q]).sum(1)  # of equal vectors equal to the last bit, wherever they are
         order = np.lexsort((file_ids[near], -score))

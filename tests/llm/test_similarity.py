@@ -198,6 +198,17 @@ def test_awkward_vectors(spark):
     assert permutation_index.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_copies_are_ranked_by_id(spark):
+    rng = np.random.default_rng(2)
+    copy = [float(x) for x in rng.normal(size=16)]
+    rows = [(i, copy if i % 3 == 0 else [float(x) for x in rng.normal(size=16)]) for i in range(3_000)]
+    vectors = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(vectors, vectors.where("vec_id in (0, 1500, 2997)")).collect()
+    same = [i for i, v in rows if v == copy]
+    for q in (0, 1500, 2997):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for i in same if i != q][:5]
+
+
 def test_split_files_find_the_same(spark, monkeypatch):
     vectors = table(spark, SF, "embeddings")
     ask = vectors.where("vec_id % 50 = 0")
