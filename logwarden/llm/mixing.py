@@ -10,6 +10,9 @@ in one join of narrow rows.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.session import discard, materialize
@@ -19,6 +22,9 @@ MARGINS = ("source", "lang", "topic")
 #: small categories gain on large ones.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS, BUDGET, STEPS = 8, 0.5, 64
+#: Raking takes ``ROUNDS`` rounds at least, and goes on until no margin is further off its target than this share of it,
+#: or, with a warning, once ``STALLED`` rounds bring no margin nearer or after ``MOST``.
+TOLERANCE, STALLED, MOST = 1e-4, 20, 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -35,11 +41,19 @@ def _margin(cells: DataFrame, column: str, value: str) -> DataFrame:
     return cells.groupBy(column).agg(F.sum(value).alias("now"))
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+def _misfit(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """How far off its target a margin is at most, as a share of the target."""
+    off = [_margin(cells, c, "fit").join(want, c).select(F.abs(F.col("now") / F.col("want") - 1).alias("off")) for c, want in targets.items()]
+    return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (margins..., mass) with ``fit``: masses raked to the targets, in shares of 1.
 
-    Each step is a sum by one margin and a join on it; each round is written. The last margin
-    fits exactly, the others as closely as the rounds bring them. Cells without mass stay at 0.
+    Each step is a sum by one margin and a join on it; each round is written. After ``rounds`` rounds
+    they go on until every margin is within ``tolerance`` of its target. Where no masses of the given
+    cells meet all targets, as when a source and a language have only each other, rounds end when
+    they bring no margin nearer, and a warning tells the misfit. Cells without mass stay at 0.
     """
     total = cells.agg(F.sum("mass")).first()[0] or 1
     now = materialize(cells.where("mass > 0").withColumn("fit", F.col("mass") / float(total)), "cells")
@@ -48,7 +62,17 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
         share = _margin(now, column, "fit").withColumn("p", F.pow("now", F.lit(power)))
         whole = share.agg(F.sum("p")).first()[0] or 1.0
         targets[column] = materialize(share.select(column, (F.col("p") / whole).alias("want")), "target")
-    for _ in range(rounds):
+    done, best, gained = 0, float("inf"), 0
+    while True:
+        if done >= rounds:
+            off = _misfit(now, targets)
+            if off <= tolerance:
+                break
+            if off < best * 0.999:
+                best, gained = off, done
+            if done - gained >= STALLED or done >= MOST:
+                warnings.warn(f"raking ends after {done} rounds with a margin {off:.3%} off its target", RuntimeWarning, stacklevel=2)
+                break
         then = now
         for column, want in targets.items():
             factor = _margin(then, column, "fit").join(want, column).select(column, (F.col("want") / F.col("now")).alias("by"))
@@ -56,6 +80,7 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
         then = materialize(then.select(*cells.columns, "fit"), "cells")
         discard(now)
         now = then
+        done += 1
     for want in targets.values():
         discard(want)
     return now
@@ -115,7 +140,10 @@ def sample(docs: DataFrame, embeddings: DataFrame, powers: dict[str, float] = PO
 
 
 def mix_sql(powers: dict[str, float] = POWERS, budget: float = BUDGET, rounds: int = ROUNDS, steps: int = STEPS) -> str:
-    """The same as one DuckDB statement over ``documents`` and ``embeddings``, the rounds written out."""
+    """The same as one DuckDB statement over ``documents`` and ``embeddings``, the rounds written out.
+
+    Equal to ``mix`` where ``rounds`` rounds bring all margins within the tolerance.
+    """
     text = r"""WITH topics AS (SELECT vec_id AS doc_id, CAST(min(label) AS VARCHAR) AS topic FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
 rows_ AS (SELECT d.doc_id, CASE WHEN coalesce(source, '') = '' THEN 'none' ELSE source END AS source,
   CASE WHEN coalesce(lang, '') = '' THEN 'none' ELSE lang END AS lang, coalesce(topic, 'none') AS topic,

@@ -29,6 +29,28 @@ def test_raking_meets_the_targets(spark):
     assert len(got) == 4
 
 
+def test_raking_goes_on_until_correlated_cells_fit(spark, recwarn):
+    rows = [(f"s{k}", f"l{j}", "1", (1000 + 5000 * (k == 0)) * (97 if j == k % 3 else 4)) for k in range(6) for j in range(3)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, mass long")
+    got = mixing.rake(cells).collect()
+    total = sum(r[3] for r in rows)
+    for at, column in enumerate(("source", "lang")):
+        shares = {}
+        for r in rows:
+            shares[r[at]] = shares.get(r[at], 0) + r[3] / total
+        whole = sum(s ** mixing.POWERS[column] for s in shares.values())
+        for value, share in shares.items():
+            want = share ** mixing.POWERS[column] / whole
+            assert abs(sum(r.fit for r in got if r[column] == value) / want - 1) <= mixing.TOLERANCE
+    assert not [w for w in recwarn if "raking" in str(w.message)]
+
+
+def test_targets_that_no_masses_meet_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "1", 90), ("b", "y", "1", 10)], "source string, lang string, topic string, mass long")
+    with pytest.warns(RuntimeWarning, match="off its target"):
+        assert mixing.rake(cells).count() == 2
+
+
 def test_sample_meets_the_budget(spark):
     docs, vectors = table(spark, SF, "documents"), table(spark, SF, "embeddings")
     rows = mixing.mix(docs, vectors, budget=0.6).collect()
