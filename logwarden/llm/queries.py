@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, jaccard_join, language, mixing, permutation_index, quality, toxicity, unigram_count, url_trust
-from logwarden.llm.tables import BYTE_BPE, ORACLES, PIECES, QUERIES, register, table, vocabulary_path
+from logwarden.llm import bitpack, decontaminate, duck_bpe, jaccard_join, language, mixing, permutation_index, quality, toxicity, unigram_count, url_trust
+from logwarden.llm.tables import BYTE_BPE, BYTE_RANKS, ORACLES, PIECES, QUERIES, cut_pattern, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -64,3 +64,8 @@ def judged_pages(spark: SparkSession, sf: str) -> DataFrame:
 @register("op4_mixing", mixing.mix_sql())
 def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "embeddings"))
+
+
+@register("op11_duck_bpe")
+def byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return duck_bpe.digest(table(spark, sf, "documents"), vocabulary_path(BYTE_RANKS), cut_pattern())

@@ -12,6 +12,7 @@ ORACLES: dict[str, str] = {}
 #: The public byte-level BPE and piece vocabularies; only their paths are used.
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def register(name: str, sql: str | None = None):
@@ -44,6 +45,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def cut_pattern() -> str:
+    """The pattern that cuts texts before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts reach Python in batches of 16 MB, so that a worker's memory doesn't follow their length.
 
