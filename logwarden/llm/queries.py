@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logwarden.llm import bitpack, decontaminate, duck_bpe, jaccard_join, language, mixing, permutation_index, quality, toxicity, unigram_count, url_trust
+from logwarden.llm import (bitpack, decontaminate, divergence, duck_bpe, jaccard_join, language, mixing, permutation_index, quality, resampling,
+                           toxicity, unigram_count, url_trust)
 from logwarden.llm.tables import BYTE_BPE, BYTE_RANKS, ORACLES, PIECES, QUERIES, cut_pattern, register, table, vocabulary_path
 from logwarden.session import new_work_path
 
@@ -69,3 +70,13 @@ def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
 @register("op11_duck_bpe")
 def byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return duck_bpe.digest(table(spark, sf, "documents"), vocabulary_path(BYTE_RANKS), cut_pattern())
+
+
+@register("op12_source_divergence", divergence.audit_sql())
+def source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@register("op13_importance_resampling", resampling.resample_sql())
+def importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
