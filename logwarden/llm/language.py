@@ -143,7 +143,10 @@ def viterbi(scores: np.ndarray, switch: float) -> list[int]:
 
 
 def _one_span(scores: np.ndarray, bounds: np.ndarray, best: np.ndarray, switch: float) -> np.ndarray:
-    """Documents of which no stretch gains more than one switch costs in any other language."""
+    """Documents that are surely one span: no stretch gains as much as half a switch costs in any other language.
+
+    Every switch then costs more than the two stretches beside it can gain.
+    """
     n, total = len(bounds) - 1, len(scores)
     doc = np.repeat(np.arange(n), np.diff(bounds))
     own = scores[np.arange(total), best[doc]]
@@ -153,7 +156,7 @@ def _one_span(scores: np.ndarray, bounds: np.ndarray, best: np.ndarray, switch:
         drop = (sums.max() - sums.min() + 1.0) * doc  # each document lies below all before it
         least = np.minimum.accumulate(sums[:-1] - drop) + drop
         np.maximum.at(worth, doc, sums[1:] - least)
-    return worth <= switch
+    return worth < switch / 2
 
 
 def _label(shared, switch: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +172,9 @@ def _label(shared, switch: float, batches: Iterator[pa.RecordBatch]) -> Iterator
         for begin, end in slices(offsets):
             part = offsets[begin:end + 1] - offsets[begin]
             gram, word, starts, script, bounds = _features(data[offsets[begin]:offsets[end]], part)
+            raw = data[offsets[begin]:offsets[end]]
+            # Letters before each byte: bytes that start a character and are no ASCII sign.
+            before = np.concatenate([[0], np.cumsum((raw & 0xC0 != 0x80) & ~NO_LETTER[raw])])
             scores = np.zeros((len(starts), n_lang))
             for language in range(n_lang if len(starts) else 0):
                 scores[:, language] = np.add.reduceat(model.grams[language][gram], starts) + model.words[language][word]
@@ -191,7 +197,7 @@ def _label(shared, switch: float, batches: Iterator[pa.RecordBatch]) -> Iterator
                     spans.append([(names[-1], int(starts[first] - part[d]), int(ends[-1] - starts[first]))])
                     continue
                 path = np.array(viterbi(scores[first:last], switch))
-                letters = np.bincount(path, ends - starts[first:last], minlength=n_lang)
+                letters = np.bincount(path, before[ends] - before[starts[first:last]], minlength=n_lang)
                 names.append(model.names[int(letters.argmax())])
                 shares.append(float(letters.max() / letters.sum()))
                 cut = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
