@@ -26,7 +26,7 @@ from logwarden.session import materialize
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: Bytes of text that are cut at once, and pivots of one round.
-SLICE, PIVOTS = 4_000_000, 15
+SLICE, PIVOTS = 1_000_000, 15
 #: The composite key, best first: the negative score, null ids last, then the columns that rows of one id may differ in.
 KEY = ("worse", "without_id", "doc_key", "n_features", "weight")
 
