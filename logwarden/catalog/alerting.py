@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from logwarden.catalog.base import GROUP_SQL, REQ, joined, latest, register, request_rows, requests, table
 from logwarden.operators import incidents as I, lifecycle as L
@@ -55,9 +55,9 @@ def t2_endpoints(spark, sf):
 
 
 @register("N9_incident_evidence", ALERTS_SQL + """, newest AS (SELECT *, row_number() OVER (PARTITION BY source_ip, window_start ORDER BY ts DESC, event_id DESC) AS n FROM alerts)
-  SELECT source_ip, window_start, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS event_ids FROM newest WHERE n <= 5 GROUP BY 1, 2""")
+  SELECT source_ip, window_start, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS event_ids FROM newest WHERE n <= 100 GROUP BY 1, 2""")
 def n9(spark, sf):
-    return I.incident_evidence(alerts(spark, sf), HOURS * 60, limit=5).select(
+    return I.incident_evidence(alerts(spark, sf), HOURS * 60).select(
         "source_ip", "window_start", joined(F.transform("evidence", lambda e: e["event_id"])).alias("event_ids"))
 
 
@@ -148,7 +148,7 @@ def recursive(sql: str) -> str:
 def lifecycle(spark, sf, **options):
     a = requests(spark, sf).where("should_alert")
     i = materialize(I.correlate(a, 60), "incidents")
-    return i, L.process_incidents(i, I.incident_evidence(a, 60), cooldown_minutes=120, **options)
+    return i, L.process_incidents(i, I.incident_scores(a, 60), cooldown_minutes=120, **options)
 
 
 @register("T7_incident_lifecycle", recursive(CYCLE_SQL + CYCLE_FOLD + CYCLE_OUT))
@@ -158,6 +158,23 @@ def t7(spark, sf):
     return actions.select("source_ip", "window_start", "action", "severity", "max_risk_score", "cooldown_until", day.alias("opened_day"))
 
 
+CROWDED_SQL = CYCLE_SQL.replace("SELECT event_id, ts, source_ip,", "SELECT event_id, ts, concat('10.9.0.', user_id % 3) AS source_ip,").replace(
+    "INTERVAL 1 HOUR", "INTERVAL 6 HOUR")
+CROWDED_FOLD = CYCLE_FOLD.replace("INTERVAL 2 HOUR", "INTERVAL 9 HOUR")
+
+
+@register("T7_crowded_incidents", recursive(CROWDED_SQL + CROWDED_FOLD + """ SELECT source_ip, w AS window_start, CASE action WHEN 'FRESH' THEN 'NEW_ALERT' ELSE action END AS action,
+  CASE cur WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, score AS max_risk_score, len(evidence)::BIGINT AS events_so_far FROM fold"""))
+def t7_crowded(spark, sf):
+    """Three addresses send all alerts, so incidents hold far more events than a stored list would."""
+    a = requests(spark, sf).where("should_alert").withColumn("source_ip", F.concat(F.lit("10.9.0."), (F.col("user_id") % 3).cast("string")))
+    i = materialize(I.correlate(a, 360), "incidents")
+    actions = L.process_incidents(i, I.incident_scores(a, 360), cooldown_minutes=540)
+    so_far = W.partitionBy("incident_id").orderBy("window_start")
+    return actions.join(i.select("correlation_id", "evidence_count"), "correlation_id").select(
+        "source_ip", "window_start", "action", "severity", "max_risk_score", F.sum("evidence_count").over(so_far).alias("events_so_far"))
+
+
 @register("T7_managed_incidents", recursive(CYCLE_SQL + CYCLE_FOLD + """ SELECT source_ip, opened AS created_at, max(f.w) AS updated_at, count(*) AS windows,
    sum(len(i.ev))::BIGINT AS evidence_count, arg_max(score, f.w) AS max_risk_score,
    arg_max(CASE cur WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END, f.w) AS severity
@@ -295,14 +312,36 @@ def t2_stream(spark, sf):
     return spark.read.parquet(out).select("window_start", "source_ip", "endpoint_group", "events", "top_score")
 
 
+def shuffled_stream(spark, sf, batches=4, jitter=2):
+    """The event table as a stream of files in rough order of time: each event up to ``jitter`` hours late."""
+    folder = new_work_path(spark, "arrivals")
+    e = table(spark, sf, "events")
+    late = F.make_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(3600 * jitter)))
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    share = F.timestamp_diff("SECOND", F.lit(span["a"]).cast("timestamp_ntz"), F.col("ts") + late) / (span["b"] - span["a"] + timedelta(hours=jitter, seconds=1)).total_seconds()
+    parts = e.withColumn("part", F.floor(share * batches))
+    for part in range(batches):
+        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return request_rows(SI.stream_table(spark, folder, e.schema, files_per_batch=1)).where("should_alert")
+
+
+@register("T2_stream_correlated", INCIDENT_SQL + """ SELECT correlation_id, title, behavior_type, source_ip, attack_types, evidence_count, endpoint_count,
+  max_risk_score, severity, window_start FROM inc""")
+def t2_stream_correlated(spark, sf):
+    """Correlation over several micro-batches of out-of-order events equals that over the table, to the last window."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SA.ROCKSDB)
+    stream = shuffled_stream(spark, sf).withColumn("source_ip", F.concat(F.lit("10.0.0."), (F.col("user_id") % 8).cast("string")))
+    out = new_work_path(spark, "correlated")
+    SA.correlate_stream(stream, out, out + "-ckpt", HOURS * 60, once=True, delay="3 hours", recon=8, brute_force=6, multi_vector=3).awaitTermination()
+    return spark.read.parquet(out).withColumn("attack_types", joined("attack_types")).drop("evidence", "window_end")
+
+
 @register("T7_stream_lifecycle", recursive(CYCLE_SQL + CYCLE_FOLD + CYCLE_OUT))
 def t7_stream(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SA.ROCKSDB)
     incidents_path, out = new_work_path(spark, "incidents"), new_work_path(spark, "actions")
-    stream = request_rows(event_stream(spark, sf)).where("should_alert")
-    SA.correlate_stream(stream, incidents_path, incidents_path + "-ckpt", 60, once=True).awaitTermination()
-    correlated = spark.read.option("recursiveFileLookup", "true").parquet(incidents_path)
-    feed = spark.readStream.schema(correlated.schema).option("recursiveFileLookup", "true").parquet(incidents_path)
+    SA.correlate_stream(shuffled_stream(spark, sf), incidents_path, incidents_path + "-ckpt", 60, once=True, delay="3 hours").awaitTermination()
+    feed = spark.readStream.schema(spark.read.parquet(incidents_path).schema).parquet(incidents_path)
     q = (SA.lifecycle_stream(feed, 120).writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-ckpt")
          .option("path", out).trigger(availableNow=True).start())
     q.awaitTermination()

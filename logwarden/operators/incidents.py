@@ -53,7 +53,7 @@ def alert_events(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
         F.coalesce(F.nullif(field(alerts, "source_ip", "string"), F.lit("")), F.lit("unknown_ip")).alias("source_ip"),
         ts.cast("timestamp_ntz").alias("ts"), pick(alerts, "event_id", "_id").alias("event_id"),
         uri.alias("uri"), kind_of.alias("attack_type"), score.alias("score"),
-        *([F.col("embedding")] if "embedding" in alerts.columns else []),
+        *[F.col(c) for c in ("embedding", "is_mark") if c in alerts.columns],
     )
     return events.withColumns({
         "window_start": F.window("ts", f"{window_minutes} minutes").start,
@@ -90,12 +90,21 @@ def correlate(alerts: DataFrame, window_minutes: int = 5, recon: int = RECON_END
 
     joined = facts.join(types, key, "left").join(risk, key)
     joined = joined.withColumn("attack_types", F.coalesce("attack_types", F.array().cast("array<string>")))
+    return describe_incidents(joined, window_minutes, recon, brute_force, multi_vector)
+
+
+def describe_incidents(facts: DataFrame, window_minutes: int = 5, recon: int = RECON_ENDPOINTS, brute_force: int = BRUTE_FORCE_EVENTS,
+                       multi_vector: int = MULTI_VECTOR_TYPES, keep: list[str] | None = None) -> DataFrame:
+    """Behaviour, id, title and severity of counted address windows, of a batch or of a stream.
+
+    ``facts`` has source_ip, window_start, evidence_count, endpoint_count, first_type, attack_types and max_risk_score.
+    """
     behaviour = (
         F.when(F.col("endpoint_count") >= recon, "reconnaissance")
         .when(F.col("evidence_count") >= brute_force, "brute_force")
         .when(F.size("attack_types") >= multi_vector, "multi_vector").otherwise("single")
     )
-    joined = joined.withColumn("behavior_type", behaviour)
+    joined = facts.withColumn("behavior_type", behaviour)
     stamp = F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     title = F
     for name, text in TITLES.items():
@@ -105,7 +114,7 @@ def correlate(alerts: DataFrame, window_minutes: int = 5, recon: int = RECON_END
         F.concat(F.lit("corr-"), F.substring(F.md5(F.concat_ws(":", "source_ip", stamp, "behavior_type")), 1, 12)).alias("correlation_id"),
         title.alias("title"), "behavior_type", "source_ip", "attack_types", "evidence_count", "endpoint_count",
         "max_risk_score", incident_severity(F.col("max_risk_score")).alias("severity"), "window_start",
-        (F.col("window_start") + F.expr(f"INTERVAL {window_minutes} MINUTE")).alias("window_end"),
+        (F.col("window_start") + F.expr(f"INTERVAL {window_minutes} MINUTE")).alias("window_end"), *(keep or []),
     )
 
 
@@ -138,6 +147,22 @@ def incident_evidence(alerts: DataFrame, window_minutes: int = 5, limit: int = E
         "ts", F.col("event_id").cast("string").alias("event_id"), F.col("endpoint_group").alias("grp"), "score"))).alias("evidence"))
 
 
+def incident_scores(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
+    """What decides the score of each address and window: its most sensitive endpoint groups, in the order
+    they were seen, each with its first event and its best score over all events.
+
+    Less sensitive groups never decide, so they are left out. Same form as ``incident_evidence``, but
+    with an entry per group instead of one per event, and nothing is cut.
+    """
+    key = ["source_ip", "window_start"]
+    groups = alert_events(alerts, window_minutes).groupBy(*key, "endpoint_group").agg(
+        F.max("score").alias("score"), F.min(F.struct("ts", "event_id")).alias("first"))
+    ranked = groups.withColumn("rank", group_priority(F.col("endpoint_group")))
+    best = ranked.groupBy(*key).agg(F.min("rank").alias("rank"))
+    return ranked.join(best, [*key, "rank"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+        "first.ts", "first.event_id", F.col("endpoint_group").alias("grp"), "score"))).alias("evidence"))
+
+
 def incident_vectors(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
     """First event vector of each address and window."""
     events = alert_events(alerts, window_minutes)

@@ -2,13 +2,16 @@
 
 The only sequential part of the system. Spark partitions by address and sorts by
 window; the fold below then streams over the rows, holding one address's open
-incident (at most 100 evidence entries) at a time.
+incident at a time. Its evidence is held as the one endpoint group that decides the
+score: the most sensitive one, the earliest of equal ones, with its best score. Events
+of a later window can only raise that score or bring a more sensitive group, so nothing
+else has to be kept, however many events an incident has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from hashlib import md5
 
@@ -16,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from logwarden.functions.scales import SEVERITY_RANK
-from logwarden.operators.incidents import EVIDENCE_LIMIT
 
 COOLDOWN_MINUTES = 30
 EVIDENCE_TYPE = "array<struct<ts:timestamp_ntz,event_id:string,grp:string,score:double>>"
@@ -25,23 +27,48 @@ OUTPUT = ("correlation_id string, source_ip string, window_start timestamp_ntz,
 _PRIORITY = {"sensitive": 0, "root": 3}
 
 
+Evidence = list[tuple[str, str, float]]  # event id, endpoint group, score; oldest first
+
+
+@dataclass
+class Lead:
+    """The endpoint group that decides an incident's score, and the best score in it."""
+
+    rank: int
+    group: str
+    score: float
+
+
 @dataclass
 class OpenIncident:
     incident_id: str
     severity: str
     cooldown_until: datetime
-    evidence: list[tuple[str, str, float]] = field(default_factory=list)  # event id, group, score
+    lead: Lead | None = None
 
 
-def priority_score(evidence: list[tuple[str, str, float]]) -> float:
-    """Best score in the most sensitive endpoint group; the earliest of equal groups."""
-    def rank(group: str) -> int:
-        return 1 if group.startswith("api") else _PRIORITY.get(group, 2)
+def sensitivity(group: str) -> int:
+    return 1 if group.startswith("api") else _PRIORITY.get(group, 2)
 
-    if not evidence:
-        return 0.0
-    chosen = min(evidence, key=lambda e: rank(e[1]))[1]
-    return max(score for _, group, score in evidence if group == chosen)
+
+def extend(lead: Lead | None, evidence: Evidence) -> Lead | None:
+    """The lead after later evidence, which may have one entry per event or one per group with its best score.
+
+    Extending by two lists one after the other is extending by both together.
+    """
+    for _, group, score in evidence:
+        rank = sensitivity(group)
+        if lead is None or rank < lead.rank:
+            lead = Lead(rank, group, score)
+        elif group == lead.group and score > lead.score:
+            lead = Lead(rank, group, score)
+    return lead
+
+
+def priority_score(evidence: Evidence) -> float:
+    """Best score in the most sensitive endpoint group; the earliest of equal groups."""
+    lead = extend(None, evidence)
+    return lead.score if lead else 0.0
 
 
 def severity_for(score: float) -> str:
@@ -53,12 +80,11 @@ def advance(state: OpenIncident | None, row: dict, cooldown: timedelta) -> tuple
     now, incoming = row["window_start"], row["severity"]
     if state is None or state.cooldown_until <= now:
         new_id = f"INC-{now:%Y%m%d}-{md5(row['correlation_id'].encode()).hexdigest()[:12].upper()}"
-        opened = OpenIncident(new_id, incoming, now + cooldown, row["evidence"][-EVIDENCE_LIMIT:])
+        opened = OpenIncident(new_id, incoming, now + cooldown, extend(None, row["evidence"]))
         return opened, {"action": "NEW_ALERT", "risk": row["max_risk_score"],
                         "reason": "Created new incident and entered cooldown"}
-    known = {e[0] for e in state.evidence}
-    evidence = (state.evidence + [e for e in row["evidence"] if e[0] not in known])[-EVIDENCE_LIMIT:]
-    risk = priority_score(evidence)
+    lead = extend(state.lead, row["evidence"])
+    risk = lead.score if lead else 0.0
     merged = severity_for(risk)
     escalated = SEVERITY_RANK[incoming] > SEVERITY_RANK[state.severity]
     if escalated:
@@ -69,10 +95,10 @@ def advance(state: OpenIncident | None, row: dict, cooldown: timedelta) -> tuple
         final = merged
         result = {"action": "MERGED", "risk": risk,
                   "reason": f"Merged into active incident {state.incident_id} during cooldown"}
-    return OpenIncident(state.incident_id, final, now + cooldown, evidence), result
+    return OpenIncident(state.incident_id, final, now + cooldown, lead), result
 
 
-def evidence_tuples(items: Iterable) -> list[tuple[str, str, float]]:
+def evidence_tuples(items: Iterable) -> Evidence:
     return [(e["event_id"], e["grp"], float(e["score"])) for e in (items if items is not None else [])]
 
 
@@ -94,12 +120,13 @@ def _fold(cooldown: timedelta, keep_evidence: bool):
                     address, state = row["source_ip"], None
                 row["evidence"] = evidence_tuples(row["evidence"])
                 if row["is_state"]:
-                    state = OpenIncident(row["incident_id"], row["severity"], row["window_start"], row["evidence"])
+                    state = OpenIncident(row["incident_id"], row["severity"], row["window_start"], extend(None, row["evidence"]))
                     continue
                 state, result = advance(state, row, cooldown)
                 done = output_row(row, state, result)
                 if keep_evidence:
-                    done["evidence"] = [{"ts": None, "event_id": e, "grp": g, "score": s} for e, g, s in state.evidence]
+                    lead = [state.lead] if state.lead else []
+                    done["evidence"] = [{"ts": None, "event_id": None, "grp": held.group, "score": held.score} for held in lead]
                 out.append(done)
             if out:
                 yield pd.DataFrame(out)
@@ -111,6 +138,8 @@ def process_incidents(incidents: DataFrame, evidence: DataFrame, active: DataFra
                       cooldown_minutes: int = COOLDOWN_MINUTES, keep_evidence: bool = False) -> DataFrame:
     """Action and resulting incident state for every correlated incident, in window order.
 
+    ``evidence`` is what ``incident_scores`` gives: per address and window the most sensitive groups
+    with their best scores. ``keep_evidence`` adds the state's evidence, the deciding group, to go on from.
     ``active`` carries open incidents of earlier runs: ``source_ip, incident_id, severity,
     cooldown_until, evidence``. Event time drives the cooldown.
     """

@@ -1,4 +1,8 @@
-"""Streaming correlation and incident lifecycle."""
+"""Streaming correlation and incident lifecycle.
+
+Both keep state per key in the state store, end it by event-time timers, and give the rows that the
+batch operators give over the same events, whatever the order and number of micro-batches.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from logwarden.operators.incidents import alert_events, correlate, group_priority, incident_evidence
+from logwarden.operators.incidents import (
+    BRUTE_FORCE_EVENTS, MULTI_VECTOR_TYPES, RECON_ENDPOINTS, alert_events, describe_incidents, group_priority,
+)
 from logwarden.operators.lifecycle import (
-    COOLDOWN_MINUTES, OUTPUT, OpenIncident, advance, evidence_tuples, output_row,
+    COOLDOWN_MINUTES, OUTPUT, Lead, OpenIncident, advance, evidence_tuples, output_row,
 )
 
 _STATE = StructType([StructField("incident", StringType())])
@@ -34,32 +40,159 @@ def windowed_counts(alerts: DataFrame, window_minutes: int = 5, delay: str = "10
              group_priority(F.col("endpoint_group")).alias("priority"), "events", "top_score", "first_seen", "last_seen")
 
 
-def correlated_batch(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
-    """Correlated incidents of one batch of alerts with their bounded evidence."""
-    incidents = correlate(alerts, window_minutes)
-    return incidents.join(incident_evidence(alerts, window_minutes), ["source_ip", "window_start"])
+#: Facts of a closed window; ``start`` in micros.
+_FACTS = "source_ip string, start long, evidence_count long, endpoint_count long, first_type string, attack_types array<string>, max_risk_score double"
+
+
+def _condense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Events counted per (address, window, group, URI, type) in the task that reads them, so a flood is small when shuffled."""
+    key = ["source_ip", "start", "endpoint_group", "priority", "uri", "attack_type"]
+    for batch in batches:
+        yield batch.sort_values(["at", "event_id"]).groupby(key, sort=False).agg(
+            n=("score", "size"), score=("score", "max"), at=("at", "first"), event_id=("event_id", "first")).reset_index()
+
 
+def _plain(value):
+    return value.item() if hasattr(value, "item") else value
 
-def correlate_stream(alerts: DataFrame, table: str, checkpoint: str, window_minutes: int = 5, once: bool = False) -> StreamingQuery:
-    """Every micro-batch of alerts is correlated on its own and its incidents are appended.
 
-    Each batch writes its own folder, so a replayed batch replaces its rows.
+class WindowProcessor(StatefulProcessor):
+    """One address and window: held until the watermark has passed the window, then given out and forgotten.
+
+    State holds the distinct URIs, types and groups as maps of the state store, not in memory, so that an
+    address that sends a large share of all events costs its distinct values. What comes after the window
+    has been given out is late and is dropped.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        correlated_batch(batch, window_minutes).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")
-    return writer.start()
+    def __init__(self, window_minutes: int, id_type: str):
+        self.length, self.id_type = window_minutes * 60_000, id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "n long, uris long")
+        self.uris = handle.getMapState("uris", "uri string", "seen int")
+        self.types = handle.getMapState("types", "attack_type string", f"at long, event_id {self.id_type}")
+        self.groups = handle.getMapState("groups", "endpoint_group string", f"priority int, at long, event_id {self.id_type}, score double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        end = int(key[1]) // 1000 + self.length
+        if timerValues.getCurrentWatermarkInMs() >= end:
+            return
+        n, uris = self.total.get() if self.total.exists() else (0, 0)
+        if not n:
+            self.handle.registerTimer(end)
+        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        n += int(batch["n"].sum())
+        for uri in batch["uri"].unique():
+            if uri and not self.uris.containsKey((uri,)):
+                self.uris.updateValue((uri,), (1,))
+                uris += 1
+        for kind, *first in self._first(batch[batch["attack_type"] != ""], "attack_type"):
+            if not self.types.containsKey((kind,)) or tuple(first) < tuple(self.types.getValue((kind,))):
+                self.types.updateValue((kind,), tuple(first))
+        tops = batch.groupby("endpoint_group")[["priority", "score"]].max()
+        for group, *first in self._first(batch, "endpoint_group"):
+            priority, top = int(tops.loc[group, "priority"]), float(tops.loc[group, "score"])
+            if self.groups.containsKey((group,)):
+                _, *known, score = self.groups.getValue((group,))
+                first, top = min(first, known), max(top, score)
+            self.groups.updateValue((group,), (priority, *first, top))
+        self.total.update((int(n), int(uris)))
+        yield from ()
+
+    @staticmethod
+    def _first(rows: pd.DataFrame, column: str) -> list[tuple]:
+        """Each value with time and id of its first event; rows are in that order."""
+        first = rows.drop_duplicates(column)
+        return [(value, int(at), _plain(event)) for value, at, event in zip(first[column], first["at"], first["event_id"])]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, uris = self.total.get()
+        types = sorted((tuple(first), kind[0]) for kind, first in self.types.iterator())
+        groups = sorted((tuple(value), group[0]) for group, value in self.groups.iterator())
+        leading = [(at, event, group, score) for (priority, at, event, score), group in groups if priority == groups[0][0][0]]
+        yield pd.DataFrame({
+            "source_ip": [key[0]], "start": [int(key[1])], "evidence_count": [n], "endpoint_count": [uris],
+            "first_type": [types[0][1] if types else None], "attack_types": [sorted(kind for _, kind in types)],
+            "max_risk_score": [leading[0][3]],
+            "evidence": [[{"at": at, "event_id": event, "grp": group, "score": score} for at, event, group, score in leading]]})
+        for state in (self.total, self.uris, self.types, self.groups):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def correlated_stream(alerts: DataFrame, window_minutes: int = 5, delay: str = "10 minutes", recon: int = RECON_ENDPOINTS,
+                      brute_force: int = BRUTE_FORCE_EVENTS, multi_vector: int = MULTI_VECTOR_TYPES) -> DataFrame:
+    """Correlated incidents of a stream of alerts, one per address and time window, as ``correlate`` gives them.
+
+    A window is given out once the watermark, the newest event time less ``delay``, has passed its end; rows that
+    come later are dropped. Rows with a true ``is_mark`` only move the watermark. Adds ``evidence``, the most
+    sensitive groups as of ``incident_scores``. Needs the RocksDB state store.
+    """
+    events = alert_events(alerts, window_minutes)
+    id_type = events.schema["event_id"].dataType.simpleString()
+    named = (F.col("attack_type") != "") & ~F.lower("attack_type").isin("normal", "benign")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # Marks leave behind the watermark, not before it: a condition that reads the time isn't pushed through.
+    mark = F.col("is_mark") if "is_mark" in events.columns else F.lit(False)
+    rows = rows.where(F.when(F.col("ts").isNotNull(), ~mark)).select(
+        "source_ip", micros("window_start").alias("start"), "endpoint_group", group_priority(F.col("endpoint_group")).alias("priority"), "uri",
+        F.coalesce(F.when(named, F.col("attack_type")), F.lit("")).alias("attack_type"), "score", micros("ts").alias("at"),
+        F.coalesce("event_id", F.lit("" if id_type == "string" else -1).cast(id_type)).alias("event_id"))
+    partial = ("source_ip string, start long, endpoint_group string, priority int, uri string, attack_type string, n long, score double, "
+               f"at long, event_id {id_type}")
+    closed = rows.mapInPandas(_condense, partial).groupBy("source_ip", "start").transformWithStateInPandas(
+        statefulProcessor=WindowProcessor(window_minutes, id_type), outputMode="Append", timeMode="EventTime",
+        outputStructType=f"{_FACTS}, evidence array<struct<at:bigint,event_id:{id_type},grp:string,score:double>>")
+    local = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    facts = closed.withColumns({"window_start": local("start"), "evidence": F.transform("evidence", lambda e: F.struct(
+        local(e["at"]).alias("ts"), e["event_id"].alias("event_id"), e["grp"].alias("grp"), e["score"].alias("score")))})
+    return describe_incidents(facts, window_minutes, recon, brute_force, multi_vector, keep=["evidence"])
+
+
+def correlate_stream(alerts: DataFrame, table: str, checkpoint: str, window_minutes: int = 5, once: bool = False,
+                     delay: str = "10 minutes", **limits: int) -> StreamingQuery:
+    """Appends the incidents of a stream of alerts to a table of files; see ``correlated_stream``.
+
+    With ``once`` the input that is there is taken as all there is: when it has been read, a mark moves the watermark
+    past the last window, so that no window is left behind. Marks are rows that only carry a time, in a stream of
+    their own beside the table.
+    """
+    spark = alerts.sparkSession
+    marks, kinds = f"{table}-marks", alerts.withColumn("is_mark", F.lit(False)).schema
+    spark.createDataFrame([], kinds).write.mode("append").parquet(marks)
+    both = alerts.withColumn("is_mark", F.lit(False)).unionByName(spark.readStream.schema(kinds).parquet(marks))
+
+    def start() -> StreamingQuery:
+        writer = correlated_stream(both, window_minutes, delay, **limits).writeStream.format("parquet").outputMode("append").option(
+            "checkpointLocation", checkpoint).option("path", table)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+    query = start()
+    if not once:
+        return query
+    query.awaitTermination()
+    newest = [p["eventTime"]["max"] for p in query.recentProgress if (p["eventTime"] or {}).get("max")]
+    if newest:
+        moment = next(c for c in ("timestamp", "ts", "event_time") if c in alerts.columns)
+        last = F.to_timestamp(F.lit(max(newest))) + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {window_minutes} MINUTE")
+        row = {moment: last, "is_mark": F.lit(True)}
+        spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]).write.mode("append").parquet(marks)
+        query = start()
+    return query
 
 
 class IncidentProcessor(StatefulProcessor):
-    """Open incident of one address, carried from batch to batch."""
+    """Open incident of one address, carried from batch to batch and forgotten once its cooldown has passed."""
 
     def __init__(self, cooldown_minutes: int = COOLDOWN_MINUTES):
         self.cooldown = timedelta(minutes=cooldown_minutes)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -70,18 +203,26 @@ class IncidentProcessor(StatefulProcessor):
             row["evidence"] = evidence_tuples(row["evidence"])
             state, result = advance(state, row, self.cooldown)
             out.append(output_row(row, state, result))
-        self._store(state)
+        self._store(state, int(batch["ends"].iloc[-1] // 1000 + self.cooldown.total_seconds() * 1000))
         yield pd.DataFrame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not list(self.handle.listTimers()):  # a later window has set a later timer
+            self.open.clear()
+        yield from ()
+
     def _load(self) -> OpenIncident | None:
         if not self.open.exists():
             return None
         d = json.loads(self.open.get()[0])
-        return OpenIncident(d["id"], d["severity"], datetime.fromisoformat(d["until"]), [tuple(e) for e in d["evidence"]])
+        return OpenIncident(d["id"], d["severity"], datetime.fromisoformat(d["until"]), Lead(*d["lead"]) if d["lead"] else None)
 
-    def _store(self, state: OpenIncident) -> None:
-        self.open.update((json.dumps({"id": state.incident_id, "severity": state.severity,
-                                      "until": state.cooldown_until.isoformat(), "evidence": state.evidence}),))
+    def _store(self, state: OpenIncident, expires: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(expires)
+        lead = state.lead and [state.lead.rank, state.lead.group, state.lead.score]
+        self.open.update((json.dumps({"id": state.incident_id, "severity": state.severity, "until": state.cooldown_until.isoformat(), "lead": lead}),))
 
     def close(self) -> None:
         pass
@@ -90,14 +231,17 @@ class IncidentProcessor(StatefulProcessor):
 def lifecycle_stream(incidents: DataFrame, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     """Actions for a stream of correlated incidents, keyed by address.
 
-    Incidents of one address must arrive in window order across batches, as
-    ``correlate_stream`` writes them. Needs the RocksDB state store.
+    Incidents of one address must arrive in window order across batches, as ``correlate_stream`` writes them.
+    State ends when the watermark, the newest window less one cooldown, has passed the cooldown. Needs the
+    RocksDB state store.
     """
-    slim = incidents.select("correlation_id", "source_ip", "window_start", "severity",
-                            F.col("max_risk_score").cast("double").alias("max_risk_score"), "evidence")
+    moment = F.col("window_start").cast("timestamp")
+    slim = incidents.withColumn("moment", moment).withWatermark("moment", f"{cooldown_minutes} minutes").select(
+        "correlation_id", "source_ip", "window_start", "severity", F.col("max_risk_score").cast("double").alias("max_risk_score"), "evidence",
+        F.unix_micros("moment").alias("ends"))
     return slim.groupBy("source_ip").transformWithStateInPandas(
         statefulProcessor=IncidentProcessor(cooldown_minutes), outputStructType=OUTPUT,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
