@@ -212,6 +212,23 @@ def j4(spark, sf):
     return I.overlapping_active(i, active)
 
 
+BUSY_SQL = REQ + """, act AS (SELECT event_id AS incident_id, CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE source_ip END AS ip, ts AS created,
+    ts + to_minutes(5 + event_id % 240) AS until FROM requests WHERE event_type_is_signup)
+  SELECT a.event_id AS correlation_id, first(incident_id ORDER BY created DESC, incident_id) AS incident_id
+  FROM (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE source_ip END AS ip FROM requests WHERE should_alert) a
+  JOIN act ON act.ip = a.ip AND created <= a.ts AND until > a.ts GROUP BY 1""".replace("event_type_is_signup", "attack_type = 'scanner'")
+
+
+@register("J4_busy_address", BUSY_SQL)
+def j4_busy(spark, sf):
+    """One address holds a third of the alerts and of the stored incidents, whose cooldowns last from minutes to hours."""
+    r = requests(spark, sf).withColumn("source_ips", F.array(F.when(F.col("event_id") % 3 == 0, "busy").otherwise(F.col("source_ip"))))
+    active = r.where("attack_type = 'scanner'").select(
+        F.col("event_id").alias("incident_id"), "source_ips", F.lit("cooldown").alias("status"), F.col("ts").alias("created_at"),
+        (F.col("ts") + F.make_dt_interval(mins=(5 + F.col("event_id") % 240).cast("int"))).alias("cooldown_until"))
+    return I.overlapping_active(r.where("should_alert").withColumnRenamed("event_id", "correlation_id"), active, now="ts")
+
+
 # --- upserts and part merging ----------------------------------------------------------------
 
 @register("S16_keyed_upsert", """WITH m AS (SELECT max(ts) AS now FROM events),

@@ -20,31 +20,37 @@ def vectors(spark, sf):
 
 
 def queries_of(df):
-    """Search vectors: a sample of ten per label, which is the size of a report, not of the table."""
+    """Search vectors: every row whose id is divisible by 20, against all rows."""
+    return df.where("vec_id % 20 = 0")
+
+
+def sample_of(df):
+    """A report's sample: at most 50 rows, evenly by label."""
     return N.stratified_sample(df, "label", "vec_id", 50)
 
 
-# Same sample in SQL: quota per label in md5 order, then the rest in md5 order.
+QUERY_SQL = UNIT_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0)"
+# The report's sample in SQL: quota per label in md5 order, then the rest in md5 order.
 SAMPLE_SQL = UNIT_SQL + """, hs AS (SELECT *, md5(concat(vec_id, ':42')) AS h FROM e),
   rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS r FROM hs),
   qt AS (SELECT greatest(1, 50 // count(DISTINCT label)) AS quota FROM e),
   sel AS (SELECT rk.* FROM rk, qt WHERE r <= quota),
   rest AS (SELECT rk.* FROM rk, qt WHERE r > quota ORDER BY h, vec_id LIMIT (SELECT 50 - count(*) FROM sel)),
   q AS (SELECT * FROM sel UNION ALL SELECT * FROM rest)"""
-KNN_SQL = SAMPLE_SQL + """, sc AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label AS ml, list_cosine_similarity(q.v, e.v) AS score
+KNN_SQL = QUERY_SQL + """, sc AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label AS ml, list_cosine_similarity(q.v, e.v) AS score
     FROM q, e WHERE q.vec_id <> e.vec_id),
   rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
 
 
 @register("N7_stratified_sample", SAMPLE_SQL + " SELECT vec_id, label FROM q")
 def n7(spark, sf):
-    return queries_of(vectors(spark, sf)).select("vec_id", "label")
+    return sample_of(vectors(spark, sf)).select("vec_id", "label")
 
 
 @register("J7_sample_remainder", SAMPLE_SQL + " SELECT vec_id FROM e WHERE vec_id NOT IN (SELECT vec_id FROM q)")
 def j7(spark, sf):
     e = vectors(spark, sf)
-    return e.join(queries_of(e).select("vec_id"), "vec_id", "left_anti").select("vec_id")
+    return e.join(sample_of(e).select("vec_id"), "vec_id", "left_anti").select("vec_id")
 
 
 @register("N8_train_test_split", """WITH h AS (SELECT doc_id, quality, md5(concat(doc_id, ':42')) AS h FROM labels),
@@ -67,7 +73,7 @@ def v1(spark, sf):
     return V.knn(queries_of(e), e, K, "vec_id", skip_self=True).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@register("V1_knn_filtered", SAMPLE_SQL + f""", sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS score FROM q, e WHERE e.label IN (1, 3, 5) AND q.vec_id <> e.vec_id),
+@register("V1_knn_filtered", QUERY_SQL + f""", sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS score FROM q, e WHERE e.label IN (1, 3, 5) AND q.vec_id <> e.vec_id),
   rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
   SELECT query_id, id, rank, round(score, 6) AS score FROM rn WHERE rank <= {K}""")
 def v1_filtered(spark, sf):
@@ -76,13 +82,13 @@ def v1_filtered(spark, sf):
     return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-BANDS, BITS = 16, 6
+BANDS, BITS = 32, 9
 # The same signatures in SQL: a checksum's parity gives each sign, a dot product each bit.
-BANDS_SQL = SAMPLE_SQL + f""", pl AS (SELECT b, j, list_transform(range(64), lambda d:
+BANDS_SQL = QUERY_SQL + f""", pl AS (SELECT b, j, list_transform(range(64), lambda d:
       CASE WHEN ('0x' || substr(md5(concat(b, ':', j, ':', d)), 1, 2))::INTEGER % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS r
     FROM range({BANDS}) x(b), range({BITS}) y(j)),
   sg AS (SELECT vec_id, b, sum(CASE WHEN list_dot_product(v, r) > 0 THEN 1 << j ELSE 0 END) AS s FROM e, pl GROUP BY 1, 2),
-  cd AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id FROM sg a JOIN q ON q.vec_id = a.vec_id JOIN sg c ON a.b = c.b AND a.s = c.s WHERE a.vec_id <> c.vec_id),
+  cd AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id FROM sg a JOIN q ON q.vec_id = a.vec_id JOIN sg c ON a.b = c.b AND bit_count(xor(a.s::BIGINT, c.s::BIGINT)) <= 1 WHERE a.vec_id <> c.vec_id),
   ap AS (SELECT query_id, id, list_cosine_similarity(x.v, y.v) AS score, row_number() OVER (PARTITION BY query_id
       ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, id) AS rank FROM cd JOIN e x ON x.vec_id = query_id JOIN e y ON y.vec_id = id)"""
 
@@ -108,14 +114,14 @@ def v1_recall(spark, sf):
     return recall.crossJoin(tried)
 
 
-@register("V1_W9_similarity_threshold", SAMPLE_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4""")
+@register("V1_W9_similarity_threshold", QUERY_SQL + """ SELECT q.vec_id AS query_id, e.vec_id AS id FROM q, e WHERE q.vec_id <> e.vec_id AND list_cosine_similarity(q.v, e.v) >= 0.4""")
 def w9(spark, sf):
     e = vectors(spark, sf)
     found = V.within(queries_of(e), e, 0.4, "vec_id", skip_self=True)
     return found.where(similar_enough(F.col("score"), 0.4)).select("query_id", "id")
 
 
-@register("V3_pattern_matches", SAMPLE_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
+@register("V3_pattern_matches", QUERY_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
   sc AS (SELECT q.vec_id AS query_id, pt.vec_id AS id, list_cosine_similarity(q.v, pt.v) AS score FROM q, pt),
   rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
   SELECT query_id, id::VARCHAR AS pattern_id, 'kind7' AS attack_type, concat('pattern ', id) AS name, 'No pattern description available.' AS description,
@@ -130,7 +136,7 @@ def v3(spark, sf):
                                                 joined("examples").alias("examples"))
 
 
-@register("J9_R7_incident_detail", SAMPLE_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
+@register("J9_R7_incident_detail", QUERY_SQL + """, pt AS (SELECT * FROM e WHERE label = 7),
   sc AS (SELECT q.vec_id AS query_id, pt.vec_id AS id, list_cosine_similarity(q.v, pt.v) AS score FROM q, pt),
   rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
   SELECT query_id::VARCHAR AS event_id, string_agg(id, ',' ORDER BY rank) AS pattern_ids, 'Rotate keys.' AS first_step FROM rn WHERE rank <= 3 GROUP BY 1""")
@@ -151,12 +157,13 @@ def r7(spark, sf):
 @register("J10_false_positive_match", UNIT_SQL + """, fp AS (SELECT * FROM e WHERE label = 2), inc AS (SELECT * FROM e WHERE label <> 2),
   sc AS (SELECT inc.vec_id AS id, fp.vec_id AS fp, list_cosine_similarity(inc.v, fp.v) AS s FROM inc, fp),
   b AS (SELECT id, max(s) AS s FROM sc GROUP BY 1)
-  SELECT id::VARCHAR AS correlation_id, round(s, 6) AS similarity FROM b WHERE s >= 0.25""")
+  SELECT sc.id::VARCHAR AS correlation_id, min(fp::VARCHAR) AS incident_id, round(any_value(b.s), 6) AS similarity
+  FROM sc JOIN b ON b.id = sc.id AND round(sc.s, 9) = round(b.s, 9) WHERE b.s >= 0.25 GROUP BY sc.id""")
 def j10(spark, sf):
     e = vectors(spark, sf)
     inc = e.where("label <> 2").select(F.col("vec_id").cast("string").alias("correlation_id"), "embedding")
     known = e.where("label = 2").select(F.col("vec_id").cast("string").alias("incident_id"), "embedding", F.lit("known").alias("notes"))
-    return V.false_positive_matches(inc, known, 0.25).select("correlation_id", F.round("similarity", 6).alias("similarity"))
+    return V.false_positive_matches(inc, known, 0.25).select("correlation_id", "incident_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("V2_text_to_similar_documents", r"""WITH src AS (SELECT doc_id AS doc, text FROM documents),

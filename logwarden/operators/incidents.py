@@ -21,6 +21,8 @@ from logwarden.session import materialize
 # Behaviour thresholds and the evidence limit of a stored incident.
 RECON_ENDPOINTS, BRUTE_FORCE_EVENTS, MULTI_VECTOR_TYPES = 5, 15, 2
 EVIDENCE_LIMIT = 100
+# Smallest time bucket of the overlap join.
+BUCKET_MINUTES = 30
 HIGH_SEVERITIES = ["high", "critical"]
 
 # Incident titles.
@@ -231,13 +233,24 @@ def suppressed_incidents(gated: DataFrame) -> DataFrame:
 def overlapping_active(incidents: DataFrame, active: DataFrame, now: str = "window_start") -> DataFrame:
     """Each incident with the active stored one that shares an address, had begun by then and still cools down.
 
-    Of several the latest begun (``created_at``) is taken, then the smallest id. Address lists are
-    exploded, so the overlap is an equi-join and not a pairwise test.
+    Of several the latest begun (``created_at``) is taken, then the smallest id. Address lists are exploded and
+    time is cut into buckets, so the overlap is an equi-join on (address, bucket) and not a test of all pairs of a
+    busy address. A cooldown is filed in the (at most two) buckets it touches of the size that fits its length,
+    buckets doubling from level to level; an incident looks into its bucket of each level there is.
     """
+    def bucket(moment: Column, level: Column) -> Column:
+        return F.floor(F.unix_micros(moment.cast("timestamp")) / (F.lit(BUCKET_MINUTES * 60_000_000) * F.pow(F.lit(2), level))).cast("long")
+
+    begin, end = F.col("created_at").cast("timestamp"), F.col("cooldown_until").cast("timestamp")
+    minutes = (F.unix_micros(end) - F.unix_micros(begin)) / 60_000_000
+    right = active.where(F.col("status").isin("open", "cooldown")).where("cooldown_until > created_at").select(
+        "incident_id", "created_at", "cooldown_until", F.explode("source_ips").alias("ip"),
+        F.greatest(F.lit(0), F.ceil(F.log2(minutes / BUCKET_MINUTES))).cast("int").alias("level"))
+    deepest = right.agg(F.max("level").alias("m")).first()["m"] or 0
+    right = right.withColumn("bucket", F.explode(F.sequence(bucket(F.col("created_at"), F.col("level")), bucket(F.col("cooldown_until"), F.col("level")))))
     left = incidents.select("correlation_id", F.col(now).alias("_now"), F.explode("source_ips").alias("ip"))
-    right = active.where(F.col("status").isin("open", "cooldown")).select(
-        "incident_id", "created_at", "cooldown_until", F.explode("source_ips").alias("ip"))
-    begun = left.join(right, "ip").where("created_at <= _now and cooldown_until > _now")
+    left = left.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("bucket", bucket(F.col("_now"), F.col("level")))
+    begun = left.join(right, ["ip", "level", "bucket"]).where("created_at <= _now and cooldown_until > _now")
     latest = begun.groupBy("correlation_id", "incident_id").agg(F.max("created_at").alias("created_at"))
     return latest.groupBy("correlation_id").agg(
         F.min_by("incident_id", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "incident_id")).alias("incident_id"))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from logwarden.operators.ranks import top_k_per_group
 from logwarden.session import materialize
 
-# Largest query batch sent to every task: 4096 vectors of 384 doubles are 12 MB.
-QUERY_BLOCK = 4096
+# Vectors of a tile of queries and of a tile of the corpus: their scores are 34 MB.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,97 +28,81 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def _scan(query_ids: list, queries: np.ndarray, k: int, skip_self: bool):
-    """Best ``k`` corpus rows per query within one task, by (score desc, id)."""
-    def run(batches):
-        best_ids = [np.empty(0, dtype=object)] * len(query_ids)
-        best_scores = [np.empty(0)] * len(query_ids)
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy(dtype=object)
-            scores = queries @ _unit(np.stack(batch["vector"].to_numpy()).astype(float)).T
-            for i, row in enumerate(scores):
-                if skip_self:
-                    keep = ids != query_ids[i]
-                    new_ids, new_scores = ids[keep], row[keep]
-                else:
-                    new_ids, new_scores = ids, row
-                all_ids = np.concatenate([best_ids[i], new_ids])
-                all_scores = np.concatenate([best_scores[i], new_scores])
-                if len(all_scores) > k:
-                    # everything at or above the k-th score stays, so ties are cut by id alone
-                    floor = np.partition(all_scores, -k)[-k]
-                    near = all_scores >= floor - 1e-9
-                    all_ids, all_scores = all_ids[near], all_scores[near]
-                order = sorted(range(len(all_ids)), key=lambda j: (-round(all_scores[j], 9), all_ids[j]))[:k]
-                best_ids[i], best_scores[i] = all_ids[order], all_scores[order]
-        for q, ids, scores in zip(query_ids, best_ids, best_scores):
-            if len(ids):
-                yield pd.DataFrame({"query_id": [q] * len(ids), "id": list(ids), "score": scores})
-
-    return run
-
-
-def _by_blocks(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, query_block: int, scan) -> DataFrame:
-    """Runs ``scan`` of each block of queries over the corpus; blocks are bounded, one pass each."""
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return _unit(np.stack(vectors.to_numpy()).astype(float))
+
+
+def _tiled(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, query_block: int, corpus_block: int, hits) -> DataFrame:
+    """(query_id, id, score) of what ``hits`` keeps of each tile of queries against each tile of the corpus.
+
+    Rows are dealt to tiles of bounded size by a hash, and tiles are brought together by a shuffle, so neither
+    the driver nor a task holds more than two tiles, however many queries there are. ``hits`` takes ids and
+    scores of a tile (queries x corpus) and gives places in it.
+    """
     id_type = corpus.schema[id_col].dataType.simpleString()
     usable = F.col(vector).isNotNull() & (F.size(vector) > 0)
-    q = queries.where(usable).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    c = corpus.where(usable).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    total = q.count()
-    blocks = max(1, -(-total // query_block))
-    parts = []
-    for b in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = block.toPandas()
-        if rows.empty:
-            continue
-        matrix = _unit(np.stack(rows["vector"].to_numpy()).astype(float))
-        parts.append(c.mapInPandas(scan(rows["id"].tolist(), matrix), f"query_id {id_type}, id {id_type}, score double"))
-    if not parts:
-        return c.sparkSession.createDataFrame([], f"query_id {id_type}, id {id_type}, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [df.where(usable).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector")) for df in (queries, corpus)]
+    n = [max(1, -(-df.count() // size)) for df, size in zip(rows, (query_block, corpus_block))]
+    own = [F.pmod(F.xxhash64("id", "vector"), F.lit(k)).cast("int") for k in n]
+    all_of = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in n]
+    left = rows[0].withColumn("query_tile", own[0]).withColumn("corpus_tile", all_of[1])
+    right = rows[1].withColumn("corpus_tile", own[1]).withColumn("query_tile", all_of[0])
+
+    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        query_ids, ids = q["id"].to_numpy(dtype=object), c["id"].to_numpy(dtype=object)
+        scores = _matrix(q["vector"]) @ _matrix(c["vector"]).T
+        i, j = hits(query_ids, ids, scores)
+        return pd.DataFrame({"query_id": query_ids[i], "id": ids[j], "score": scores[i, j]})
+
+    keys = ["query_tile", "corpus_tile"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"query_id {id_type}, id {id_type}, score double")
+
+
+def _nearest(k: int, skip_self: bool):
+    """Best ``k`` of a tile per query, by (score to nine digits desc, id)."""
+    def hits(query_ids, ids, scores):
+        order = np.argsort(ids, kind="stable")  # by id, so that a stable sort by score cuts ties by id
+        found = np.round(scores[:, order], 9)
+        if skip_self:
+            found[query_ids[:, None] == ids[order][None, :]] = -np.inf
+        if found.shape[1] > k:  # all at or above the k-th score are candidates
+            floor = np.partition(found, -k, axis=1)[:, -k]
+            found[found < floor[:, None]] = -np.inf
+        rows, columns = [], []
+        for i, row in enumerate(found):
+            own = np.flatnonzero(row > -np.inf)
+            best = own[np.argsort(-row[own], kind="stable")[:k]]
+            rows.append(np.full(len(best), i))
+            columns.append(order[best])
+        return np.concatenate(rows), np.concatenate(columns)
+
+    return hits
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "embedding",
-        skip_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
+        skip_self: bool = False, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Exact ``k`` nearest corpus rows of every query by cosine: query_id, id, score, rank.
 
-    Every task compares its corpus rows with a bounded block of queries and keeps only
-    its own best ``k``, so at most ``tasks * queries * k`` rows are shuffled. More queries
-    than one block are handled block after block, each block one pass over the corpus.
+    Tiles of queries meet tiles of the corpus, each pair keeps its own best ``k`` per query, and those of
+    all tiles are ranked: at most ``corpus tiles * queries * k`` rows are shuffled after the comparison.
     """
-    out = _by_blocks(queries, corpus, id_col, vector, query_block, lambda ids, matrix: _scan(ids, matrix, k, skip_self))
+    out = _tiled(queries, corpus, id_col, vector, query_block, corpus_block, _nearest(k, skip_self))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan_within(query_ids: list, queries: np.ndarray, least: float, skip_self: bool):
-    """All corpus rows of one task that are at least ``least`` similar to a query."""
-    def run(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy(dtype=object)
-            scores = queries @ _unit(np.stack(batch["vector"].to_numpy()).astype(float)).T
-            for i, row in enumerate(scores):
-                hit = row >= least
-                if skip_self:
-                    hit &= ids != query_ids[i]
-                if hit.any():
-                    yield pd.DataFrame({"query_id": [query_ids[i]] * int(hit.sum()), "id": list(ids[hit]), "score": row[hit]})
-
-    return run
-
-
 def within(queries: DataFrame, corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding",
-           skip_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
+           skip_self: bool = False, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """All corpus rows at least ``least`` similar to a query, however many: query_id, id, score."""
-    return _by_blocks(queries, corpus, id_col, vector, query_block, lambda ids, matrix: _scan_within(ids, matrix, least, skip_self))
+    def hits(query_ids, ids, scores):
+        near = scores >= least
+        if skip_self:
+            near &= query_ids[:, None] != ids[None, :]
+        return np.nonzero(near)
+
+    return _tiled(queries, corpus, id_col, vector, query_block, corpus_block, hits)
 
 
 def sign_projections(dimensions: int, bands: int, bits: int) -> list[list[list[int]]]:
@@ -155,9 +139,14 @@ def band_signatures(df: DataFrame, id_col: str, vector: str, bands: int, bits: i
 
 
 def approximate_candidates(queries: DataFrame, corpus: DataFrame, id_col: str = "id", vector: str = "embedding",
-                           bands: int = 16, bits: int = 6, skip_self: bool = False) -> DataFrame:
-    """(query_id, id) of rows that agree with a query in all signs of a band; an equi-join, split where a bucket is large."""
-    q = band_signatures(queries, id_col, vector, bands, bits).withColumnRenamed("id", "query_id")
+                           bands: int = 32, bits: int = 9, skip_self: bool = False) -> DataFrame:
+    """(query_id, id) of rows that agree with a query in all signs of a band but one at most.
+
+    Each query looks into its own bucket and those of the neighbouring signatures; rows are filed once per
+    band. An equi-join, split where a bucket is large.
+    """
+    near = F.explode(F.array(F.col("signature"), *[F.col("signature").bitwiseXOR(F.lit(1 << i)) for i in range(bits)]))
+    q = band_signatures(queries, id_col, vector, bands, bits).select(F.col("id").alias("query_id"), "band", near.alias("signature"))
     pairs = q.join(band_signatures(corpus, id_col, vector, bands, bits), ["band", "signature"])
     if skip_self:
         pairs = pairs.where("query_id <> id")
@@ -165,10 +154,11 @@ def approximate_candidates(queries: DataFrame, corpus: DataFrame, id_col: str =
 
 
 def knn_approximate(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vector: str = "embedding",
-                    bands: int = 16, bits: int = 6, skip_self: bool = False) -> DataFrame:
+                    bands: int = 32, bits: int = 9, skip_self: bool = False) -> DataFrame:
     """Approximate neighbours: query_id, id, score, rank, by exact cosine among the candidates of the bands.
 
-    More bits per band mean fewer candidates, more bands a higher recall; ``search_recall`` measures it.
+    More bits per band mean fewer candidates, more bands a higher recall; ``search_recall`` measures it. Neighbours at
+    a cosine near 0.35 are found nine times in ten by these defaults, closer ones almost always.
     """
     side = lambda df, name, v: df.select(F.col(id_col).alias(name), F.col(vector).alias(v))
     pairs = approximate_candidates(queries, corpus, id_col, vector, bands, bits, skip_self)
@@ -221,42 +211,12 @@ def false_positive_matches(incidents: DataFrame, known: DataFrame, threshold: fl
                            block: int = QUERY_BLOCK) -> DataFrame:
     """Incidents whose nearest known false positive is at least ``threshold`` similar.
 
-    Analysts' marks are the small side: they go to the tasks in bounded blocks, and the
-    incidents stay where they are. Columns: correlation_id, incident_id, similarity, notes.
+    Incidents and analysts' marks meet tile by tile; equally similar marks go to the smaller id, as text.
+    Columns: correlation_id, incident_id, similarity, notes.
     """
-    rows = known.where("embedding is not null and size(embedding) > 0").select(
-        F.col("incident_id"), F.col("embedding").cast("array<double>").alias("v"))
-    todo = incidents.where("embedding is not null and size(embedding) > 0").select(
-        "correlation_id", F.col("embedding").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-rows.count() // block))
-
-    def nearest(ids: list, matrix: np.ndarray):
-        def run(batches):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                scores = _unit(np.stack(batch["vector"].to_numpy()).astype(float)) @ matrix.T
-                best = np.round(scores, 9).argmax(axis=1)
-                yield pd.DataFrame({"correlation_id": batch["correlation_id"], "incident_id": [ids[j] for j in best],
-                                    "similarity": scores[np.arange(len(best)), best]})
-        return run
-
-    found = None
-    for b in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("incident_id"), F.lit(blocks)) == b)).orderBy(
-            F.col("incident_id").cast("string")).toPandas()
-        if part.empty:
-            continue
-        matrix = _unit(np.stack(part["v"].to_numpy()).astype(float))
-        scored = todo.mapInPandas(nearest(part["incident_id"].astype(str).tolist(), matrix),
-                                  "correlation_id string, incident_id string, similarity double")
-        found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        return todo.select("correlation_id", F.lit(None).cast("string").alias("incident_id"),
-                           F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("notes")).limit(0)
-    # One order within blocks and across them: similarity to nine digits, then the smaller id.
-    best = found.groupBy("correlation_id").agg(F.min_by(
-        F.struct("incident_id", "similarity"), F.struct((-F.round("similarity", 9)).alias("s"), "incident_id")).alias("m")).select("correlation_id", "m.*")
+    named = lambda df, name: df.select(F.col(name).cast("string").alias("id"), "embedding")
+    best = knn(named(incidents, "correlation_id"), named(known, "incident_id"), 1, query_block=block)
+    best = best.select(F.col("query_id").alias("correlation_id"), F.col("id").alias("incident_id"), F.col("score").alias("similarity"))
     notes = known.select(F.col("incident_id").cast("string").alias("incident_id"), "notes")
     return best.where(F.col("similarity") >= threshold).join(notes, "incident_id", "left")
 
