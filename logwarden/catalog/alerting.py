@@ -175,6 +175,39 @@ def t7_crowded(spark, sf):
         "source_ip", "window_start", "action", "severity", "max_risk_score", F.sum("evidence_count").over(so_far).alias("events_so_far"))
 
 
+# A batch of half the alerts of 20 days against all those of the last ten, known scanners, and nine hours of cooldown.
+BATCH_SQL = GATE_SQL.replace("FROM requests WHERE should_alert)", "FROM requests WHERE should_alert AND event_id % 2 = 0 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY)", 1)
+BATCH_SQL = BATCH_SQL.replace("batch AS (SELECT grp, count(*) AS n FROM alerts GROUP BY 1)", f"""stored AS (SELECT {GROUP_SQL} AS grp, count(*) AS n FROM requests
+    WHERE should_alert AND ts >= (SELECT max(ts) FROM events) - INTERVAL 240 HOUR GROUP BY 1),
+  batch AS (SELECT a.grp, greatest(any_value(coalesce(s.n, 0)), count(*)) AS n FROM alerts a LEFT JOIN stored s ON s.grp = a.grp GROUP BY 1),
+  e2 AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  ie AS (SELECT source_ip, window_start, arg_min(v, {{'t': ts, 'e': event_id}}) AS v FROM alerts JOIN e2 ON vec_id = event_id % 100 GROUP BY 1, 2),
+  fp AS (SELECT correlation_id FROM inc JOIN ie USING (source_ip, window_start) JOIN e2 k ON k.label = 2 GROUP BY 1 HAVING max(list_cosine_similarity(ie.v, k.v)) >= 0.3)""")
+BATCH_SQL = BATCH_SQL.replace("n > m + 600 * s", "n > m + 400 * s").replace(
+    "WHEN NOT above THEN 'below_baseline' ELSE", "WHEN NOT above THEN 'below_baseline' WHEN correlation_id IN (SELECT correlation_id FROM fp) THEN 'false_positive' ELSE")
+BATCH_SQL += """, ev AS (SELECT source_ip, window_start, list({'p': pri, 'g': grp, 's': risk_score::DOUBLE} ORDER BY ts, event_id) AS ev FROM p GROUP BY 1, 2),
+  pinc AS (SELECT source_ip, window_start AS w, max_risk_score AS r, ev, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS sev,
+     row_number() OVER (PARTITION BY source_ip ORDER BY window_start) AS n, correlation_id FROM decided JOIN ev USING (source_ip, window_start) WHERE decision = 'pass')"""
+BATCH_SQL += CYCLE_FOLD.replace("FROM inc ", "FROM pinc ").replace("JOIN inc i", "JOIN pinc i").replace("INTERVAL 2 HOUR", "INTERVAL 9 HOUR")
+
+
+@register("T6_alert_batch", recursive(BATCH_SQL + """ SELECT d.correlation_id, d.decision, CASE WHEN decision <> 'pass' THEN 'SUPPRESSED' WHEN f.action = 'MERGED' THEN 'MERGED' ELSE 'NEW_ALERT' END AS action
+  FROM decided d LEFT JOIN pinc p USING (correlation_id) LEFT JOIN fold f ON f.source_ip = p.source_ip AND f.n = p.n"""))
+def t6_batch(spark, sf):
+    """All four gates, with stored counts of the last hours and false positives, then the lifecycle."""
+    from logwarden.plans.alerting import process_alert_batch
+
+    r, now = requests(spark, sf), latest(table(spark, sf, "events"))
+    start = F.lit(now - timedelta(days=20)).cast("timestamp_ntz")
+    e = table(spark, sf, "embeddings")
+    batch = alerts(spark, sf).where((F.col("event_id") % 2 == 0) & (F.col("ts") >= start)).withColumn("vec_id", F.col("event_id") % 100).join(
+        e.select("vec_id", "embedding"), "vec_id")
+    known = e.where("label = 2").select(F.col("vec_id").cast("string").alias("incident_id"), "embedding", F.lit("scanner").alias("notes"))
+    out = process_alert_batch(batch, r, now, attack_baselines(r), endpoint_min_floors(r), known, window_minutes=HOURS * 60, sigma=400.0,
+                              similarity=0.3, cooldown_minutes=540, stored_hours=240, recon=8, brute_force=6, multi_vector=3)
+    return out.actions.join(out.gated.select("correlation_id", "decision"), "correlation_id").select("correlation_id", "decision", "action")
+
+
 @register("T7_managed_incidents", recursive(CYCLE_SQL + CYCLE_FOLD + """ SELECT source_ip, opened AS created_at, max(f.w) AS updated_at, count(*) AS windows,
    sum(len(i.ev))::BIGINT AS evidence_count, arg_max(score, f.w) AS max_risk_score,
    arg_max(CASE cur WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END, f.w) AS severity

@@ -6,6 +6,7 @@ address may touch any number of URIs, which must not be gathered in one task.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -276,10 +277,48 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.col(label).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def values_at(df: DataFrame, value: str, places: list[int], buckets: int = 4096) -> dict[int, float]:
+    """The values at the given places (from 0) of the ascending order of a column of numbers, exactly.
+
+    Each pass cuts the range that still holds a place into ``buckets`` and counts them; the bucket with the place,
+    narrowed to the values that occur in it, is the next range, until it is one value. Memory doesn't depend on
+    how many different values there are, and no pass sorts.
+    """
+    v, found = F.col(value), {}
+    ends = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")).first()
+    ranges = {(ends.low, ends.high, 0): sorted(set(places))} if ends.n else {}
+    while ranges:
+        narrower: dict[tuple, list[int]] = {}
+        for (low, high, before), wanted in ranges.items():
+            if low == high:
+                found.update(dict.fromkeys(wanted, low))
+                continue
+            width = high / buckets - low / buckets
+            place = F.least(F.floor((v - low) / width) if width else F.when(v == low, 0).otherwise(1), F.lit(buckets - 1)).alias("bucket")
+            counts = df.where((v >= low) & (v <= high)).groupBy(place).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n"))
+            for r in sorted(counts.collect(), key=lambda r: r.low):
+                own = [p for p in wanted if before <= p < before + r.n]
+                if own:
+                    narrower[r.low, r.high, before] = own
+                before += r.n
+        ranges = narrower
+    return found
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of a column, interpolated between neighbours; null and NaN are no values."""
+    rows = df.select(F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).where("v is not null")
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    at = values_at(rows, "v", [p for place in places for p in (math.floor(place), math.ceil(place))])
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def latency_summary(df: DataFrame, value: str) -> DataFrame:
-    """Mean, median, 95th percentile (interpolated) and maximum, rounded to 3 digits."""
-    v = F.col(value).cast("double")
-    return df.agg(
-        F.round(F.avg(v), 3).alias("mean"), F.round(F.percentile(v, 0.5), 3).alias("p50"),
-        F.round(F.percentile(v, 0.95), 3).alias("p95"), F.round(F.max(v), 3).alias("max"),
-    )
+    """Mean, median, 95th percentile (interpolated) and maximum, rounded to 3 digits; null and NaN are no values."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    p50, p95 = (F.round(F.lit(p).cast("double"), 3) for p in percentiles(df, value, [0.5, 0.95]))
+    return df.agg(F.round(F.avg(v), 3).alias("mean"), F.round(F.max(v), 3).alias("max")).select(
+        "mean", p50.alias("p50"), p95.alias("p95"), "max")

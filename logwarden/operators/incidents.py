@@ -175,16 +175,16 @@ def incident_vectors(alerts: DataFrame, window_minutes: int = 5) -> DataFrame:
 def baseline_gate(alerts: DataFrame, incidents: DataFrame, requests: DataFrame | None = None,
                   now: datetime | None = None, baselines: DataFrame | None = None,
                   floors: DataFrame | None = None, window_minutes: int = 5, sigma: float = 3.0,
-                  min_floor: int = 50) -> DataFrame:
+                  min_floor: int = 50, stored_hours: int = 1) -> DataFrame:
     """Per incident and endpoint group: the current count against its baseline.
 
-    The count is the larger of this batch and the last hour of stored requests.
+    The count is the larger of this batch and the last ``stored_hours`` of stored requests.
     """
     groups = incident_groups(alerts, incidents, window_minutes)
     batch = group_counts(alerts).withColumnRenamed("count", "_batch")
     counted = groups.join(batch, "endpoint_group", "left")
     if requests is not None:
-        stored = alerting_group_counts(requests, now).withColumnRenamed("count", "_stored")
+        stored = alerting_group_counts(requests, now, stored_hours).withColumnRenamed("count", "_stored")
         counted = counted.join(stored, "endpoint_group", "left")
     else:
         counted = counted.withColumn("_stored", F.lit(None).cast("bigint"))

@@ -48,13 +48,16 @@ def _tiled(queries: DataFrame, corpus: DataFrame, id_col: str, vector: str, quer
     left = rows[0].withColumn("query_tile", own[0]).withColumn("corpus_tile", all_of[1])
     right = rows[1].withColumn("corpus_tile", own[1]).withColumn("query_tile", all_of[0])
 
+    def found(query_ids, ids, scores) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": pd.Series(query_ids, dtype=object), "id": pd.Series(ids, dtype=object), "score": pd.Series(scores, dtype=float)})
+
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return found([], [], [])
         query_ids, ids = q["id"].to_numpy(dtype=object), c["id"].to_numpy(dtype=object)
         scores = _matrix(q["vector"]) @ _matrix(c["vector"]).T
         i, j = hits(query_ids, ids, scores)
-        return pd.DataFrame({"query_id": query_ids[i], "id": ids[j], "score": scores[i, j]})
+        return found(query_ids[i], ids[j], scores[i, j])
 
     keys = ["query_tile", "corpus_tile"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"query_id {id_type}, id {id_type}, score double")
