@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of a test item are ranked by how many documents hold them; its seeds are the rarer
-three quarters, and all that few documents hold. Where a document holds several seeds of an item at about the right distance, that stretch
-is aligned with the item word by word, so copies with words changed, added or left out are found.
+Every word n-gram of a test item is a seed. Where a document holds one, or several at about the right
+distance, that stretch is aligned with the item word by word, so copies with words changed, added or left
+out are found. Seeds are ranked by how many documents hold them: stretches with the rarest go first, and
+those that can't beat what was found already, nor reach the least score, by the words they share with the
+item, aren't aligned. An item of fewer words than a seed has is one seed itself.
 
 Test items are taken in blocks of bounded size, each sent to every task; the documents are never
 shuffled, and a passage that a third of them share costs no more than any other.
@@ -11,7 +13,7 @@ shuffled, and a passage that a third of them share costs no more than any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logwarden.llm.hashing import IS_SIGN, WORD_VALUE, buffers, sequences, slices, words
+from logwarden.llm.tables import small_batches
 
 GRAM = 3
 #: Test items that one pass holds at most, about.
@@ -35,29 +38,27 @@ class Items:
     ids: np.ndarray
     words: np.ndarray
     bounds: np.ndarray
+    size: int  # words of an n-gram
     grams: np.ndarray  # sorted different n-gram hashes
     gram: np.ndarray  # by occurrence: which of them,
     item: np.ndarray  # in which item
     offset: np.ndarray  # and at which word
+    held: np.ndarray | None = None  # documents that hold each n-gram
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> "Items":
+    def of(cls, rows: list[tuple[int, str]], size: int = GRAM) -> "Items":
         data, offsets = buffers(pa.array([text or "" for _, text in rows], pa.string()))
         hashes, _, bounds = words(data, offsets, IS_SIGN, WORD_VALUE)
-        runs, item, at = sequences(hashes, bounds, GRAM)
+        runs, item, at = sequences(hashes, bounds, size, short=False)
         grams, gram = np.unique(runs, return_inverse=True)
-        return cls(np.array([i for i, _ in rows], np.int64), hashes, bounds, grams, gram, item, at - bounds[item])
+        return cls(np.array([i for i, _ in rows], np.int64), hashes, bounds, size, grams, gram, item, at - bounds[item])
 
-    def seeds(self, documents: np.ndarray, share: float, few: int) -> "Items":
-        """With the rarer ``share`` of each item's n-grams, and all that ``few`` documents hold at most."""
-        order = np.lexsort((self.offset, documents[self.gram], self.item))
-        item = self.item[order]
-        begin = np.searchsorted(item, np.arange(len(self.ids) + 1))
-        rank = np.arange(len(item)) - begin[item]
-        size = np.diff(begin)[item]
-        kept = np.sort(order[(rank < np.ceil(size * share)) | (documents[self.gram[order]] <= few)])
-        grams, gram = np.unique(self.grams[self.gram[kept]], return_inverse=True)
-        return Items(self.ids, self.words, self.bounds, grams, gram, self.item[kept], self.offset[kept])
+    @classmethod
+    def by_size(cls, rows: list[tuple[int, str]]) -> list["Items"]:
+        """Items with the longest n-grams that they have, at most GRAM words; those without words have none."""
+        n = np.diff(words(*buffers(pa.array([text or "" for _, text in rows], pa.string())), IS_SIGN, WORD_VALUE)[2])
+        parts = [[row for row, k in zip(rows, n) if min(k, GRAM) == size] for size in range(1, GRAM + 1)]
+        return [cls.of(part, size) for size, part in zip(range(1, GRAM + 1), parts) if part]
 
 
 class _Finder:
@@ -75,19 +76,19 @@ class _Finder:
         return at[hit], which[hit]
 
 
-def _runs(column: pa.Array) -> Iterator[tuple]:
+def _runs(column: pa.Array, size: int) -> Iterator[tuple]:
     data, offsets = buffers(column)
     for begin, end in slices(offsets):
         part = data[offsets[begin]:offsets[end]]
         hashes, starts, bounds = words(part, offsets[begin:end + 1] - offsets[begin], IS_SIGN, WORD_VALUE)
-        yield begin, end, part, offsets[begin:end + 1] - offsets[begin], hashes, starts, bounds, *sequences(hashes, bounds, GRAM)
+        yield begin, end, part, offsets[begin:end + 1] - offsets[begin], hashes, starts, bounds, *sequences(hashes, bounds, size, short=False)
 
 
 def _count(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = shared.value.grams
+    grams, size = shared.value.grams, shared.value.size
     find, total = _Finder(grams), np.zeros(len(grams), np.int64)
     for batch in batches:
-        for *_, runs, docs, _ in _runs(batch.column(0)):
+        for *_, runs, docs, _ in _runs(batch.column(0), size):
             at, which = find(runs)
             pairs = np.unique(docs[at] * len(grams) + which)
             total += np.bincount(pairs % len(grams), minlength=len(grams)) if len(pairs) else 0
@@ -111,17 +112,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _stretches(doc: np.ndarray, item: np.ndarray, place: np.ndarray, gram: np.ndarray, size: np.ndarray,
-               need: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first and last word where the item might begin) for hits that lie together."""
+def _stretches(doc: np.ndarray, item: np.ndarray, place: np.ndarray, held: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first and last word where the item might begin) for hits that lie together, those with the rarest seed first."""
     order = np.lexsort((place, item, doc))
-    doc, item, place, gram = doc[order], item[order], place[order], gram[order]
+    doc, item, place, held = doc[order], item[order], place[order], held[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > np.maximum(4, size[item[1:]] // 4))
-    begins = np.concatenate([np.flatnonzero(new), [len(doc)]])
-    for b, e in zip(begins[:-1], begins[1:]):
-        if len(np.unique(gram[b:e])) >= need[item[b]]:
-            yield int(doc[b]), int(item[b]), int(place[b]), int(place[e - 1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    for k in np.lexsort((first, np.minimum.reduceat(held, first))) if len(first) else []:
+        yield int(doc[first[k]]), int(item[first[k]]), int(place[first[k]]), int(place[last[k]])
 
 
 def _search(shared, least_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +130,10 @@ def _search(shared, least_score: float, batches: Iterator[pa.RecordBatch]) -> It
     order = np.argsort(items.gram, kind="stable")
     own = np.searchsorted(items.gram[order], np.arange(len(items.grams) + 1))
     size = np.diff(items.bounds)
-    need = np.minimum(2, np.bincount(items.item, minlength=len(size)))
     for batch in batches:
         keep = batch.select(list(range(batch.num_columns - 1)))
         rows, found = [], []
-        for begin, _, data, offsets, hashes, starts, bounds, runs, docs, firsts in _runs(batch.column(batch.num_columns - 1)):
+        for begin, _, data, offsets, hashes, starts, bounds, runs, docs, firsts in _runs(batch.column(batch.num_columns - 1), items.size):
             at, which = find(runs)
             if not len(at):
                 continue
@@ -144,16 +143,23 @@ def _search(shared, least_score: float, batches: Iterator[pa.RecordBatch]) -> It
             doc = docs[at][hit]
             place = firsts[at][hit] - bounds[doc] - items.offset[entry]
             best: dict[tuple[int, int], tuple] = {}
-            for d, i, low, high in _stretches(doc, items.item[entry], place, which[hit], size, need):
+            for d, i, low, high in _stretches(doc, items.item[entry], place, items.held[which[hit]], size):
                 item, slack = items.words[items.bounds[i]:items.bounds[i + 1]], 4 + size[i] // 4
                 left = max(0, low - slack) + bounds[d]
                 right = min(bounds[d + 1], bounds[d] + high + size[i] + slack)
                 text = hashes[left:right]
+                # No alignment scores more than the words of the stretch that are the item's, nor more than the item has.
+                most = min(int(np.isin(text, item).sum()), len(item))
+                enough = max(least_score * len(item), best.get((d, i), (0,))[0])
+                if most < enough:
+                    continue
                 score, end = align(item, text)
-                if score < least_score * len(item) or score <= best.get((d, i), (0,))[0]:
+                if score < enough:
                     continue
                 back = align(item[::-1], text[:end][::-1])[1]
-                best[d, i] = (score, int(left + end - back), int(left + end))
+                first = int(left + end - back)
+                if (d, i) not in best or (score, -first) > (best[d, i][0], -best[d, i][1]):
+                    best[d, i] = (score, first, int(left + end))
             for (d, i), (score, first, last) in sorted(best.items()):
                 tail = starts[last] if last < bounds[d + 1] else offsets[d + 1]
                 stop = int(tail)
@@ -178,44 +184,47 @@ def _drop(shared, least_score: float, text: int, batches: Iterator[pa.RecordBatc
         yield batch.filter(pa.array([p not in bad for p in range(len(batch))], pa.bool_()))
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, share: float, few: int) -> Iterator:
-    """Seeds of each block of items, as a broadcast; needs one pass over the documents for each."""
+def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Each block of items with its seeds, as a broadcast; needs one pass over the documents for each.
+
+    Items of fewer words than a seed are a block of their own.
+    """
+    small_batches(docs.sparkSession)
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long"), "text").distinct()
     n_blocks = -(-items.count() // ITEMS)
     texts = docs.select(F.col("text"))
     context = docs.sparkSession.sparkContext
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).where("item_id is not null").collect()
-        known = Items.of(sorted((r[0], r[1]) for r in rows))
-        if not len(known.grams):
-            continue
-        counted = texts.mapInArrow(partial(_count, context.broadcast(known)), "gram long, documents long")
-        documents = np.zeros(len(known.grams), np.int64)
-        for gram, n in counted.groupBy("gram").agg(F.sum("documents")).collect():
-            documents[gram] = n
-        yield context.broadcast(known.seeds(documents, share, few))
+        for known in Items.by_size(sorted((r[0], r[1]) for r in rows)):
+            counted = texts.mapInArrow(partial(_count, context.broadcast(known)), "gram long, documents long")
+            held = np.zeros(len(known.grams), np.int64)
+            for gram, n in counted.groupBy("gram").agg(F.sum("documents")).collect():
+                held[gram] = n
+            yield context.broadcast(replace(known, held=held))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.75, few: int = 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, start_word, n_words, start_byte, n_bytes) of each test item found in a document.
 
     ``score`` is the best alignment over the item's words: 1 for a whole copy, 0.55 if three
-    words in ten differ. Bytes are of the UTF-8 text. One row per document row and item, with
-    the best stretch. Words are runs of letters and digits, lower-cased in A-Z. Items or texts that
-    are null, empty or without words are found nowhere, nor is an item without id; items of fewer
-    than three words are found as a whole only. Equal items of different ids are each found.
+    words in ten differ; copies that share no three words in a row with the item aren't looked at. Bytes are of the UTF-8
+    text. One row per document row and item, with the best stretch, the earliest of equal ones. Words are runs of
+    letters and digits, lower-cased in A-Z. Items or texts that are null, empty or without words are found
+    nowhere, nor is an item without id; items of one or two words are found wherever those stand. Equal
+    items of different ids are each found.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
     out = docs.sparkSession.createDataFrame([], f"doc_id long, {FOUND}")
-    for seeds in _blocks(docs, benchmark, share, few):
+    for seeds in _blocks(docs, benchmark):
         out = out.union(rows.mapInArrow(partial(_search, seeds, least_score), f"doc_id long, {FOUND}"))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, share: float = 0.75, few: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The documents in which no test item is found, with all their columns; see ``contaminated``."""
     out = docs
     schema = docs.schema
-    for seeds in _blocks(docs, benchmark, share, few):
+    for seeds in _blocks(docs, benchmark):
         out = out.mapInArrow(partial(_drop, seeds, least_score, docs.columns.index("text")), schema)
     return out
