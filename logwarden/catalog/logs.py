@@ -12,6 +12,7 @@ from logwarden.operators.rule_packs import DEFAULT_RULES
 from logwarden.plans.flow import analyze_lines
 from logwarden.session import new_work_path
 from logwarden.sources import lines as S, sinks, structured as C
+from logwarden.streaming.ingest import score_batch, stream_log_lines, upsert_stream
 
 LINE_SQL = """concat(source_ip, ' - - [', strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0000] "', http_method, ' ', raw_uri, ' HTTP/1.1" ', status_code, ' ',
    response_size, ' "', referrer, '" "', user_agent, '"')"""
@@ -239,7 +240,7 @@ def s15(spark, sf):
 
 # --- the whole flow --------------------------------------------------------------------------
 
-@register("ENTRY_A_lines_to_verdicts", DECODED_SQL + f""", f AS (SELECT *, {FLAGS_SQL} FROM req),
+ENTRY_SQL = DECODED_SQL + f""", f AS (SELECT *, {FLAGS_SQL} FROM req),
    v AS (SELECT * FROM ({verdict_sql(DEFAULT_RULES, 'req', 'event_id', WEB_TARGETS).replace(', h AS (', 'WITH h AS (', 1)}))
    , g AS (SELECT f.*, v.rule_score, v.attack_type, v.attack_types,
       8 * has_sql_keyword + 8 * has_xss_keyword + 8 * has_path_traversal + 6 * is_scanner_user_agent
@@ -247,7 +248,21 @@ def s15(spark, sf):
       + CASE WHEN status_code >= 500 THEN 3 ELSE 0 END AS bonus FROM f JOIN v USING (event_id)),
    z AS (SELECT *, least(100, rule_score + bonus) AS risk FROM g)
    SELECT event_id AS line_number, rule_score, bonus AS risk_bonus, risk AS risk_score, attack_type, attack_types,
-     CASE WHEN risk >= 70 THEN 'malicious' WHEN risk >= 25 THEN 'suspicious' ELSE 'benign' END AS final_label FROM z""")
+     CASE WHEN risk >= 70 THEN 'malicious' WHEN risk >= 25 THEN 'suspicious' ELSE 'benign' END AS final_label FROM z"""
+
+
+@register("ENTRY_A_lines_to_verdicts", ENTRY_SQL)
 def entry_a(spark, sf):
     s = analyze_lines(log_lines(spark, sf).drop("event_id"), "apache")
     return s.select("line_number", "rule_score", "risk_bonus", "risk_score", "attack_type", joined("attack_types").alias("attack_types"), "final_label")
+
+
+@register("T1_stream_scored_lines", ENTRY_SQL.replace("SELECT event_id AS line_number, rule_score", "SELECT rule_score"))
+def t1_lines(spark, sf):
+    """The same lines as log files that arrive one per micro-batch, scored and upserted, then again in one batch: a replay changes nothing."""
+    folder, out = new_work_path(spark, "logs"), new_work_path(spark, "scored")
+    log_lines(spark, sf).select("line").repartition(2).write.text(f"{folder}/apache")
+    for checkpoint, files in (("-first", 1), ("-again", 2)):
+        stream = stream_log_lines(spark, folder, "*.txt", files_per_batch=files)
+        upsert_stream(stream, out, out + checkpoint, score_batch, once=True).awaitTermination()
+    return sinks.read_current(spark, out).select("rule_score", "risk_bonus", "risk_score", "attack_type", joined("attack_types").alias("attack_types"), "final_label")
