@@ -22,9 +22,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logwarden.llm.tables import partitions, whole_text
+from logwarden.llm.tables import partitions, small_batches, whole_text
 
 MAGIC = b"LWTOKENS"
 HEADER = struct.Struct("<8sIIQ")
@@ -169,28 +170,34 @@ class ChunkEncoder:
         """Ids of all texts in a row, and how many each text has."""
         if self.known > self.most or self.used > 16 * self.most:
             self.forget()
-        places: list[int] = []
-        begins = np.zeros(len(texts), np.int64)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # Cut at spaces and coded by Arrow, so that Python sees each different piece once.
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded, bounds = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         first, later = self.first, self.later
-        for i, text in enumerate(texts):
-            begins[i] = len(places)
-            head, *rest = text.split(" ")
-            if head[-1:].isspace():
-                here = [-1]
-            else:
-                here = [first[head], *map(later.__getitem__, rest)]
-            if -1 in here:
+        places = np.array([later[name] for name in names], np.int64)[codes]
+        places[bounds[:-1]] = 0
+        odd = np.minimum.reduceat(places, bounds[:-1]) < 0
+        parts: list[np.ndarray] = []
+        end = np.zeros(1, np.int64)
+        for text, begin, stop, head, apart in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), codes[bounds[:-1]].tolist(), odd.tolist()):
+            if apart or names[head][-1:].isspace():
                 head, *rest = re.split(r"(?<=\S) (?=\S)", text)
-                here = [first[head], *[self.queue(" " + p) if later[p] < 0 else later[p] for p in rest]]
-            places += here
-            places.append(0)
+                parts.append(np.array([first[head], *[self.queue(" " + p) if later[p] < 0 else later[p] for p in rest]], np.int64))
+            else:
+                places[begin] = first[names[head]]
+                parts.append(places[begin:stop])
+            parts.append(end)
+        begins = np.cumsum([0, *[len(part) + 1 for part in parts[::2]]])[:-1]
         self.settle()
-        at = np.array(places, np.int64)
+        at = np.concatenate(parts)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        return ids, np.add.reduceat(sizes, begins) if len(texts) else begins
+        return ids, np.add.reduceat(sizes, begins)
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -260,11 +267,13 @@ def _write(folder: str, tokenizer_path: str, end_id: int | None, bits: int, bloc
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary_size: int, end_id: int | None = 0,
-                 id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
+                 id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK,
+                 shards: int | None = None) -> DataFrame:
     """Writes the ids of all texts in ascending document id; returns one manifest row per shard.
 
-    Texts are dealt out by range of the id, sorted there and written as one stream, so memory
-    holds a slice of texts and one block. Equal ids are ordered by a hash of the text. A null
+    Texts are dealt out by range of the id to ``shards`` tasks (default: the session's shuffle partitions),
+    sorted there and written as one stream, so memory holds a slice of texts, one block, and id and length
+    of each document of the shard. Equal ids are ordered by a hash of the text. A null
     text is empty, a null id comes first, repeated rows are all written, an empty table gives no
     shard. Each attempt of a task writes a file of its own name, and only the manifest row of the
     attempt that counted names its file: lost executors leave at most unnamed files.
@@ -272,7 +281,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary_s
     bits = bits_for(vocabulary_size)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    small_batches(docs.sparkSession)
+    ordered = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     path = f"{folder.rstrip('/')}/_manifest"
     system, local = open_folder(folder)
