@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logwarden.llm.hashing import IS_SIGN, WORD_VALUE, buffers, mix, slices, words
 from logwarden.llm.labelled import fit_in_one_task, labelled_sample
-from logwarden.llm.tables import held_out
+from logwarden.llm.tables import held_out, small_batches
 
 BUCKETS = 1 << 19
 SAMPLE = 8_000
@@ -120,20 +120,25 @@ def fit(rows: pa.Table, steps: int = 150, sparsity: float = 2.0, least: int = 3)
     """
     data, offsets = buffers(rows.column("text"))
     y = rows.column("label").to_numpy().astype(bool)
-    feature, owner, document, done = [], [], [], 0
+    # First the counts of documents, then the places of the features that have enough: few of all features do.
+    seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for begin, end in slices(offsets):
         f, o, _, _, d = instances(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin])
-        feature.append(f)
-        owner.append(o + done)
-        document.append(d + begin)
+        pair = np.unique(f * (end - begin) + d[o])
+        seen += np.bincount(pair // (end - begin), minlength=BUCKETS)
+        bad += np.bincount((pair // (end - begin))[y[begin:end][pair % (end - begin)]], minlength=BUCKETS)
+    names = np.flatnonzero(bad >= least)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    column, owner, document, done = [], [], [], 0
+    for begin, end in slices(offsets):
+        f, o, _, _, d = instances(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin])
+        used = place[f] >= 0
+        column.append(place[f[used]])
+        owner.append((o[used] + done).astype(np.int32))
+        document.append((d + begin).astype(np.int32))
         done += len(d)
-    feature, owner, document = map(np.concatenate, (feature, owner, document))
-    pair = np.unique(feature * len(y) + document[owner])
-    bad = np.bincount((pair // len(y))[y[pair % len(y)]], minlength=BUCKETS)
-    seen = np.bincount(pair // len(y), minlength=BUCKETS)
-    used = (bad >= least)[feature]
-    names, column = np.unique(feature[used], return_inverse=True)
-    owner = owner[used]
+    column, owner, document = map(np.concatenate, (column, owner, document))
     n_docs, n_bad = len(y), int(y.sum())
     ratio = np.log((bad[names] + 0.5) / (n_bad + 1)) - np.log((seen[names] - bad[names] + 0.5) / (n_docs - n_bad + 1))
     weight, bias = np.maximum(ratio - 1, 0), -6.0
@@ -141,7 +146,7 @@ def fit(rows: pa.Table, steps: int = 150, sparsity: float = 2.0, least: int = 3)
     for pull, rounds in ((sparsity, steps), (sparsity / 100, 3 * steps)):
         weight, bias = _descend(column, owner, document, y, done, weight, bias, pull / n_docs, rounds)
         kept = np.flatnonzero(weight)
-        place = np.full(len(weight), -1)
+        place = np.full(len(weight), -1, np.int32)
         place[kept] = np.arange(len(kept))
         alive = place[column] >= 0
         column, owner, names, weight = place[column[alive]], owner[alive], names[kept], weight[kept]
@@ -212,6 +217,7 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = 0.5, id_colum
     Rows are kept one for one. A text that is null, empty or without words has no sentence and
     scores 0, as all do without a model (no labelled rows). Rows equal in text score alike.
     """
+    small_batches(docs.sparkSession)
     columns = [id_column] if keep is None else keep
     rows = docs.select(*columns, F.col(text_column).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -230,6 +236,7 @@ def reject(docs: DataFrame, model: bytes | None, threshold: float = 0.5, text_co
     """The documents that score below ``threshold``, with all their columns; all, without a model."""
     if model is None:
         return docs
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_reject, shared, threshold, docs.columns.index(text_column)), docs.schema)
 
