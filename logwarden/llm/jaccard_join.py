@@ -39,8 +39,8 @@ from logwarden.session import discard, materialize
 #: Frequent tokens are in this many sets at least, and in so many that no more than so many can be:
 #: that bounds the list of them, which is broadcast.
 OFTEN, FREQUENT = 2_000, 200_000
-#: Bins of the token counts that bound an overlap before sets are compared.
-BINS = 64
+#: Bins of the token counts that bound an overlap before sets are compared, as bytes; the largest stands for itself and all above.
+BINS, FULL = 64, 127
 #: Tokens that a task takes together, and that a bucket holds on average at most.
 TAKE, BUCKET = 750_000, 1_000_000
 #: Pivots of a group in the first round, and how their number grows; 4 rounds hold at most 1024.
@@ -208,7 +208,7 @@ def _count(n_parts: int, rows):
     return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
 
 
-NODES = "node long, n int, need int, n_rare int, central double, tokens array<long>, bins array<int>"
+NODES = "node long, n int, need int, n_rare int, central double, tokens array<long>, bins array<tinyint>"
 
 
 def _gather(percent: int, rows):
@@ -245,12 +245,12 @@ def _gather(percent: int, rows):
     values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
     bin_of = mix(values.view(np.uint64)) % np.uint64(BINS) + np.repeat(np.arange(len(lists), dtype=np.uint64) * np.uint64(BINS), np.diff(offsets))
-    bins = np.bincount(bin_of.astype(np.int64), minlength=BINS * len(lists))
+    bins = np.minimum(np.bincount(bin_of.astype(np.int64), minlength=BINS * len(lists)), FULL)
     return pa.table({
         "node": node[kept].view(np.int64), "n": pa.array(size[kept], pa.int32()), "need": pa.array(need[kept], pa.int32()),
         "n_rare": pa.array(n_rare[kept], pa.int32()), "central": pa.array(central, pa.float64()),
         "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-        "bins": pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * BINS, pa.int32()), pa.array(bins, pa.int32()))})
+        "bins": pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * BINS, pa.int32()), pa.array(bins, pa.int8()))})
 
 
 KEYS = "key long, node long, n int, central double"
@@ -306,8 +306,9 @@ def _enough(common, n_a, n_b, percent: int):
 
 
 def _bound(a: str, b: str):
-    """No more tokens can two sets share than, bin by bin, the smaller of their counts."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    """No more tokens can two sets share than, bin by bin, the smaller of their counts; where both bins are full, any number."""
+    least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
+    return F.aggregate(least, F.lit(0), lambda x, y: x + F.when(y == FULL, 1 << 20).otherwise(y))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
