@@ -13,7 +13,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logwarden.session import discard, materialize
 
@@ -41,31 +41,34 @@ def _margin(cells: DataFrame, column: str, value: str) -> DataFrame:
     return cells.groupBy(column).agg(F.sum(value).alias("now"))
 
 
-def _misfit(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+def _misfit(cells: DataFrame, columns: list[str]) -> float:
     """How far off its target a margin is at most, as a share of the target."""
-    off = [_margin(cells, c, "fit").join(want, c).select(F.abs(F.col("now") / F.col("want") - 1).alias("off")) for c, want in targets.items()]
+    off = [cells.groupBy(c).agg(F.sum("fit").alias("now"), F.first(f"want_{c}").alias("want")).select(F.abs(F.col("now") / F.col("want") - 1).alias("off"))
+           for c in columns]
     return reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
 
 
 def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (margins..., mass) with ``fit``: masses raked to the targets, in shares of 1.
 
-    Each step is a sum by one margin and a join on it; each round is written. After ``rounds`` rounds
+    Each step divides by the sums of one margin; each round is written. After ``rounds`` rounds
     they go on until every margin is within ``tolerance`` of its target. Where no masses of the given
     cells meet all targets, as when a source and a language have only each other, rounds end when
     they bring no margin nearer, and a warning tells the misfit. Cells without mass stay at 0.
     """
     total = cells.agg(F.sum("mass")).first()[0] or 1
     now = materialize(cells.where("mass > 0").withColumn("fit", F.col("mass") / float(total)), "cells")
-    targets = {}
+    aimed = now
     for column, power in powers.items():
         share = _margin(now, column, "fit").withColumn("p", F.pow("now", F.lit(power)))
         whole = share.agg(F.sum("p")).first()[0] or 1.0
-        targets[column] = materialize(share.select(column, (F.col("p") / whole).alias("want")), "target")
-    done, best, gained = 0, float("inf"), 0
+        aimed = aimed.join(share.select(column, (F.col("p") / whole).alias(f"want_{column}")), column)
+    aimed = materialize(aimed, "cells")
+    discard(now)
+    now, done, best, gained = aimed, 0, float("inf"), 0
     while True:
         if done >= rounds:
-            off = _misfit(now, targets)
+            off = _misfit(now, list(powers))
             if off <= tolerance:
                 break
             if off < best * 0.999:
@@ -74,16 +77,13 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
                 warnings.warn(f"raking ends after {done} rounds with a margin {off:.3%} off its target", RuntimeWarning, stacklevel=2)
                 break
         then = now
-        for column, want in targets.items():
-            factor = _margin(then, column, "fit").join(want, column).select(column, (F.col("want") / F.col("now")).alias("by"))
-            then = then.join(factor, column).withColumn("fit", F.col("fit") * F.col("by")).drop("by")
-        then = materialize(then.select(*cells.columns, "fit"), "cells")
+        for column in powers:
+            then = then.withColumn("fit", F.col("fit") * F.col(f"want_{column}") / F.sum("fit").over(Window.partitionBy(column)))
+        then = materialize(then, "cells")
         discard(now)
         now = then
         done += 1
-    for want in targets.values():
-        discard(want)
-    return now
+    return now.select(*cells.columns, "fit")
 
 
 def calibrate(raked: DataFrame, budget: float, steps: int = STEPS) -> DataFrame:
