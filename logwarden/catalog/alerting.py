@@ -325,6 +325,20 @@ def t9(spark, sf):
     return updated.select("incident_id", "status")
 
 
+@register("T9_false_positive_row", """SELECT vec_id::VARCHAR AS incident_id, 'known scanner' AS notes, 't' AS title, 'single' AS attack_type, len(embedding)::INTEGER AS dimensions,
+  round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, (SELECT max(ts) FROM events) AS created_at FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings)""")
+def t9_row(spark, sf):
+    """The row that is stored; the vector is that of the first evidence that has one."""
+    emb = table(spark, sf, "embeddings")
+    evidence = F.array(*[F.struct(F.lit(i).alias("event_id"), v.alias("embedding")) for i, v in enumerate((F.lit(None).cast("array<float>"), F.col("embedding").cast("array<float>")))])
+    rows = emb.select(F.col("vec_id").cast("string").alias("incident_id"), evidence.alias("evidence"), F.lit("t").alias("title"),
+                      F.lit("single").alias("behavior_type"), F.lit("cooldown").alias("status"))
+    last = emb.agg(F.max("vec_id").alias("m")).first()["m"]
+    _, row = L.mark_false_positive(rows, str(last), "known scanner", latest(table(spark, sf, "events")))
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
+    return row.select("incident_id", "notes", "title", "attack_type", F.size("embedding").alias("dimensions"), F.round(total, 6).alias("total"), "created_at")
+
+
 # --- streams over the event table ------------------------------------------------------------
 
 def event_stream(spark, sf):

@@ -225,14 +225,17 @@ def a11(spark, sf):
     return B.endpoint_min_floors(requests(spark, sf), scale=1.0)
 
 
-@register("A12_baseline_comparison_24h", WEEKLY_SQL + f""", n AS (SELECT date_trunc('hour', max(ts))::TIMESTAMP AS last FROM events),
+COMPARISON_SQL = WEEKLY_SQL + f""", n AS (SELECT date_trunc('hour', max(ts))::TIMESTAMP AS last FROM events),
   spine AS (SELECT unnest(generate_series(last - INTERVAL 23 HOUR, last, INTERVAL 1 HOUR)) AS timestamp FROM n),
   act AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS timestamp, count(*) AS c FROM requests WHERE {MALICIOUS} GROUP BY 1),
   thr AS (SELECT hour_of_week, sum(mean + 3 * std_dev) AS t FROM bl GROUP BY 1)
   SELECT s.timestamp, strftime(s.timestamp, '%H:00') AS label, (dayofweek(s.timestamp) * 24 + hour(s.timestamp))::INT AS hour_of_week,
     (dayofweek(s.timestamp) + 1)::INT AS day_of_week, hour(s.timestamp)::INT AS hour, coalesce(c, 0)::BIGINT AS actual_count,
     round(coalesce(t, 0), 2)::DOUBLE AS threshold
-  FROM spine s LEFT JOIN act USING (timestamp) LEFT JOIN thr ON thr.hour_of_week = dayofweek(s.timestamp) * 24 + hour(s.timestamp)""")
+  FROM spine s LEFT JOIN act USING (timestamp) LEFT JOIN thr ON thr.hour_of_week = dayofweek(s.timestamp) * 24 + hour(s.timestamp)"""
+
+
+@register("A12_baseline_comparison_24h", COMPARISON_SQL)
 def a12(spark, sf):
     r = requests(spark, sf)
     return B.baseline_comparison_24h(r, B.attack_baselines(r), latest(table(spark, sf, "events")))
@@ -437,3 +440,14 @@ def s18(spark, sf):
 @register("R6_baseline_snapshot_floors", FLOOR_SQL.replace("* 1.0", "* 0.1") + " SELECT * FROM fl")
 def r6(spark, sf):
     return R.baseline_snapshot(requests(spark, sf), latest(table(spark, sf, "events")))["endpoint_floors"]
+
+
+@register("R6_baseline_snapshot_baselines", WEEKLY_SQL + """ SELECT hour_of_week::INT AS hour_of_week, endpoint_group, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev FROM bl""")
+def r6_baselines(spark, sf):
+    stored = R.baseline_snapshot(requests(spark, sf), latest(table(spark, sf, "events")))["baselines"]
+    return stored.select("hour_of_week", "endpoint_group", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"))
+
+
+@register("R6_baseline_snapshot_comparison", COMPARISON_SQL)
+def r6_comparison(spark, sf):
+    return R.baseline_snapshot(requests(spark, sf), latest(table(spark, sf, "events")))["comparison_last_24h"]

@@ -9,6 +9,7 @@ from logwarden.operators import evaluate as E, labels as L, ml as M, ranks as N,
 from logwarden.operators.features import feature_columns, numeric_matrix
 from logwarden.operators.predicates import similar_enough
 from logwarden.plans.reports import incident_detail
+from logwarden.session import materialize
 
 K = 5
 # Unit vectors in double precision.
@@ -300,6 +301,38 @@ def v11(spark, sf):
     return E.best_method(rows, "mrr")
 
 
+def _ranking_sql(name, score):
+    return f""", sc_{name} AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label AS ml, {score} AS score FROM q, e WHERE q.vec_id <> e.vec_id),
+  rn_{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc_{name})"""
+
+
+METHODS = ("exact", "front", "banded")
+METHOD_SQL = BANDS_SQL + _ranking_sql("exact", "list_cosine_similarity(q.v, e.v)") + _ranking_sql("front", "list_cosine_similarity(q.v[1:32], e.v[1:32])") + """,
+  rn_banded AS (SELECT query_id, x.label AS ql, id, y.label AS ml, rank FROM ap JOIN e x ON x.vec_id = query_id JOIN e y ON y.vec_id = id),
+  tr AS (SELECT label, count(*) - 1 AS tr FROM e GROUP BY 1)""" + "".join(
+    f", pq_{m} AS (SELECT query_id, ql, {_metric_sql()} FROM rn_{m} JOIN tr ON tr.label = ql WHERE rank <= 10 AND tr > 0 GROUP BY 1, 2)" for m in METHODS)
+
+
+@register("V11_compared_methods", METHOD_SQL + ", s AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, {i} AS p, avg(mrr_at_10) AS mrr, avg(precision_at_5) AS precision FROM pq_{m}" for i, m in enumerate(METHODS)) + """)
+  SELECT method, round(mrr, 6) AS mrr, round(precision, 6) AS precision, method = (SELECT arg_max(method, {'x': mrr, 'p': -p}) FROM s) AS best FROM s""")
+def v11_methods(spark, sf):
+    """Whole vectors, their first half, and the banded search, compared by how they rank rows of the query's label."""
+    e = vectors(spark, sf)
+    q, half = queries_of(e), lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
+    found = {"exact": V.knn(q, e, 10, "vec_id", skip_self=True), "front": V.knn(half(q), half(e), 10, "vec_id", skip_self=True),
+             "banded": V.knn_approximate(q, e, 10, "vec_id", bands=BANDS, bits=BITS, skip_self=True)}
+    scores = None
+    for position, method in enumerate(METHODS):
+        total = E.query_metrics(found[method], e, q, id_col="vec_id").agg(F.avg("mrr_at_10").alias("mrr"), F.avg("precision_at_5").alias("precision"))
+        row = total.select(F.lit(method).alias("method"), F.lit(position).alias("position"), "mrr", "precision")
+        scores = row if scores is None else scores.unionByName(row)
+    scores = materialize(scores, "methods")
+    best = E.best_method(scores, "mrr").select("method", F.lit(True).alias("best"))
+    return scores.join(best, "method", "left").select("method", F.round("mrr", 6).alias("mrr"), F.round("precision", 6).alias("precision"),
+                                                      F.coalesce("best", F.lit(False)).alias("best"))
+
+
 # --- labels and models -----------------------------------------------------------------------
 
 WIDE_SQL = """WITH w AS (SELECT event_id, (event_type = 'error')::INT AS sqli, (event_type = 'click' AND value >= 100)::INT AS xss, (value >= 300)::INT AS trav,

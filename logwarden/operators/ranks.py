@@ -79,12 +79,22 @@ def stratified_sample(df: DataFrame, label: str, id_col: str, max_count: int, se
 
 def train_test_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
                      seed: int = 42, split: str = "is_test") -> DataFrame:
-    """Per-class split: the first ``round(n * fraction)`` rows in hash order are test rows."""
-    hashed = df.withColumn("_h", seeded_hash(id_col, seed))
-    ranked = hash_rank(hashed, [label], "_h", id_col, "_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """Per-class split: the first ``round(n * fraction)`` rows in hash order are test rows.
+
+    Where a class has a single row, no class can be held to its share, and all rows are split as one. Rows
+    without a label are left out.
+    """
+    df = df.where(F.col(label).isNotNull())
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.agg(F.min("_n").alias("m")).first()["m"] == 1:
+        classes = F.lit(0)
+        sizes = sizes.agg(F.sum("_n").alias("_n")).withColumn("_class", F.lit(0))
+    else:
+        classes = F.col(label)
+    hashed = df.withColumns({"_h": seeded_hash(id_col, seed), "_class": classes})
+    ranked = hash_rank(hashed, ["_class"], "_h", id_col, "_rank")
     return (
-        ranked.join(sizes, label)
+        ranked.join(sizes, "_class")
         .withColumn(split, F.col("_rank") <= F.floor(F.col("_n") * test_fraction + 0.5))
-        .drop("_h", "_rank", "_n")
+        .drop("_h", "_class", "_rank", "_n")
     )
