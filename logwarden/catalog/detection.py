@@ -16,6 +16,7 @@ from logwarden.operators.preprocess import preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rule_packs import BROAD_RULES, DEFAULT_RULES
 from logwarden.operators.rules import detect, load_rules, match_rows
+from logwarden.schema import FEATURE_NAMES
 
 
 def web_rows(spark, sf):
@@ -164,6 +165,42 @@ def f1(spark, sf):
     return f.select("event_id", *[F.col(f"feature_{n}").alias(n) for n in names])
 
 
+def _all_features_sql() -> str:
+    """Every feature by name, over the decoded fields nu, nq and na and the parameter means."""
+    signs = {"special": SPECIAL_CHARS, "slash": "/", "backslash": "\\", "dot": ".", "quote": "'\"", "angle_bracket": "<>", "percent": "%", "equals": "=",
+             "ampersand": "&", "semicolon": ";", "hyphen": "-"}
+    out = {"uri_length": "length(nu)", "query_length": "length(nq)", "user_agent_length": "length(na)", "param_count": "coalesce(param_count, 0)",
+           "avg_param_name_length": "coalesce(name_length, 0.0::DOUBLE)", "avg_param_value_length": "coalesce(value_length, 0.0::DOUBLE)"}
+    for prefix, text in (("uri", "nu"), ("query", "nq"), ("ua", "na")):
+        for name, chars in signs.items():
+            out[f"{prefix}_{name}{'_char' if name == 'special' else ''}_count"] = _chars(text, chars)
+        out[f"{prefix}_digit_count"] = rf"length({text}) - length(regexp_replace({text}, '\p{{Nd}}', '', 'g'))"
+        out[f"{prefix}_alpha_count"] = rf"length({text}) - length(regexp_replace({text}, '\p{{L}}', '', 'g'))"
+        share = f"((length({text}) - length(replace({text}, ch, ''))) / length({text}))"
+        out[f"{prefix}_entropy"] = f"CASE WHEN {text} = '' THEN 0.0::DOUBLE ELSE round(-list_sum(list_transform(list_distinct(string_split({text}, '')), lambda ch: {share} * log2({share}))), 4) END"
+    out |= {"status_code_missing": "event_id % 2 = 0", "status_code_invalid": "event_id % 3 = 0", "response_size_missing": "event_id % 4 <> 0", "response_size_invalid": "event_id % 5 = 0"}
+    for name, depth in (("", "depth"), ("_uri", "du"), ("_query", "dq"), ("_user_agent", "0")):
+        out |= {f"decode_depth{name}": depth, f"decode_changed{name}": f"{depth} > 0"}
+    out |= {"decode_limit_reached": "0", "removed_control_chars": "0"}
+    return ", ".join(f"{out[n]} AS {n}" if n in ("avg_param_name_length", "avg_param_value_length") or n.endswith("entropy") else f"({out[n]})::INT AS {n}"
+                     for n in FEATURE_NAMES if n in out)
+
+
+@register("F1_F10_all_features", DECODED_SQL + """, part AS (SELECT event_id, unnest(string_split(nq, '&')) AS part FROM req WHERE nq <> ''),
+  px AS (SELECT event_id, url_decode(replace(split_part(part, '=', 1), '+', ' ')) AS name,
+     url_decode(replace(CASE WHEN contains(part, '=') THEN substr(part, length(split_part(part, '=', 1)) + 2) ELSE '' END, '+', ' ')) AS val FROM part WHERE part <> ''),
+  pm AS (SELECT event_id, count(*) AS param_count, round(avg(length(name)), 4) AS name_length, round(avg(length(val)), 4) AS value_length FROM px GROUP BY 1)
+  SELECT event_id, """ + _all_features_sql() + f", {FLAGS_SQL} FROM req LEFT JOIN pm USING (event_id)")
+def f1_all(spark, sf):
+    """All sixty features; flags come as booleans, numbers and words."""
+    i = F.col("event_id")
+    rows = web_rows(spark, sf).withColumns({
+        "status_code_missing": i % 2 == 0, "status_code_invalid": F.when(i % 3 == 0, " Yes").otherwise("no"),
+        "response_size_missing": i % 4, "response_size_invalid": F.when(i % 5 == 0, "ERROR")})
+    f = extract_features(preprocess(rows))
+    return f.select("event_id", *[F.col(f"feature_{n}").alias(n) for n in FEATURE_NAMES])
+
+
 @register("F7_document_keyword_flags", f"""SELECT doc_id, {_has('lower(text)', SQL_KEYWORDS)} AS sql_words, {_has('lower(text)', XSS_KEYWORDS)} AS xss_words,
    {_has('lower(text)', TRAVERSAL_KEYWORDS)} AS traversal_words FROM documents""")
 def f7(spark, sf):
