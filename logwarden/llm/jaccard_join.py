@@ -308,7 +308,7 @@ def _enough(common, n_a, n_b, percent: int):
 def _bound(a: str, b: str):
     """No more tokens can two sets share than, bin by bin, the smaller of their counts; where both bins are full, any number."""
     least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
-    return F.aggregate(least, F.lit(0), lambda x, y: x + F.when(y == FULL, 1 << 20).otherwise(y))
+    return F.aggregate(least, F.lit(0).cast("long"), lambda x, y: x + F.when(y == FULL, 1 << 40).otherwise(y).cast("long"))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
