@@ -17,6 +17,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -124,7 +125,7 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
-        self.merged: dict[str, list[int]] = {}
+        self.merged: dict[str, array] = {}
         self.waiting: list[str] = []
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -146,7 +147,7 @@ class ChunkEncoder:
             ids = self.merged.get(part)
             if ids is None:
                 text = part.encode().decode("latin-1").translate(self.letters)
-                ids = self.merged[part] = [t.id for t in self.model.tokenize(text)]
+                ids = self.merged[part] = array("I", [t.id for t in self.model.tokenize(text)])
             out += ids
         return out
 
