@@ -1,12 +1,13 @@
 """Operators whose disk, memory or tasks grew faster than their tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from logwarden.operators import vectors as V
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
 def test_approximate_search_moves_no_pairs(spark):
@@ -28,3 +29,25 @@ def test_approximate_search_moves_no_pairs(spark):
     assert counts == {i: len(js) for i, js in near.items() if js}
     pairs = V.approximate_candidates(queries, df, "vec_id", bands=4, bits=5, skip_self=True)
     assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for i, js in near.items() for j in js)
+
+
+def test_tfidf_keeps_rows_of_common_terms_in_place(spark):
+    texts = [(i, " ".join(f"w{(i * k) % 7} only{i}" for k in range(1, 6))) for i in range(60)]
+    df = spark.createDataFrame([*texts, (60, None), (61, "")], "id bigint, t string")
+    for method in ("char_tfidf", "word_tfidf"):
+        models = [V.text_model(df, "id", F.col("t"), method, frequent=n) for n in (10 ** 6, 150, 20, 0)]
+        rows = [{(r.doc, r.term): round(r.weight, 9) for r in m.collect()} for m in models]
+        assert rows[0] and all(r == rows[0] for r in rows[1:])
+        # The texts are moved once; no exchange holds one row per document and term but those of rare terms.
+        assert plan(models[0]).count("Exchange hashpartitioning") == 1
+    numbers = V.numeric_vectors(df.select(F.col("id").alias("doc"), F.length("t").alias("a")), "doc", ["a"])
+    hybrid = V.hybrid_vectors(V.text_model(df, "id", F.col("t"), parts=9), numbers, parts=9)
+    assert plan(hybrid).count("Exchange hashpartitioning") == 2
+
+
+def test_sparse_scores_by_either_join(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 9))) for i in range(40)], "id bigint, t string")
+    model = V.text_model(df, "id", F.col("t"), "word_tfidf")
+    sent, sliced = (V.sparse_scores(model.where("doc < 5"), model, 3, sent=n) for n in (10 ** 6, 0))
+    keys = [sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in d.collect()) for d in (sent, sliced)]
+    assert keys[0] == keys[1] and len(keys[0]) == 15
