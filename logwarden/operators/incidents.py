@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.functions.columns import field, pick
@@ -230,30 +231,64 @@ def suppressed_incidents(gated: DataFrame) -> DataFrame:
         F.col("reason").alias("resolution_notes"), F.lit(False).alias("alert_sent"))
 
 
+def _latest_running(batches):
+    """Per alert the latest begun cooldown that runs at its time; rows come by bucket and time, cooldowns first.
+
+    A cooldown that ends before a later begun one can't be an answer any more, so a stack of the others is kept: ends
+    fall and begins rise to its top, and what has ended is taken from the top.
+    """
+    key, running = None, []
+    for batch in batches:
+        alerts, begins, found = [], [], []
+        for *group, at, until, incident, alert in zip(*[column.to_pylist() for column in batch.columns]):
+            if group != key:
+                key, running = group, []
+            while running and running[-1][0] <= (at if until is None else until):
+                running.pop()
+            if until is not None:
+                running.append((until, at, incident))
+            elif running:
+                alerts.append(alert)
+                begins.append(running[-1][1])
+                found.append(running[-1][2])
+        schema = batch.schema
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(alerts, schema.field("correlation_id").type), pa.array(begins, pa.int64()), pa.array(found, schema.field("incident_id").type)],
+            names=["correlation_id", "begun", "incident_id"])
+
+
 def overlapping_active(incidents: DataFrame, active: DataFrame, now: str = "window_start") -> DataFrame:
     """Each incident with the active stored one that shares an address, had begun by then and still cools down.
 
     Of several the latest begun (``created_at``) is taken, then the smallest id. Address lists are exploded and
-    time is cut into buckets, so the overlap is an equi-join on (address, bucket) and not a test of all pairs of a
-    busy address. A cooldown is filed in the (at most two) buckets it touches of the size that fits its length,
-    buckets doubling from level to level; an incident looks into its bucket of each level there is.
+    time is cut into buckets, so a busy address is split. A cooldown is filed in the (at most two) buckets it touches
+    of the size that fits its length, buckets doubling from level to level; an incident looks into its bucket of each
+    level there is. A bucket is sorted by time and passed over once, so no pairs are formed, however crowded it is.
     """
-    def bucket(moment: Column, level: Column) -> Column:
-        return F.floor(F.unix_micros(moment.cast("timestamp")) / (F.lit(BUCKET_MINUTES * 60_000_000) * F.pow(F.lit(2), level))).cast("long")
+    def micros(moment: str) -> Column:
+        return F.unix_micros(F.col(moment).cast("timestamp"))
+
+    def bucket(moment: str, level: Column) -> Column:
+        return F.floor(micros(moment) / (F.lit(BUCKET_MINUTES * 60_000_000) * F.pow(F.lit(2), level))).cast("long")
 
-    begin, end = F.col("created_at").cast("timestamp"), F.col("cooldown_until").cast("timestamp")
-    minutes = (F.unix_micros(end) - F.unix_micros(begin)) / 60_000_000
+    minutes = (micros("cooldown_until") - micros("created_at")) / 60_000_000
     right = active.where(F.col("status").isin("open", "cooldown")).where("cooldown_until > created_at").select(
         "incident_id", "created_at", "cooldown_until", F.explode("source_ips").alias("ip"),
         F.greatest(F.lit(0), F.ceil(F.log2(minutes / BUCKET_MINUTES))).cast("int").alias("level"))
     deepest = right.agg(F.max("level").alias("m")).first()["m"] or 0
-    right = right.withColumn("bucket", F.explode(F.sequence(bucket(F.col("created_at"), F.col("level")), bucket(F.col("cooldown_until"), F.col("level")))))
+    right = right.withColumn("bucket", F.explode(F.sequence(bucket("created_at", F.col("level")), bucket("cooldown_until", F.col("level")))))
     left = incidents.select("correlation_id", F.col(now).alias("_now"), F.explode("source_ips").alias("ip"))
-    left = left.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("bucket", bucket(F.col("_now"), F.col("level")))
-    begun = left.join(right, ["ip", "level", "bucket"]).where("created_at <= _now and cooldown_until > _now")
-    latest = begun.groupBy("correlation_id", "incident_id").agg(F.max("created_at").alias("created_at"))
+    left = left.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("bucket", bucket("_now", F.col("level")))
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    keys = ["ip", "level", "bucket"]
+    rows = left.select(*keys, micros("_now").alias("at"), F.lit(None).cast("long").alias("until"), none(right, "incident_id"), "correlation_id").unionByName(
+        right.select(*keys, micros("created_at").alias("at"), micros("cooldown_until").alias("until"), "incident_id", none(left, "correlation_id")))
+    ordered = rows.where("ip is not null and bucket is not null").repartition(*keys).sortWithinPartitions(
+        *keys, "at", F.col("until").isNull(), F.desc("incident_id"))
+    types = [df.schema[name].dataType.simpleString() for df, name in ((left, "correlation_id"), (right, "incident_id"))]
+    latest = ordered.mapInArrow(_latest_running, f"correlation_id {types[0]}, begun long, incident_id {types[1]}")
     return latest.groupBy("correlation_id").agg(
-        F.min_by("incident_id", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "incident_id")).alias("incident_id"))
+        F.min_by("incident_id", F.struct((-F.col("begun")).alias("t"), "incident_id")).alias("incident_id"))
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
