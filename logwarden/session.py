@@ -51,15 +51,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deals the rows of a few large input splits out over all cores.
+# Rows of costly text work that one task takes.
+SPREAD_ROWS = 20_000
 
-    For text work that costs far more than moving the rows. Inputs that already come in
-    at least as many splits as there are cores are left alone, so a large scan has no
-    extra shuffle. Hash partitioning by ``key`` gives the same rows again on a retry.
+
+def spread(df: DataFrame, *keys: str, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Deals rows out over all cores and over more tasks as they grow, some ``rows`` to each.
+
+    For text work that costs far more than moving the rows. Splits of a file say little: a few large row groups leave
+    most of them empty. Hash partitioning by ``keys`` gives the same rows again on a retry.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(max(cores, -(-df.count() // rows)), *keys)
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from logwarden.operators import vectors as V
+from logwarden.operators.incidents import overlapping_active
+from logwarden.session import spread
 
 
 def plan(df):
@@ -51,3 +53,29 @@ def test_sparse_scores_by_either_join(spark):
     sent, sliced = (V.sparse_scores(model.where("doc < 5"), model, 3, sent=n) for n in (10 ** 6, 0))
     keys = [sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in d.collect()) for d in (sent, sliced)]
     assert keys[0] == keys[1] and len(keys[0]) == 15
+
+
+def test_crowded_bucket_forms_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    kept = [(int(i), ["busy"], "open", int(b), int(b + rng.integers(1, 4000))) for i, b in enumerate(rng.integers(0, 40, 400) * 100)]
+    asked = [(int(i), ["busy", "calm"], int(t)) for i, t in enumerate(rng.integers(0, 80, 300) * 100)]
+    time = lambda name: F.timestamp_seconds(F.col(name)).alias(name)
+    active = spark.createDataFrame(kept, "incident_id int, source_ips array<string>, status string, created_at int, cooldown_until int").select(
+        "incident_id", "source_ips", "status", time("created_at"), time("cooldown_until"))
+    incidents = spark.createDataFrame(asked, "correlation_id int, source_ips array<string>, window_start int").select(
+        "correlation_id", "source_ips", time("window_start"))
+    found = overlapping_active(incidents, active)
+    assert "Join" not in plan(found)
+    want = {}
+    for i, _, t in asked:
+        best = min(((-b, k) for k, _, _, b, e in kept if b <= t < e), default=None)
+        if best:
+            want[i] = best[1]
+    assert {r["correlation_id"]: r["incident_id"] for r in found.collect()} == want
+
+
+def test_large_tables_are_dealt_over_more_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000, numPartitions=3 * cores)
+    assert spread(rows, "id", rows=10).rdd.getNumPartitions() == 100
+    assert spread(rows, "id").rdd.getNumPartitions() == cores
