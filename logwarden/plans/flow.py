@@ -11,7 +11,7 @@ from logwarden.operators.parse import parse_by_server, parse_log
 from logwarden.operators.preprocess import preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rules import detect
-from logwarden.session import materialize
+from logwarden.session import materialize, spread
 
 
 def analyze_normalized(normalized: DataFrame, rules: list[dict] | None = None, models: tuple | None = None,
@@ -30,14 +30,15 @@ def analyze_lines(lines: DataFrame, server_type: str | None = None, rules: list[
 
     Apache and Nginx lines stay one lazy plan. W3C lines need joins to carry their headers,
     so such parsed records are staged first: the optimizer derives conditions from joins
-    through every later projection, which a plan this wide cannot afford.
+    through every later projection, which a plan this wide cannot afford. What is staged is dealt
+    out again: a few small files, however many rows, would leave the scoring to a few tasks.
     """
     if server_type and server_type.lower() != "iis":
         parsed = parse_log(lines, server_type, namespace=namespace)
     elif server_type:
-        parsed = materialize(parse_log(lines, server_type, namespace=namespace), "parsed")
+        parsed = spread(materialize(parse_log(lines, server_type, namespace=namespace), "parsed"), "file", "line_number")
     else:
-        parsed = materialize(parse_by_server(lines, namespace=namespace), "parsed")
+        parsed = spread(materialize(parse_by_server(lines, namespace=namespace), "parsed"), "file", "line_number")
     return analyze_normalized(normalize(parsed), rules, models)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.plans.flow import analyze_lines
 from logwarden.sources.lines import merge_continuations, number_lines, server_type_of_path
-from logwarden.session import materialize
+from logwarden.session import materialize, spread
 from logwarden.sources.sinks import write_version
 
 
@@ -52,8 +52,9 @@ def score_batch(batch: DataFrame) -> DataFrame:
 
     Lines are numbered within their file and ids name both, so equal lines stay apart and a replay
     gives the same ids; indented lines join their record, W3C headers hold to the next one, and bad UTF-8 is
-    read as Latin-1. Only the byte-order-mark flag is missing: the stream reader drops the mark.
+    read as Latin-1. Only the byte-order-mark flag is missing: the stream reader drops the mark. The records are
+    written once for the parsers of all servers and dealt out over all cores, since a file is one task to the reader.
     """
     lines = materialize(number_lines(batch).withColumn("bom", F.lit(False)), "lines")
-    records = merge_continuations(lines)
-    return analyze_lines(records.withColumn("server_type", server_type_of_path(F.col("file"))), namespace="file")
+    records = materialize(merge_continuations(lines).withColumn("server_type", server_type_of_path(F.col("file"))), "records")
+    return analyze_lines(spread(records, "file", "line_number"), namespace="file")
