@@ -99,7 +99,7 @@ class ChunkEncoder:
     bound and then forgotten. Pieces that hold an added token go through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int | None, most: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, end_id: int | None, most: int = 600_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -125,7 +125,7 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
-        self.merged: dict[str, array] = {}
+        self.merged: dict[str, bytes] = {}
         self.waiting: list[str] = []
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -147,8 +147,8 @@ class ChunkEncoder:
             ids = self.merged.get(part)
             if ids is None:
                 text = part.encode().decode("latin-1").translate(self.letters)
-                ids = self.merged[part] = array("I", [t.id for t in self.model.tokenize(text)])
-            out += ids
+                ids = self.merged[part] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            out += memoryview(ids).cast("I")
         return out
 
     def settle(self) -> None:
@@ -211,16 +211,16 @@ def encoder(path: str, end_id: int | None) -> ChunkEncoder:
     return _ENCODERS[path, end_id]
 
 
-def by_bytes(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
-    """Slices of about ``most`` characters; one longer text is a slice of its own."""
+def by_bytes(lengths, most: int) -> Iterator[slice]:
+    """Slices of texts of about ``most`` bytes together; one longer text is a slice of its own."""
     begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+    for i, length in enumerate(lengths.tolist()):
+        if size and size + length > most:
             yield slice(begin, i)
             begin, size = i, 0
-        size += len(text) + 1
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+        size += length + 1
+    if begin < len(lengths):
+        yield slice(begin, len(lengths))
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int | None, bits: int, block: int,
@@ -232,18 +232,20 @@ def _write(folder: str, tokenizer_path: str, end_id: int | None, bits: int, bloc
     coder = encoder(tokenizer_path, end_id)
     name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
     out, offset = None, HEADER.size
-    offsets, doc_ids, sizes = [], [], []
+    offsets, doc_ids, nulls, sizes = [], [], [], []
     rest = np.zeros(0, np.uint32)
     for batch in batches:
-        texts, keys = batch.column(1).to_pylist(), batch.column(0)
-        if not texts:
+        texts, keys = batch.column(1), batch.column(0)
+        if not len(texts):
             continue
         if out is None:
             out = system.open_output_stream(f"{path}/{name}")
             out.write(HEADER.pack(MAGIC, 1, bits, block))
-        doc_ids.append(keys)
-        for part in by_bytes(texts):
-            ids, n = coder.encode(texts[part])
+        # Copies: a column of a batch holds the memory of the whole batch, texts included.
+        doc_ids.append(np.array(keys.fill_null(0)))
+        nulls.append(np.array(keys.is_null()))
+        for part in by_bytes(pc.binary_length(texts).to_numpy(), 1_000_000):
+            ids, n = coder.encode(texts[part].to_pylist())
             sizes.append(n)
             rest = np.concatenate([rest, ids])
             while len(rest) >= block:
@@ -255,16 +257,16 @@ def _write(folder: str, tokenizer_path: str, end_id: int | None, bits: int, bloc
     if len(rest):
         offsets.append(offset)
         offset += out.write(pack(rest, bits))
-    keys, n = pa.chunked_array(doc_ids, pa.int64()), np.concatenate(sizes)
+    keys, empty, n = np.concatenate(doc_ids), np.concatenate(nulls), np.concatenate(sizes)
     out.write(np.array([*offsets, offset], "<u8").tobytes())
-    out.write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
-    out.write(keys.is_null().to_numpy().astype("u1").tobytes())
+    out.write(keys.astype("<i8").tobytes())
+    out.write(empty.astype("u1").tobytes())
     out.write(n.astype("<u8").tobytes())
     out.write(TRAILER.pack(len(offsets), len(n), int(n.sum()), offset, MAGIC))
     out.close()
     yield pa.RecordBatch.from_pydict({
         "shard": pa.array([shard], pa.int32()), "file": [name], "bits": pa.array([bits], pa.int32()), "n_docs": [len(n)],
-        "n_tokens": [int(n.sum())], "first_doc": pa.array([keys[0].as_py()], pa.int64())})
+        "n_tokens": [int(n.sum())], "first_doc": pa.array([None if empty[0] else int(keys[0])], pa.int64())})
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary_size: int, end_id: int | None = 0,
