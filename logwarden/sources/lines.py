@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logwarden.functions.text import strip
-from logwarden.operators.ordered import number_rows, running_count
+from logwarden.operators.ordered import fill_forward, number_rows
 from logwarden.session import materialize
 
 # Input suffixes and record flags.
@@ -68,12 +68,17 @@ def read_physical_lines(spark: SparkSession, root: str, glob: str = _GLOB) -> Da
 def number_lines(raw: DataFrame) -> DataFrame:
     """Physical lines of whole files (``file, _start, value``) with their number; bytes that are no UTF-8 are read as Latin-1.
 
-    ``_start`` is the offset of the split that a line comes from; within one, rows come in file order.
+    ``_start`` is the offset of the split that a line comes from; within one, rows come in file order. A split is
+    read by one task, so its rows have consecutive ids there: numbering needs first id and size of each split, and
+    texts are neither moved nor sorted.
     """
     utf8 = F.is_valid_utf8("value")
     rows = raw.withColumn("_seq", F.monotonically_increasing_id())
-    return number_rows(rows, ["file"], "_start", "_seq", "physical_line").select(
-        "file", "physical_line",
+    splits = rows.groupBy("file", "_start").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).drop("_n", "_first")
+    return rows.join(splits, ["file", "_start"]).select(
+        "file", (F.col("_before") + F.col("_seq")).cast("bigint").alias("physical_line"),
         F.when(utf8, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("line"),
         (~utf8).alias("latin1"),
     )
@@ -131,24 +136,30 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
     """
     kept = lines.where(strip("line") != "")
     numbered = kept.withColumn("_indented", F.substring("line", 1, 1).isin(" ", "\t"))
-    heads = running_count(numbered, ["file"], "physical_line", ~F.col("_indented"), "_record")
-    # Indented lines before the first head of a file form one record with record number 0.
-    parts = F.array_sort(F.collect_list(F.struct("physical_line", "line")))
-    grouped = heads.groupBy("file", "_record").agg(
-        parts.alias("_parts"),
-        F.min("physical_line").alias("_first"),
-        F.max("physical_line").alias("_last"),
-        F.count(F.lit(1)).alias("_n"),
-        F.bool_or("bom").alias("_bom"),
-        F.bool_or("latin1").alias("_latin1"),
-    )
-    records = grouped.select(
-        "file",
-        F.array_join(F.transform("_parts", lambda x: x["line"]), "\\n").alias("line"),
+    # Which record an indented line joins is found on line numbers; of the texts only indented ones are moved.
+    head = F.when(~F.col("_indented"), F.col("physical_line"))
+    found = fill_forward(numbered.select("file", "physical_line", "_indented"), ["file"], "physical_line", head, "_head")
+    # Indented lines before the first head of a file form one record, that of head 0.
+    found = found.where("_indented").select("file", "physical_line", F.coalesce("_head", F.lit(0)).alias("_head"))
+    tails = numbered.where("_indented").join(found, ["file", "physical_line"]).groupBy("file", "_head").agg(
+        F.array_sort(F.collect_list(F.struct("physical_line", "line"))).alias("_parts"),
+        F.min("physical_line").alias("_first"), F.max("physical_line").alias("_last"),
+        F.bool_or("bom").alias("_bom"), F.bool_or("latin1").alias("_latin1"))
+    tails = materialize(tails.withColumn("_parts", F.transform("_parts", lambda x: x["line"])), "tails")
+    alone = tails.where("_head = 0").select(
+        "file", F.array_join("_parts", "\\n").alias("line"), "_bom", "_latin1", (F.size("_parts") > 1).alias("_merged"), "_first", "_last")
+    joining = tails.where("_head > 0").select("file", F.col("_head").alias("physical_line"), "_parts", "_last", "_bom", "_latin1")
+    no = F.lit(False)
+    headed = numbered.where("not _indented").join(joining, ["file", "physical_line"], "left").select(
+        "file", F.when(F.col("_parts").isNull(), F.col("line")).otherwise(F.concat_ws("\\n", "line", "_parts")).alias("line"),
+        (F.col("bom") | F.coalesce("_bom", no)).alias("_bom"), (F.col("latin1") | F.coalesce("_latin1", no)).alias("_latin1"),
+        F.col("_parts").isNotNull().alias("_merged"), F.col("physical_line").alias("_first"), F.coalesce("_last", "physical_line").alias("_last"))
+    records = headed.unionByName(alone).select(
+        "file", "line",
         F.array_compact(F.array(
             F.when(F.col("_bom"), FLAG_BOM),
             F.when(F.col("_latin1"), FLAG_LATIN1),
-            F.when(F.col("_n") > 1, FLAG_MERGED),
+            F.when(F.col("_merged"), FLAG_MERGED),
         )).alias("flags"),
         F.array("_first", "_last").alias("physical_line_range"),
     )
