@@ -13,6 +13,7 @@ All ids of a block have the same width, so a range of ids lies at a known bit of
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
@@ -211,6 +212,13 @@ def encoder(path: str, end_id: int | None) -> ChunkEncoder:
     return _ENCODERS[path, end_id]
 
 
+def forget_encoders() -> None:
+    """Gives the memory of this worker's encoders back, so that idle workers don't hold it beside later steps."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def by_bytes(lengths, most: int) -> Iterator[slice]:
     """Slices of texts of about ``most`` bytes together; one longer text is a slice of its own."""
     begin = size = 0
@@ -340,6 +348,8 @@ class Shard:
 
 
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if _ENCODERS:  # all shards are written by now
+        forget_encoders()
     system, path = open_folder(folder)
     for batch in batches:
         for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):

@@ -39,3 +39,11 @@ def test_batches_are_given_back(monkeypatch, tmp_path):
     with pa.OSFile(f"{tmp_path}/{rows[0].column('file')[0].as_py()}") as file:
         shard = bitpack.Shard(file)
         assert shard.null.tolist() == [i == 3 for i in range(8)] and len(set(shard.sizes.tolist())) == 1
+
+
+def test_encoders_end_when_shards_are_read(tmp_path):
+    """An idle worker held what it knew beside the next step's memory (pipeline, toxicity after token output)."""
+    bitpack.encoder(vocabulary_path(BYTE_BPE), 0).encode(["some words of a text"])
+    assert bitpack._ENCODERS
+    list(bitpack._read(str(tmp_path), iter([pa.RecordBatch.from_pydict({"file": pa.array([], pa.string()), "start": pa.array([], pa.int64())})])))
+    assert not bitpack._ENCODERS
