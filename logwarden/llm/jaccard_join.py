@@ -15,7 +15,8 @@ prefix is made so long that this is more than similarity t allows.
 
 Sets that are equal are one *node*, known by a hash of the set. Nodes without a similar one fall
 out early, because most of their tokens occur nowhere else. Groups that share a key are not
-expanded into pairs: in each round a few pivots of each group are compared with the others, nodes
+expanded into pairs: each node is first compared with the most central one of its largest group, then
+in each round a few pivots of each group are compared with the others, nodes
 known to be connected aren't compared again, and pivots leave the group. The number of pivots
 grows from round to round, so the rounds are few; what is compared in the end is every pair of
 candidates that isn't connected otherwise.
@@ -43,7 +44,8 @@ OFTEN, FREQUENT = 2_000, 200_000
 BINS, FULL = 64, 127
 #: Tokens that a task takes together, and that a bucket holds on average at most.
 TAKE, BUCKET = 750_000, 1_000_000
-#: Pivots of a group in the first round, and how their number grows; 4 rounds hold at most 1024.
+#: Pivots of a group, and how their number grows. The links of one comparison per node stand for the round of the fewest;
+#: the next holds 16, the third 1024.
 PIVOTS, GROWTH = 2, 8
 LOW = np.uint64((1 << 40) - 1)
 
@@ -307,8 +309,10 @@ def _enough(common, n_a, n_b, percent: int):
 
 def _bound(a: str, b: str):
     """No more tokens can two sets share than, bin by bin, the smaller of their counts; where both bins are full, any number."""
-    least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
-    return F.aggregate(least, F.lit(0).cast("long"), lambda x, y: x + F.when(y == FULL, 1 << 40).otherwise(y).cast("long"))
+    least = F.zip_with(a, b, lambda x, y: F.least(x, y))
+    few = F.aggregate(least, F.lit(0), lambda x, y: x + y.cast("int")).cast("long")
+    many = F.aggregate(least, F.lit(0).cast("long"), lambda x, y: x + F.when(y == FULL, 1 << 40).otherwise(y).cast("long"))
+    return F.when((F.array_max(a) == FULL) & (F.array_max(b) == FULL), many).otherwise(few)
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -321,18 +325,39 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough(common, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _first_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Stars of the links that one comparison per node finds: with the most central node of its largest group.
+
+    Most groups are near copies of one text. These links spare their other keys, without a row for each of them.
+    """
+    near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    best = rows.where((F.col("node") != F.col("p_node")) & near).groupBy("node").agg(F.max(F.struct("size", "p_node")).alias("b"))
+    pairs = best.select(F.least("node", "b.p_node").alias("a"), F.greatest("node", "b.p_node").alias("b")).distinct()
+    found = materialize(_similar(pairs, nodes, percent).toDF("u", "v"), "found")
+    links = stars(found)
+    discard(found)
+    return links
+
+
 def _connect(nodes: DataFrame, percent: int) -> DataFrame:
     """Stars (u, v) over the nodes: which node stands for each that is linked with another."""
     keys = materialize(nodes.mapInArrow(partial(_keys, percent), KEYS), "keys")
     # Keys with the same nodes say the same; one of them is enough.
     groups = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    chosen = groups.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    rows = keys.join(chosen, "key").distinct().join(nodes.select("node", "bins"), "node")
-    postings = materialize(rows.withColumn("part", F.col("node")), "postings")
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.max(F.struct("central", "node", "n")).alias("first"))
+    chosen = groups.where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("key", "first")).alias("k")).select(
+        "k.key", "size", F.col("k.first.node").alias("p_node"), F.col("k.first.n").alias("p_n"))
+    rows = materialize(keys.join(chosen, "key").distinct(), "shared")
     discard(keys)
-    links = None
-    pivots_each = PIVOTS
+    links = _first_links(rows, nodes, percent)
+    # Groups that these links make one part of are done, so bins are moved for the others only.
+    placed = rows.select("key", "node", "n", "central").join(
+        nodes.select("node").join(links.toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "node")
+    apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    postings = materialize(placed.join(apart, "key", "left_semi").join(nodes.select("node", "bins"), "node"), "postings")
+    discard(rows)
+    pivots_each = PIVOTS * GROWTH
     while True:
         # Nodes that aren't linked yet go first: once they have been compared, a group is one part and done.
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
@@ -343,20 +368,22 @@ def _connect(nodes: DataFrame, percent: int) -> DataFrame:
         pivots = materialize(live.select("key", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("node", "n", "part", "bins")]), "pivots")
         if pivots.isEmpty():
             discard(pivots)
+            discard(postings)
             return links
         # What can't be similar by size or bins isn't made a pair of, so groups aren't multiplied out.
         meet = ((F.col("part") != F.col("p_part")) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
                 & _enough(_bound("bins", "p_bins"), F.col("n"), F.col("p_n"), percent))
         pairs = postings.join(pivots, (postings["key"] == pivots["key"]) & meet).select(
             F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        found = _similar(pairs, nodes, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        then = stars(found if links is None else links.union(found))
+        # Written once: the stars read their edges several times, and would find them anew each time.
+        found = materialize(_similar(pairs, nodes, percent).toDF("u", "v"), "found")
+        then = stars(links.union(found))
         # Pivots have been compared with all the rest of their groups.
         spent = pivots.groupBy("key").agg(F.collect_set("p_node").alias("spent"))
         rest = postings.join(spent, "key").where(~F.array_contains("spent", F.col("node"))).drop("spent", "part")
         left = rest.join(then.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left")
         left = materialize(left.withColumn("part", F.coalesce("part", "node")), "postings")
-        for old in (postings, pivots, *([links] if links is not None else [])):
+        for old in (postings, pivots, found, links):
             discard(old)
         postings, links, pivots_each = left, then, GROWTH * pivots_each
 
@@ -379,8 +406,6 @@ def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, tex
              .groupBy("bucket").applyInArrow(_task(_count, n_buckets), ANSWERED)
              .groupBy("part").applyInArrow(_task(_gather, percent), NODES))
     links = _connect(materialize(nodes, "nodes"), percent)
-    if links is None:
-        return rows.withColumn("part", F.col("node"))
     return rows.join(links.withColumnRenamed("u", "node"), "node", "left").withColumn("part", F.coalesce("v", "node")).drop("v")
 
 

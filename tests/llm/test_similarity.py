@@ -84,6 +84,32 @@ def test_components_of_the_table(spark):
     assert joined(docs) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_links_are_found_once_a_round(spark, monkeypatch):
+    """The stars read their edges several times; each time the pairs of a round were formed and compared anew."""
+    seen, stars = [], jaccard_join.stars
+    monkeypatch.setattr(jaccard_join, "stars", lambda edges: seen.append(edges._jdf.queryExecution().optimizedPlan().toString()) or stars(edges))
+    rows = edited(5, groups=4)
+    assert joined(documents(spark, [(i, t, "en", "a") for i, t in rows])) == brute_components(rows)
+    assert seen and not any("Join" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("rounds", [(2, 8), (1, 1)])
+def test_groups_of_unlike_sets_with_a_common_passage(spark, monkeypatch, rounds):
+    """Groups that the first links don't make one part of go through all rounds, however slowly pivots grow."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", rounds[0])
+    monkeypatch.setattr(jaccard_join, "GROWTH", rounds[1])
+    rng, passage = random.Random(8), " ".join(f"p{k}" for k in range(12))
+    rows = [(i + 1, passage + " " + " ".join(f"a{i // 2 if i % 3 else i}b{k}" for k in range(20)) + f" z{rng.randrange(3)}") for i in range(12)]
+    assert joined(documents(spark, [(i, t, "en", "a") for i, t in rows])) == brute_components(rows)
+
+
+def test_bound_of_full_bins(spark):
+    full = jaccard_join.FULL
+    rows = [([1, 2, 3], [2, 2, 0]), ([full, 2, 3], [5, 1, full]), ([full, 1, 4], [full, 9, 4])]
+    got = spark.createDataFrame(rows, "a array<tinyint>, b array<tinyint>").select(jaccard_join._bound("a", "b").alias("x")).collect()
+    assert [r.x for r in got] == [3, 5 + 1 + 3, (1 << 40) + 5]
+
+
 def test_pair_keys_cover_the_differences():
     """Sets that differ in few enough frequent tokens always share a key, whichever differ."""
     rng = np.random.default_rng(1)
