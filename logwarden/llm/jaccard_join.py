@@ -47,7 +47,8 @@ TAKE, BUCKET = 750_000, 1_000_000
 #: Pivots of a group, and how their number grows. The links of one comparison per node stand for the round of the fewest;
 #: the next holds 16, the third 1024.
 PIVOTS, GROWTH = 2, 8
-LOW = np.uint64((1 << 40) - 1)
+#: Bits of the filter of sets that several rows have, at most: it is broadcast too.
+REPEATED = 1 << 24
 
 
 def allowed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -121,93 +122,195 @@ def _survey(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(k, pa.int32()), pa.array(values[often].view(np.int64)), pa.array(counts[often])], names)
 
 
-DEALT = "bucket long, nodes binary, counts binary, tokens binary, high binary, sizes binary"
+def _blobs(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of an array's elements as bytes, one run from each cut to the next."""
+    offsets = (cuts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _low_high(tokens: np.ndarray) -> tuple[bytes, bytes]:
-    return tokens.astype(np.uint32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint8).tobytes()
+def _bytes(column: pa.ChunkedArray, kind=np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of such runs, and how many each row has; a null has none."""
+    runs = [np.frombuffer(x or b"", kind) for x in column.to_pylist()]
+    return np.concatenate(runs or [np.zeros(0, kind)]), np.array([len(x) for x in runs], np.int64)
 
 
-def _deal(n: int, n_buckets: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(places: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of ascending numbers, as the steps between them from 0 on: a byte each, and one more for every 255 of a step."""
+    steps = np.diff(places, prepend=0)
+    steps[cuts[:-1]] = places[cuts[:-1]]
+    ends = np.concatenate([[0], np.cumsum(steps // 255 + 1)])
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends[1:] - 1] = steps % 255
+    return _blobs(out, ends[cuts])
+
+
+def _places(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs, and the row of each."""
+    steps, lengths = _bytes(column)
+    total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    ends, row = steps < 255, np.repeat(np.arange(len(lengths)), lengths)
+    return (total[1:] - total[begins][row])[ends], row[ends]
+
+
+def _five(tokens: np.ndarray) -> np.ndarray:
+    """The low 40 bits of each token, five bytes each, as elements of that size."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
+
+
+def _tokens(column: pa.ChunkedArray) -> np.ndarray:
+    data, _ = _bytes(column)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = data.reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new) if n else np.zeros(1, np.int64)
+
+
+def _filter(rows: DataFrame, documents: int) -> np.ndarray:
+    """Bits at two places for each set that several rows have; at most REPEATED bits, more sets only make it less sharp."""
+    size = min(REPEATED, max(64, 1 << (4 * documents).bit_length()))
+    again = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    at = F.explode(F.array(F.col("node").bitwiseAND(F.lit(size - 1)), F.shiftright("node", 30).bitwiseAND(F.lit(size - 1)))).alias("at")
+    words = again.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether several rows may have each set; never false of one that several have."""
+    at = np.stack([nodes, nodes >> np.uint64(30)]) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0)
+
+
+DEALT = "bucket long, part long, alone int, owners binary, nodes binary, tokens binary, sizes binary, counts binary"
+
+
+def _parts(nodes: np.ndarray, n_parts: int) -> np.ndarray:
+    return -1 - (mix(nodes) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _deal(n: int, n_buckets: int, frequent, repeated, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each lot by bucket, as five bytes each, in the order of their nodes.
 
-    Rows with ``sizes`` aren't counted in the bucket: they have each node's size and its
-    frequent tokens, as places in the list of those.
+    A node is known in its lot by its place, which takes a byte a token. Only those that may be in other
+    lots too are named, as they count once; they come last, and are gathered by their name and not by lot.
+    Rows with ``sizes`` aren't counted in the bucket: they have the nodes of a part, and of each its size and
+    its frequent tokens, as places in the list of those.
     """
-    common, names = frequent.value, ["bucket", "nodes", "counts", "tokens", "high", "sizes"]
+    common, bits = frequent.value, repeated.value
+    names = ["bucket", "part", "alone", "owners", "nodes", "tokens", "sizes", "counts"]
     for nodes, sizes, tokens, owner, _ in _taken(batches, n):
+        if not len(nodes):
+            continue
+        many = _maybe(bits, nodes)
+        order = np.argsort(many, kind="stable")
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        nodes, sizes, owner, alone = nodes[order], sizes[order], place[owner], int((~many).sum())
+        # Known by what is in it: were the rows of a task cut otherwise when it is run again, its answers would find no lot.
+        lot = int(mix(nodes[:alone] + np.arange(alone, dtype=np.uint64)).sum() >> np.uint64(1))
         at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
         often = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
-        out = []
         bucket = ((tokens >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
         rare = np.flatnonzero(~often)
-        order = rare[np.argsort(bucket[rare], kind="stable")]
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            part = order[cuts[b]:cuts[b + 1]]
-            own, counts = np.unique(owner[part], return_counts=True)
-            out.append((int(b), nodes[own].tobytes(), counts.astype(np.uint32).tobytes(), *_low_high(tokens[part] & LOW), None))
-        home = (nodes % np.uint64(n_buckets)).astype(np.int64)
-        n_often = np.bincount(owner[often], minlength=len(nodes))
+        rare = rare[np.lexsort((owner[rare], bucket[rare]))]
+        if len(rare):
+            b, own = bucket[rare], owner[rare]
+            cuts = _heads(b)
+            named = _heads(b, own)[:-1]
+            named = named[own[named] >= alone]
+            rows = len(cuts) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b[cuts[:-1]]), pa.array(np.full(rows, lot)), pa.array(np.full(rows, alone, np.int32)), _steps(own, cuts),
+                 _blobs(nodes[own[named]], np.searchsorted(named, cuts)), _blobs(_five(tokens[rare]), cuts), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names)
+        part = np.where(np.arange(len(nodes)) < alone, lot, _parts(nodes, n_buckets))
+        by_node = np.flatnonzero(often)
+        by_node = by_node[np.argsort(owner[by_node], kind="stable")]
+        n_often = np.bincount(owner[by_node], minlength=len(nodes))
         begins = np.concatenate([[0], np.cumsum(n_often)])
-        ranks = at[often].astype(np.uint32)
-        for b in np.unique(home):
-            own = np.flatnonzero(home == b)
-            kept = np.concatenate([ranks[begins[i]:begins[i + 1]] for i in own])
-            out.append((int(b), nodes[own].tobytes(), n_often[own].astype(np.uint32).tobytes(), kept.tobytes(), None, sizes[own].astype(np.uint32).tobytes()))
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
-
-
-ANSWERED = "part long, nodes binary, counts binary, tokens binary, sets binary, sizes binary"
-
-
-def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.zeros(0, kind)])
+        order = np.argsort(part, kind="stable")
+        cuts = _heads(part[order])
+        rows, none = len(cuts) - 1, pa.nulls(len(cuts) - 1, pa.binary())
+        ranks = at[by_node].astype(np.uint32)
+        ranks = np.concatenate([ranks[begins[i]:begins[i + 1]] for i in order])
+        known = part[order][cuts[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((mix(known.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)), pa.array(known), pa.nulls(rows, pa.int32()), none,
+             _blobs(nodes[order], cuts), _blobs(ranks, np.concatenate([[0], np.cumsum(n_often[order])])[cuts]),
+             _blobs(sizes[order].astype(np.uint32), cuts), _blobs(n_often[order].astype(np.uint32), cuts)], names)
+
+
+ANSWERED = "part long, bucket long, owners binary, nodes binary, tokens binary, sets binary, many binary, sizes binary, counts binary"
+
+
+def _answers(bucket: int, part: np.ndarray, place: np.ndarray, node: np.ndarray | None, token: np.ndarray, sets: np.ndarray) -> pa.Table:
+    """Shared tokens by part, in the order of their nodes: known by place in the lot, or named."""
+    order = np.lexsort((token, place if node is None else node, part))
+    part, token, sets = part[order], token[order], sets[order]
+    cuts = _heads(part)
+    rows = len(cuts) - 1
+    if node is None:
+        place, names = place[order], pa.nulls(rows, pa.binary())
+    else:
+        node = node[order]
+        first = _heads(part, node)[:-1]
+        before = np.searchsorted(first, cuts)
+        place = np.searchsorted(first, np.arange(len(node)), "right") - 1 - np.repeat(before[:-1], np.diff(cuts))
+        names = _blobs(node[first], before)
+    large = np.flatnonzero(sets >= 255)
+    return pa.Table.from_arrays(
+        [pa.array(part[cuts[:-1]]), pa.array(np.full(rows, bucket)), _steps(place, cuts), names, _blobs(_five(token), cuts),
+         _blobs(np.minimum(sets, 255).astype(np.uint8), cuts), _blobs(sets[large].astype(np.uint32), np.searchsorted(large, cuts)),
+         pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())],
+        ["part", "bucket", "owners", "nodes", "tokens", "sets", "many", "sizes", "counts"])
 
 
 def _count(n_parts: int, rows):
     """In how many sets each token of a bucket is; tokens in two or more go on to their nodes' parts."""
-    names = ["part", "nodes", "counts", "tokens", "sets", "sizes"]
-    out = []
     known = rows.filter(pc.is_valid(rows.column("sizes")))
-    for nodes, counts, ranks, sizes in zip(*[known.column(c).to_pylist() for c in ("nodes", "counts", "tokens", "sizes")]):
-        nodes, counts = np.frombuffer(nodes, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
-        sizes, ranks, begins = np.frombuffer(sizes, np.uint32), np.frombuffer(ranks, np.uint32), np.concatenate([[0], np.cumsum(counts)])
-        part = (mix(nodes) % np.uint64(n_parts)).astype(np.int64)
-        for p in np.unique(part):
-            own = np.flatnonzero(part == p)
-            kept = np.concatenate([ranks[begins[i]:begins[i + 1]] for i in own])
-            out.append((int(p), nodes[own].tobytes(), counts[own].astype(np.uint32).tobytes(), kept.tobytes(), None, sizes[own].tobytes()))
+    none = pa.nulls(known.num_rows, pa.binary())
+    out = [pa.Table.from_arrays([known.column("part"), known.column("bucket"), none, known.column("nodes"), known.column("tokens"), none, none,
+                                 known.column("sizes"), known.column("counts")],
+                                ["part", "bucket", "owners", "nodes", "tokens", "sets", "many", "sizes", "counts"])]
     rows = rows.filter(pc.is_null(rows.column("sizes")))
     if rows.num_rows:
-        bucket = np.uint64(rows.column("bucket")[0].as_py())
-        names_of, place = np.unique(_joined(rows.column("nodes"), np.uint64), return_inverse=True)
-        if len(names_of) >= 1 << 24:
+        bucket = rows.column("bucket")[0].as_py()
+        lots, alone = rows.column("part").to_numpy(), rows.column("alone").to_numpy()
+        place, row = _places(rows.column("owners"))
+        first = _heads(row, place)
+        named = place[first[:-1]] >= alone[row[first[:-1]]]
+        names, which = np.unique(_bytes(rows.column("nodes"), np.uint64)[0], return_inverse=True)
+        # Nodes known by their place come before those with a name, which are one node wherever they are.
+        single = np.flatnonzero(~named)
+        number = np.empty(len(named), np.int64)
+        number[single] = np.arange(len(single))
+        number[named] = len(single) + which
+        if len(single) + len(names) >= 1 << 24:
             raise ValueError("too many sets in a bucket: raise the number of buckets")
-        owner = np.repeat(place, _joined(rows.column("counts"), np.uint32).astype(np.int64)).astype(np.uint64)
-        token = _joined(rows.column("tokens"), np.uint32).astype(np.uint64) | _joined(rows.column("high"), np.uint8).astype(np.uint64) << np.uint64(32)
-        both = token << np.uint64(24) | owner
+        owner = np.repeat(number, np.diff(first)).astype(np.uint64)
+        both = _tokens(rows.column("tokens")) << np.uint64(24) | owner
         both.sort()
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         token = both >> np.uint64(24)
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sets = np.diff(np.concatenate([first, [len(token)]]))
+        sets = np.diff(_heads(token))
         sets = np.repeat(sets, sets)
         shared = sets > 1
-        node = names_of[(both[shared] & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        token, sets = token[shared] | bucket << np.uint64(40), sets[shared].astype(np.uint32)
-        part = (mix(node) % np.uint64(n_parts)).astype(np.int64)
-        order = np.lexsort((node, part))
-        node, token, sets, part = node[order], token[order], sets[order], part[order]
-        cuts = np.searchsorted(part, np.arange(n_parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[p], cuts[p + 1])
-            own, counts = np.unique(node[s], return_counts=True)
-            out.append((int(p), own.tobytes(), counts.astype(np.uint32).tobytes(), token[s].tobytes(), sets[s].tobytes(), None))
-    columns = list(zip(*out)) or [[]] * 6
-    return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
+        owner, token, sets = (both[shared] & np.uint64((1 << 24) - 1)).astype(np.int64), token[shared], sets[shared]
+        ours = owner < len(single)
+        head = first[single[owner[ours]]]
+        out.append(_answers(bucket, lots[row[head]], place[head], None, token[ours], sets[ours]))
+        node = names[owner[~ours] - len(single)]
+        out.append(_answers(bucket, _parts(node, n_parts), None, node, token[~ours], sets[~ours]))
+    return pa.concat_tables(out).select(["part", "bucket", "owners", "nodes", "tokens", "sets", "many", "sizes", "counts"])
 
 
 NODES = "node long, n int, need int, n_rare int, central double, tokens array<long>, bins array<tinyint>"
@@ -219,16 +322,25 @@ def _gather(percent: int, rows):
     ``need`` is how many differences the keys must cover beyond the tokens that no other set has.
     """
     known = rows.filter(pc.is_valid(rows.column("sizes")))
-    node = _joined(known.column("nodes"), np.uint64)
-    node, first = np.unique(node, return_index=True)
-    size = _joined(known.column("sizes"), np.uint32)[first].astype(np.int64)
-    counts = _joined(known.column("counts"), np.uint32).astype(np.int64)
+    listed, lengths = _bytes(known.column("nodes"), np.uint64)
+    node, first = np.unique(listed, return_index=True)
+    size = _bytes(known.column("sizes"), np.uint32)[0][first].astype(np.int64)
+    counts = _bytes(known.column("counts"), np.uint32)[0].astype(np.int64)
     begins = np.concatenate([[0], np.cumsum(counts)])
-    ranks = _joined(known.column("tokens"), np.uint32).astype(np.int64)
+    ranks = _bytes(known.column("tokens"), np.uint32)[0].astype(np.int64)
     n_often = counts[first]
     rows = rows.filter(pc.is_null(rows.column("sizes")))
-    owner = np.searchsorted(node, np.repeat(_joined(rows.column("nodes"), np.uint64), _joined(rows.column("counts"), np.uint32).astype(np.int64)))
-    token, sets = _joined(rows.column("tokens"), np.uint64), _joined(rows.column("sets"), np.uint32).astype(np.int64)
+    place, row = _places(rows.column("owners"))
+    names, n_names = _bytes(rows.column("nodes"), np.uint64)
+    if rows.num_rows and not len(names):  # a lot: places are those in its only list of nodes
+        if known.num_rows != 1:
+            raise ValueError("the rows of a task came in another order when it was run again")
+        owner = np.searchsorted(node, listed[place])
+    else:
+        owner = np.searchsorted(node, names[place + (np.cumsum(n_names) - n_names)[row]])
+    token = _tokens(rows.column("tokens")) | rows.column("bucket").to_numpy().astype(np.uint64)[row] << np.uint64(40)
+    sets = _bytes(rows.column("sets"))[0].astype(np.int64)
+    sets[sets == 255] = _bytes(rows.column("many"), np.uint32)[0]
     n_rare = np.bincount(owner, minlength=len(node))
     need = allowed(size, percent) + 1 - (size - n_rare - n_often)
     alive = (need > 0) & (size > 1)
@@ -396,13 +508,14 @@ def _classes(docs: DataFrame, words_each: int, percent: int, id_column: str, tex
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     surveyed = materialize(texts.mapInArrow(partial(_survey, words_each), SURVEYED), "survey")
     rows = surveyed.where("n is not null").select("doc_id", "tie", "node", "n")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    documents, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = (surveyed.where("token is not null").groupBy("token").agg(F.sum("sets").alias("sets"))
              .where(F.col("sets") >= max(OFTEN, total / FREQUENT)).orderBy(F.desc("sets"), "token").limit(FREQUENT))
     # Sorted by value for the search; a frequent token is known by its place in the list.
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64)))
+    repeated = spark.sparkContext.broadcast(_filter(rows, documents))
     n_buckets = max(2 * partitions(spark), -(-total // BUCKET))
-    nodes = (texts.select("text").mapInArrow(partial(_deal, words_each, n_buckets, common), DEALT)
+    nodes = (texts.select("text").mapInArrow(partial(_deal, words_each, n_buckets, common, repeated), DEALT)
              .groupBy("bucket").applyInArrow(_task(_count, n_buckets), ANSWERED)
              .groupBy("part").applyInArrow(_task(_gather, percent), NODES))
     links = _connect(materialize(nodes, "nodes"), percent)
