@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -40,87 +40,14 @@ def windowed_counts(alerts: DataFrame, window_minutes: int = 5, delay: str = "10
              group_priority(F.col("endpoint_group")).alias("priority"), "events", "top_score", "first_seen", "last_seen")
 
 
-#: Facts of a closed window; ``start`` in micros.
-_FACTS = "source_ip string, start long, evidence_count long, endpoint_count long, first_type string, attack_types array<string>, max_risk_score double"
+def _instant(ts: Column) -> Column:
+    """A local time as an instant, as if it were UTC: watermarks need an instant, windows follow the local time."""
+    return F.to_timestamp(F.concat(ts.cast("string"), F.lit("Z")))
 
 
-def _condense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Events counted per (address, window, group, URI, type) in the task that reads them, so a flood is small when shuffled."""
-    key = ["source_ip", "start", "endpoint_group", "priority", "uri", "attack_type"]
-    for batch in batches:
-        yield batch.sort_values(["at", "event_id"]).groupby(key, sort=False).agg(
-            n=("score", "size"), score=("score", "max"), at=("at", "first"), event_id=("event_id", "first")).reset_index()
-
-
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
-
-
-class WindowProcessor(StatefulProcessor):
-    """One address and window: held until the watermark has passed the window, then given out and forgotten.
-
-    State holds the distinct URIs, types and groups as maps of the state store, not in memory, so that an
-    address that sends a large share of all events costs its distinct values. What comes after the window
-    has been given out is late and is dropped.
-    """
-
-    def __init__(self, window_minutes: int, id_type: str):
-        self.length, self.id_type = window_minutes * 60_000, id_type
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.total = handle.getValueState("total", "n long, uris long")
-        self.uris = handle.getMapState("uris", "uri string", "seen int")
-        self.types = handle.getMapState("types", "attack_type string", f"at long, event_id {self.id_type}")
-        self.groups = handle.getMapState("groups", "endpoint_group string", f"priority int, at long, event_id {self.id_type}, score double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end = int(key[1]) // 1000 + self.length
-        if timerValues.getCurrentWatermarkInMs() >= end:
-            return
-        n, uris = self.total.get() if self.total.exists() else (0, 0)
-        if not n:
-            self.handle.registerTimer(end)
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        n += int(batch["n"].sum())
-        for uri in batch["uri"].unique():
-            if uri and not self.uris.containsKey((uri,)):
-                self.uris.updateValue((uri,), (1,))
-                uris += 1
-        for kind, *first in self._first(batch[batch["attack_type"] != ""], "attack_type"):
-            if not self.types.containsKey((kind,)) or tuple(first) < tuple(self.types.getValue((kind,))):
-                self.types.updateValue((kind,), tuple(first))
-        tops = batch.groupby("endpoint_group")[["priority", "score"]].max()
-        for group, *first in self._first(batch, "endpoint_group"):
-            priority, top = int(tops.loc[group, "priority"]), float(tops.loc[group, "score"])
-            if self.groups.containsKey((group,)):
-                _, *known, score = self.groups.getValue((group,))
-                first, top = min(first, known), max(top, score)
-            self.groups.updateValue((group,), (priority, *first, top))
-        self.total.update((int(n), int(uris)))
-        yield from ()
-
-    @staticmethod
-    def _first(rows: pd.DataFrame, column: str) -> list[tuple]:
-        """Each value with time and id of its first event; rows are in that order."""
-        first = rows.drop_duplicates(column)
-        return [(value, int(at), _plain(event)) for value, at, event in zip(first[column], first["at"], first["event_id"])]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, uris = self.total.get()
-        types = sorted((tuple(first), kind[0]) for kind, first in self.types.iterator())
-        groups = sorted((tuple(value), group[0]) for group, value in self.groups.iterator())
-        leading = [(at, event, group, score) for (priority, at, event, score), group in groups if priority == groups[0][0][0]]
-        yield pd.DataFrame({
-            "source_ip": [key[0]], "start": [int(key[1])], "evidence_count": [n], "endpoint_count": [uris],
-            "first_type": [types[0][1] if types else None], "attack_types": [sorted(kind for _, kind in types)],
-            "max_risk_score": [leading[0][3]],
-            "evidence": [[{"at": at, "event_id": event, "grp": group, "score": score} for at, event, group, score in leading]]})
-        for state in (self.total, self.uris, self.types, self.groups):
-            state.clear()
-
-    def close(self) -> None:
-        pass
+def _local(micros: Column) -> Column:
+    """The local time of such an instant, given in micros."""
+    return F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(secs=micros.cast("decimal(20,0)") / F.lit(1_000_000))
 
 
 def correlated_stream(alerts: DataFrame, window_minutes: int = 5, delay: str = "10 minutes", recon: int = RECON_ENDPOINTS,
@@ -129,27 +56,36 @@ def correlated_stream(alerts: DataFrame, window_minutes: int = 5, delay: str = "
 
     A window is given out once the watermark, the newest event time less ``delay``, has passed its end; rows that
     come later are dropped. Rows with a true ``is_mark`` only move the watermark. Adds ``evidence``, the most
-    sensitive groups as of ``incident_scores``. Needs the RocksDB state store.
+    sensitive groups as of ``incident_scores``. Two aggregations hold the state: of each window's URIs, types and groups, and
+    of the windows.
     """
     events = alert_events(alerts, window_minutes)
     id_type = events.schema["event_id"].dataType.simpleString()
     named = (F.col("attack_type") != "") & ~F.lower("attack_type").isin("normal", "benign")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = events.withColumn("ts", _instant(F.col("ts").cast("timestamp_ntz"))).withWatermark("ts", delay)
     # Marks leave behind the watermark, not before it: a condition that reads the time isn't pushed through.
     mark = F.col("is_mark") if "is_mark" in events.columns else F.lit(False)
-    rows = rows.where(F.when(F.col("ts").isNotNull(), ~mark)).select(
-        "source_ip", micros("window_start").alias("start"), "endpoint_group", group_priority(F.col("endpoint_group")).alias("priority"), "uri",
-        F.coalesce(F.when(named, F.col("attack_type")), F.lit("")).alias("attack_type"), "score", micros("ts").alias("at"),
-        F.coalesce("event_id", F.lit("" if id_type == "string" else -1).cast(id_type)).alias("event_id"))
-    partial = ("source_ip string, start long, endpoint_group string, priority int, uri string, attack_type string, n long, score double, "
-               f"at long, event_id {id_type}")
-    closed = rows.mapInPandas(_condense, partial).groupBy("source_ip", "start").transformWithStateInPandas(
-        statefulProcessor=WindowProcessor(window_minutes, id_type), outputMode="Append", timeMode="EventTime",
-        outputStructType=f"{_FACTS}, evidence array<struct<at:bigint,event_id:{id_type},grp:string,score:double>>")
-    local = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    facts = closed.withColumns({"window_start": local("start"), "evidence": F.transform("evidence", lambda e: F.struct(
-        local(e["at"]).alias("ts"), e["event_id"].alias("event_id"), e["grp"].alias("grp"), e["score"].alias("score")))})
+    # An event counts for its URI, its type and its group, which are rows of the state: none of their sets is held in memory
+    # but those that are given out.
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    entries = F.array(entry("uri", F.col("uri")), entry("type", F.when(named, F.col("attack_type"))), entry("group", F.col("endpoint_group")))
+    counted = rows.where(F.when(F.col("ts").isNotNull(), ~mark)).select(
+        "ts", "source_ip", "score", F.unix_micros("ts").alias("at"),
+        F.coalesce("event_id", F.lit("" if id_type == "string" else -1).cast(id_type)).alias("event_id"), F.explode(entries).alias("e")
+    ).where("e.value is not null and (e.kind <> 'uri' or e.value <> '')").groupBy(F.window("ts", f"{window_minutes} minutes").alias("w"), "source_ip", "e.kind", "e.value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.min(F.struct("at", "event_id")).alias("first"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    group = F.struct(group_priority(F.col("value")).alias("priority"), "first", "score", "value")
+    closed = counted.groupBy("w", "source_ip").agg(
+        F.sum(of("group", F.col("n"))).alias("evidence_count"), F.count(of("uri", F.lit(1))).alias("endpoint_count"),
+        F.array_sort(F.collect_list(of("type", F.struct("first", "value")))).alias("types"),
+        F.array_sort(F.collect_list(of("group", group))).alias("groups"))
+    leading = F.filter("groups", lambda g: g["priority"] == F.col("groups")[0]["priority"])
+    facts = closed.select(
+        "source_ip", _local(F.unix_micros("w.start")).alias("window_start"), "evidence_count", "endpoint_count",
+        F.get("types", F.lit(0))["value"].alias("first_type"), F.array_sort(F.transform("types", lambda t: t["value"])).alias("attack_types"),
+        F.col("groups")[0]["score"].alias("max_risk_score"), F.transform(leading, lambda g: F.struct(
+            _local(g["first"]["at"]).alias("ts"), g["first"]["event_id"].alias("event_id"), g["value"].alias("grp"), g["score"].alias("score"))).alias("evidence"))
     return describe_incidents(facts, window_minutes, recon, brute_force, multi_vector, keep=["evidence"])
 
 
@@ -178,7 +114,7 @@ def correlate_stream(alerts: DataFrame, table: str, checkpoint: str, window_minu
     newest = [p["eventTime"]["max"] for p in query.recentProgress if (p["eventTime"] or {}).get("max")]
     if newest:
         moment = next(c for c in ("timestamp", "ts", "event_time") if c in alerts.columns)
-        last = F.to_timestamp(F.lit(max(newest))) + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {window_minutes} MINUTE")
+        last = F.to_timestamp_ntz(F.lit(max(newest).rstrip("Z"))) + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {window_minutes} MINUTE")
         row = {moment: last, "is_mark": F.lit(True)}
         spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]).write.mode("append").parquet(marks)
         query = start()
