@@ -8,7 +8,7 @@ from logwarden.catalog.base import REQ, WEB_SQL, joined, register, requests, tab
 from logwarden.functions.decode import clean_unicode, drop_controls
 from logwarden.functions.text import split_uri, valid_ip
 from logwarden.operators.features import (
-    SCANNER_AGENTS, SPECIAL_CHARS, SQL_KEYWORDS, TRAVERSAL_KEYWORDS, XSS_KEYWORDS, count_chars, entropy,
+    SCANNER_AGENTS, SPECIAL_CHARS, SQL_KEYWORDS, TRAVERSAL_KEYWORDS, XSS_KEYWORDS, count_chars,
     extract_features, query_params,
 )
 from logwarden.operators.analyst import embedding_text, stored_embedding_text
@@ -16,6 +16,7 @@ from logwarden.operators.preprocess import preprocess
 from logwarden.operators.risk import score_risk
 from logwarden.operators.rule_packs import BROAD_RULES, DEFAULT_RULES
 from logwarden.operators.rules import detect, load_rules, match_rows
+from logwarden.operators.text_blocks import character_entropy
 from logwarden.schema import FEATURE_NAMES
 
 
@@ -115,12 +116,12 @@ def entropy_sql(source: str, key: str, text: str) -> str:
 
 @register("F4_document_entropy", entropy_sql("documents", "doc_id", "text"))
 def f4(spark, sf):
-    return text_table(spark, sf, "documents").select("doc_id", entropy(F.col("text")).alias("entropy"))
+    return character_entropy(table(spark, sf, "documents"), "doc_id", F.col("text")).withColumnRenamed("doc", "doc_id")
 
 
 @register("F4_page_entropy", entropy_sql("pages", "page_id", "html"))
 def f4_pages(spark, sf):
-    return text_table(spark, sf, "pages").select("page_id", entropy(F.col("html")).alias("entropy"))
+    return character_entropy(table(spark, sf, "pages"), "page_id", F.col("html")).withColumnRenamed("doc", "page_id")
 
 
 @register("F2_query_params", DECODED_SQL + """, p AS (SELECT event_id, unnest(string_split(nq, '&')) AS part FROM req WHERE nq <> ''),
