@@ -11,7 +11,7 @@ from tests.oracle import difference, duck
 from tests.test_large_tables import plan
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-TEXT_QUERIES = ["V4_char_tfidf", "V7_hybrid_vectors", "V5_word_tfidf"]
+TEXT_QUERIES = ["V4_char_tfidf", "V7_hybrid_vectors", "V5_word_tfidf", "V2_text_to_similar_documents"]
 
 
 @pytest.fixture(scope="module")
