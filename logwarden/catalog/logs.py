@@ -259,10 +259,14 @@ def entry_a(spark, sf):
 
 @register("T1_stream_scored_lines", ENTRY_SQL.replace("SELECT event_id AS line_number, rule_score", "SELECT rule_score"))
 def t1_lines(spark, sf):
-    """The same lines as log files that arrive one per micro-batch, scored and upserted, then again in one batch: a replay changes nothing."""
+    """The same lines as log files that arrive one per micro-batch, scored and upserted, then again in one batch: a replay changes nothing.
+
+    The table holds all verdicts with their id; the sixty features are not part of the report.
+    """
+    verdict = ["rule_score", "risk_bonus", "risk_score", "attack_type", "attack_types", "final_label"]
     folder, out = new_work_path(spark, "logs"), new_work_path(spark, "scored")
     log_lines(spark, sf).select("line").repartition(2).write.text(f"{folder}/apache")
     for checkpoint, files in (("-first", 1), ("-again", 2)):
         stream = stream_log_lines(spark, folder, "*.txt", files_per_batch=files)
-        upsert_stream(stream, out, out + checkpoint, score_batch, once=True).awaitTermination()
-    return sinks.read_current(spark, out).select("rule_score", "risk_bonus", "risk_score", "attack_type", joined("attack_types").alias("attack_types"), "final_label")
+        upsert_stream(stream, out, out + checkpoint, lambda batch: score_batch(batch, ["event_id", *verdict]), once=True).awaitTermination()
+    return sinks.read_current(spark, out).select(*[joined(c).alias(c) if c == "attack_types" else c for c in verdict])

@@ -47,9 +47,11 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, transform: Cal
     return writer.start()
 
 
-def score_batch(batch: DataFrame) -> DataFrame:
+def score_batch(batch: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Scored requests of one micro-batch of whole log files, as the batch reader scores them.
 
+    All columns are kept, or those in ``columns``: features that these don't depend on are not computed then.
+
     Lines are numbered within their file and ids name both, so equal lines stay apart and a replay
     gives the same ids; indented lines join their record, W3C headers hold to the next one, and bad UTF-8 is
     read as Latin-1. Only the byte-order-mark flag is missing: the stream reader drops the mark. The records are
@@ -57,4 +59,5 @@ def score_batch(batch: DataFrame) -> DataFrame:
     """
     lines = materialize(number_lines(batch).withColumn("bom", F.lit(False)), "lines")
     records = materialize(merge_continuations(lines).withColumn("server_type", server_type_of_path(F.col("file"))), "records")
-    return analyze_lines(spread(records, "file", "line_number"), namespace="file")
+    scored = analyze_lines(spread(records, "file", "line_number"), namespace="file")
+    return scored.select(*columns) if columns else scored
